@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .knn_join import OP6_SQL, op6_exact_topk
+from .simhash import op2_simhash
 
 QUERIES = {
+    "op2_simhash": op2_simhash,
     "op6_exact_topk": op6_exact_topk,
 }
 
