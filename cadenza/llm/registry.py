@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP10_SQL, op10_decontaminate
 from .knn_join import OP6_SQL, op6_exact_topk
 from .simhash import op2_simhash
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op6_exact_topk": op6_exact_topk,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 ORACLES = {
     "op6_exact_topk": OP6_SQL,
+    "op10_decontaminate": OP10_SQL,
 }
