@@ -6,11 +6,13 @@ from .decontaminate import OP10_SQL, op10_decontaminate
 from .knn_join import OP6_SQL, op6_exact_topk
 from .simhash import op2_simhash
 from .suffix_dedup import op5_suffix_dedup
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op2_simhash": op2_simhash,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_topk": op6_exact_topk,
+    "op8_toxicity": op8_toxicity,
     "op10_decontaminate": op10_decontaminate,
 }
 
