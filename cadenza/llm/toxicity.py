@@ -23,7 +23,7 @@ from .common import table
 
 #: Bounds of the training sample: confirmed toxic texts and unlabelled texts, those of the least hash.
 POSITIVES = 3000
-UNLABELLED = 6000
+UNLABELLED = 12000
 #: Hash buckets of features, and the uses in confirmed texts that one must have: so many, and per text.
 BUCKETS = 1 << 18
 SEEN_IN = 3
@@ -33,7 +33,7 @@ TOXIC_SHARE = 0.5
 GRAM = 5
 STEPS = 200
 RATE = 0.1
-L1 = 5e-5
+L1 = 1e-4
 #: Words whose weight a task remembers.
 REMEMBERED = 500_000
 
@@ -76,8 +76,8 @@ class Model:
         return score
 
 
-def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float) -> Model:
-    """Train on lists of distinct words. Without a positive or an unlabelled text every score is the prior."""
+def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
+    """Train on texts given as their distinct words joined by spaces. Without a positive or an unlabelled text every score is the prior."""
     prior = min(max(prior, 1e-3), 0.999)
     start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
@@ -85,8 +85,8 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float) ->
     docs = positive + unlabelled
     n_pos, n_unl = len(positive), len(unlabelled)
     ids: dict[str, int] = {}
-    word = np.fromiter((ids.setdefault(w, len(ids)) for d in docs for w in d), "int64")
-    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    word = np.fromiter((ids.setdefault(w, len(ids)) for d in docs for w in d.split(" ")), "int64")
+    doc = np.repeat(np.arange(len(docs)), [d.count(" ") + 1 for d in docs])
     parts = [features_of(w) for w in ids]
     feature = np.fromiter((f for p in parts for f in p), "int64")
     owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
@@ -130,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     counts = label.agg(F.count("*"), F.sum("y")).first()
     prior = (counts[1] or 0) / counts[0] if counts[0] else 0.0
 
-    def take(df: DataFrame, n: int, seed: int) -> list[list[str]]:
+    def take(df: DataFrame, n: int, seed: int) -> list[str]:
         ids = df.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
         got = text.join(F.broadcast(ids.distinct()), "id").select("text")  # at most n ids
 
@@ -138,7 +138,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for pdf in batches:
                 yield pd.DataFrame({"words": [" ".join(words_of(t)) for t in pdf["text"]]})
 
-        return sorted(r.words.split(" ") for r in got.mapInPandas(shorten, "words string").collect() if r.words)
+        return sorted(r.words for r in got.mapInPandas(shorten, "words string").collect() if r.words)
 
     return fit(take(label.where("y = 1"), POSITIVES, 1), take(text, UNLABELLED, 2), prior)
 
