@@ -78,13 +78,14 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep_hash: bool = False) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
 
     A word is hit if it lies inside any occurrence of a window of an item. Null and empty texts have
     no words; an item without words or without an id takes no part. Repeated rows give a result row
-    each. Empty tables give an empty result, or no hits.
+    each. Empty tables give an empty result, or no hits. keep_hash adds th, the hash of the text.
     """
+    also = ["th"] if keep_hash else []
     windows = cut(item_windows(items, item_col, item_text), "windows")
     lengths = {r.n: r["count"] for r in windows.groupBy("n").count().collect()}  # at most 13 rows
     n_windows = sum(lengths.values())
@@ -95,7 +96,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     empty = F.sha2(F.lit(""), 256)
     base = row.select("doc_id", "th", F.size(words(F.col("text"))).cast("long").alias("n_words"))
     if not lengths:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return base.select(*also, "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), empty.alias("items_sha256"), F.lit(False).alias("contaminated"))
 
     # fingerprints of the items' windows: the least gram of GRAM words, or the whole window if that is shorter
     sizes = sorted({min(n, GRAM) for n in short})
@@ -132,12 +133,18 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     out = base.join(hits, base.doc_id.eqNullSafe(F.col("d")) & (base.th == F.col("t")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("named"), F.lit(0)).cast("long").alias("n_items"),
+        *also, "doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce(F.size("named"), F.lit(0)).cast("long").alias("n_items"),
         F.coalesce(F.sha2(F.array_join("named", ","), 256), empty).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose words are hit by the contamination rule; rows without an id stay."""
+    bad = contamination(docs, items, id_col, text_col, keep_hash=True).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_hash")).distinct()
+    return docs.join(bad, (F.col(id_col) == F.col("_bad_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_bad_hash")), "left_anti")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .knn_join import OP6_SQL, op6_exact_topk
+from .packing import op9_best_fit_packing
 from .simhash import op2_simhash
 from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op8_toxicity
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_topk": op6_exact_topk,
     "op8_toxicity": op8_toxicity,
+    "op9_best_fit_packing": op9_best_fit_packing,
     "op10_decontaminate": op10_decontaminate,
 }
 

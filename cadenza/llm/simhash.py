@@ -21,7 +21,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, table
@@ -147,5 +147,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each group of near-duplicates: that of the smallest id. Rows without an id stay."""
+    named = docs.where(F.col(id_col).isNotNull())
+    stay = near_duplicates(named, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
+    kept = named.join(stay, F.col(id_col) == F.col("_stays"), "left_semi")
+    kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("_copy = 1").drop("_copy")
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

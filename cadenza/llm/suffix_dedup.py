@@ -302,8 +302,8 @@ def covered(spans, span: int) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """Columns row (the document as it came), kept (binary), n_bytes, n_removed and n_spans, for each row.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, as_text: bool = False) -> DataFrame:
+    """Columns row (the document as it came), kept (binary, or with as_text a string without cut characters), n_bytes, n_removed and n_spans, for each row.
 
     Texts are judged as UTF-8 bytes on the input, all copies of a repeated string alike; matches never
     cross documents. Null texts count as empty, and texts under `span` bytes stay whole. A row that
@@ -321,17 +321,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 data = ("" if text is None else str(text)).encode("utf-8", "replace")
                 cuts = covered([(x["lo"], x["hi"]) for x in found or ()], span)
                 ends = [0, *(x for pair in cuts for x in pair), len(data)]
-                kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
+                rest = b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True))
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
                 sizes.append(len(data))
-                gone.append(len(data) - len(kept[-1]))
+                gone.append(len(data) - len(rest))
                 runs.append(len(cuts))
             yield pa.RecordBatch.from_arrays(
-                [batch["row"], pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))],
+                [batch["row"], pa.array(kept, pa.string() if as_text else pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, runs))],
                 names=["row", "kept", "n_bytes", "n_removed", "n_spans"],
             )
 
     schema = T.StructType([
-        T.StructField("row", docs.schema), T.StructField("kept", T.BinaryType()), T.StructField("n_bytes", T.LongType()),
+        T.StructField("row", docs.schema), T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("n_bytes", T.LongType()),
         T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()),
     ])
     return both.mapInArrow(apply, schema)
