@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
 from .knn_join import OP6_SQL, op6_exact_topk
+from .license_scan import OP4_SQL, op4_license_scan
 from .packing import op9_best_fit_packing
 from .simhash import op2_simhash
 from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op8_toxicity
+from .url_filter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op4_license_scan": op4_license_scan,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_topk": op6_exact_topk,
     "op8_toxicity": op8_toxicity,
@@ -19,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_license_scan": OP4_SQL,
     "op6_exact_topk": OP6_SQL,
     "op10_decontaminate": OP10_SQL,
 }
