@@ -104,7 +104,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for s in {GRAM, *sizes}:
         own = _grams(own, s)
     fp = reduce(lambda e, s: F.when(F.col("n") == s, F.element_at(f"g{s}", 1)).otherwise(e), [s for s in sizes if s < GRAM], F.array_min(f"g{GRAM}"))
-    marks = own.select(fp.alias("fp")).distinct()
+    # written first: a filter that Spark infers for a join key would be pushed down as the whole expression
+    marks = cut(own.select(fp.alias("fp")).distinct(), "marks")
 
     # and those of the documents
     seen = _winnowed(row.select("doc_id", "th", words(F.col("text")).alias("w")))
@@ -112,7 +113,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     for s in sizes:
         seen = _grams(seen, s)
         prints = [p for p in prints if s != GRAM] + [F.col(f"g{s}")]
-    shown = seen.select("doc_id", "th", F.explode(F.array_distinct(F.concat(*prints))).alias("fp"))
+    shown = seen.select("doc_id", "th", F.explode_outer(F.array_distinct(F.concat(*prints))).alias("fp"))
     suspects = shown.join(_small(marks, n_windows), "fp").select("doc_id", "th").distinct()
 
     near = (row.doc_id.eqNullSafe(suspects.doc_id)) & (row.th == suspects.th)
@@ -120,7 +121,8 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     found = None
     for n in sorted(lengths):
         key = _grams(windows.where(F.col("n") == n).select("w", "n", "window", "items"), n).select(F.element_at(f"g{n}", 1).alias("g"), "n", "window", "items")
-        at = _grams(suspect, n).select("doc_id", "th", F.posexplode(f"g{n}").alias("pos", "g"))
+        key = cut(key, "window-keys")
+        at = _grams(suspect, n).select("doc_id", "th", F.posexplode_outer(f"g{n}").alias("pos", "g"))
         part = at.join(_small(key, lengths[n]), "g").select("doc_id", "th", F.struct((F.col("pos") + 1).alias("pos"), "n", "window", "items").alias("hit"))
         found = part if found is None else found.unionByName(part)
     hits = found.groupBy("doc_id", "th").agg(F.collect_list("hit").alias("hits"))
