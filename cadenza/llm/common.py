@@ -42,6 +42,13 @@ def drop_cut(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Hand texts to Python workers in batches of at most so many rows, so that a worker's memory stays small."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, rows)
+
+
 def ascii_lower(column):
     """Lower-case A-Z and nothing else; lower() does that for texts of ASCII alone, and faster."""
     return F.when(F.octet_length(column) == F.length(column), F.lower(column)).otherwise(F.translate(column, UPPER, LOWER))

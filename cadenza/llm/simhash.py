@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 from .components import connected
 
 #: (first bit, width) of each segment of the ring, from the lowest bit.
@@ -58,6 +58,7 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
     """(doc_id, fp) of every row, from its whole text."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for pdf in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, table
+from .common import cut, small_batches, table
 
 SPAN = 200
 GRAM = 64
@@ -180,17 +180,18 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     """
     if span <= GRAM or span > 1023:
         raise ValueError("span must lie between GRAM + 1 and 1023 bytes")
+    small_batches(docs.sparkSession)
 
     def find(batches):
         for batch in batches:
             ks, ths, cols = [], [], []
-            for k, th, text in zip(batch["k"].to_pylist(), batch["th"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                data = np.frombuffer((text or "").encode("utf-8", "replace"), dtype="uint8")
+            for k, th, text in zip(batch["k"], batch["th"], batch["text"], strict=True):
+                data = np.frombuffer((text.as_py() or "").encode("utf-8", "replace"), dtype="uint8")
                 for at in range(0, max(0, len(data) - span + 1), PIECE):
                     h, c, lo, hi = anchors(data[at : at + PIECE + span - 1], span)
                     cols.append((h, c, lo + at, hi + at))
-                    ks.append(np.full(len(h), k))
-                    ths.append(np.full(len(h), th))
+                    ks.append(np.full(len(h), k.as_py()))
+                    ths.append(np.full(len(h), th.as_py()))
             if ks:
                 h, c, lo, hi = (np.concatenate(x) for x in zip(*cols, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(ks), np.concatenate(ths), h, c, lo, hi)], names=["k", "th", "h", "c", "lo", "hi"])
@@ -234,7 +235,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
         for pdf in batches:
             held.append(pdf)
             size += sum(map(len, pdf["bytes"]))
-            if size > 1 << 22:  # anchors come sorted: all but the last are complete
+            if size > 1 << 20:  # anchors come sorted: all but the last are complete
                 both = pd.concat(held)
                 whole = both["h"] != both["h"].iloc[-1]
                 if whole.any():

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Bounds of the training sample: confirmed toxic texts and unlabelled texts, those of the least hash.
 POSITIVES = 3000
@@ -148,6 +148,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sco
     kept = docs.drop(out)
     spread = kept.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the data
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         of = spread.value.scorer()
         for batch in batches:
