@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP10_SQL, op10_decontaminate
+from .html_extract import op3_html_extract
 from .knn_join import OP6_SQL, op6_exact_topk
 from .license_scan import OP4_SQL, op4_license_scan
 from .packing import op9_best_fit_packing
@@ -14,6 +15,7 @@ from .url_filter import op1_url_filter
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_simhash": op2_simhash,
+    "op3_html_extract": op3_html_extract,
     "op4_license_scan": op4_license_scan,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_topk": op6_exact_topk,
