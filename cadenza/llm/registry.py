@@ -7,6 +7,7 @@ from .html_extract import op3_html_extract
 from .knn_join import OP6_SQL, op6_exact_topk
 from .license_scan import OP4_SQL, op4_license_scan
 from .packing import op9_best_fit_packing
+from .quality_lm import op7_quality_lm
 from .simhash import op2_simhash
 from .suffix_dedup import op5_suffix_dedup
 from .toxicity import op8_toxicity
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_license_scan": op4_license_scan,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_exact_topk": op6_exact_topk,
+    "op7_quality_lm": op7_quality_lm,
     "op8_toxicity": op8_toxicity,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_decontaminate": op10_decontaminate,
