@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import shared, timeline
+
+QUERIES: dict = {**timeline.QUERIES, **shared.QUERIES}
+ORACLES: dict = {**timeline.ORACLES, **shared.ORACLES}
