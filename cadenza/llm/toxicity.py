@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 
 #: Bounds of the training sample: confirmed toxic texts and unlabelled texts, those of the least hash.
-POSITIVES = 3000
-UNLABELLED = 12000
+POSITIVES = 2000
+UNLABELLED = 6000
 #: Hash buckets of features, and the uses in confirmed texts that one must have: so many, and per text.
 BUCKETS = 1 << 18
 SEEN_IN = 3
@@ -82,33 +84,43 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
         return Model(np.zeros(BUCKETS), start)
-    docs = positive + unlabelled
     n_pos, n_unl = len(positive), len(unlabelled)
+    n_docs = n_pos + n_unl
     ids: dict[str, int] = {}
-    word = np.fromiter((ids.setdefault(w, len(ids)) for d in docs for w in d.split(" ")), "int64")
-    doc = np.repeat(np.arange(len(docs)), [d.count(" ") + 1 for d in docs])
-    parts = [features_of(w) for w in ids]
-    feature = np.fromiter((f for p in parts for f in p), "int64")
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    word, sizes = array("i"), array("i")
+    for line in chain(positive, unlabelled):
+        words = line.split(" ")
+        word.extend(ids.setdefault(w, n_words) for w in words)
+        sizes.append(len(words))
+    n_words = len(ids)
+    feature, widths = array("i"), array("i")
+    for w in ids:
+        found = features_of(w)
+        feature.extend(found)
+        widths.append(len(found))
+    del ids
+    word, feature = np.frombuffer(word, "int32"), np.frombuffer(feature, "int32")
+    doc = np.repeat(np.arange(n_docs, dtype="int32"), np.frombuffer(sizes, "int32"))
+    owner = np.repeat(np.arange(n_words, dtype="int32"), np.frombuffer(widths, "int32"))
     # evidence only adds up: features not clearly more common among the confirmed texts stay at zero
-    in_pos = np.bincount(feature, np.bincount(word[doc < n_pos], minlength=len(ids))[owner], BUCKETS)
-    in_unl = np.bincount(feature, np.bincount(word[doc >= n_pos], minlength=len(ids))[owner], BUCKETS)
+    in_pos = np.bincount(feature, np.bincount(word[doc < n_pos], minlength=n_words)[owner], BUCKETS)
+    in_unl = np.bincount(feature, np.bincount(word[doc >= n_pos], minlength=n_words)[owner], BUCKETS)
     allowed = (in_pos >= max(SEEN_IN, SEEN_SHARE * n_pos)) & (prior * in_pos / n_pos >= TOXIC_SHARE * in_unl / n_unl)
     feature, owner = feature[allowed[feature]], owner[allowed[feature]]
-    useful = np.bincount(owner, minlength=len(ids)) > 0
+    useful = np.bincount(owner, minlength=n_words) > 0
     word, doc = word[useful[word]], doc[useful[word]]
     w, b = np.zeros(BUCKETS), start
     m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    is_pos = np.arange(len(docs)) < n_pos
+    is_pos = np.arange(n_docs) < n_pos
     for step in range(1, STEPS + 1):
-        z = np.bincount(doc, np.bincount(owner, w[feature], len(ids))[word], len(docs)) + b
+        z = np.bincount(doc, np.bincount(owner, w[feature], n_words)[word], n_docs) + b
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         loss = np.logaddexp(0, z)  # of calling it toxic when it isn't
         negative = loss[~is_pos].mean() - prior * loss[is_pos].mean()
         as_negative = np.where(is_pos, -prior / n_pos * p, p / n_unl)
         # below zero the negative part is pushed back up, without the positive part
         slope = np.where(is_pos, prior / n_pos * (p - 1), 0) + as_negative if negative >= 0 else -as_negative
-        by_word = np.bincount(word, slope[doc], len(ids))
+        by_word = np.bincount(word, slope[doc], n_words)
         g = np.concatenate([np.bincount(feature, by_word[owner], BUCKETS), [slope.sum()]])
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
