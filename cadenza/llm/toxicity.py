@@ -90,7 +90,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     word, sizes = array("i"), array("i")
     for line in chain(positive, unlabelled):
         words = line.split(" ")
-        word.extend(ids.setdefault(w, n_words) for w in words)
+        word.extend(ids.setdefault(w, len(ids)) for w in words)
         sizes.append(len(words))
     n_words = len(ids)
     feature, widths = array("i"), array("i")
