@@ -29,9 +29,9 @@ UNLABELLED = 6000
 #: Hash buckets of features, and the uses in confirmed texts that one must have: so many, and per text.
 BUCKETS = 1 << 18
 SEEN_IN = 3
-SEEN_SHARE = 0.005
+SEEN_SHARE = 0.01
 #: Share of a feature's uses that the class prior puts in toxic texts, at least.
-TOXIC_SHARE = 0.5
+TOXIC_SHARE = 0.6
 GRAM = 5
 STEPS = 200
 RATE = 0.1
