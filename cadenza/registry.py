@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import shared, timeline
+from .plans import library, shared, timeline
 
-QUERIES: dict = {**timeline.QUERIES, **shared.QUERIES}
-ORACLES: dict = {**timeline.ORACLES, **shared.ORACLES}
+QUERIES: dict = {**timeline.QUERIES, **shared.QUERIES, **library.QUERIES}
+ORACLES: dict = {**timeline.ORACLES, **shared.ORACLES, **library.ORACLES}
