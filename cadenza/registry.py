@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import library, shared, timeline
+from .plans import library, shared, streams, timeline
 
-QUERIES: dict = {**timeline.QUERIES, **shared.QUERIES, **library.QUERIES}
-ORACLES: dict = {**timeline.ORACLES, **shared.ORACLES, **library.ORACLES}
+QUERIES: dict = {**timeline.QUERIES, **shared.QUERIES, **library.QUERIES, **streams.QUERIES}
+ORACLES: dict = {**timeline.ORACLES, **shared.ORACLES, **library.ORACLES, **streams.ORACLES}
