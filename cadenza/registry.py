@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import library, shared, streams, timeline
+from .plans import blocks, library, scores, shared, streams, timeline
 
-QUERIES: dict = {**timeline.QUERIES, **shared.QUERIES, **library.QUERIES, **streams.QUERIES}
-ORACLES: dict = {**timeline.ORACLES, **shared.ORACLES, **library.ORACLES, **streams.ORACLES}
+QUERIES: dict = {**timeline.QUERIES, **shared.QUERIES, **library.QUERIES, **streams.QUERIES, **scores.QUERIES, **blocks.QUERIES}
+ORACLES: dict = {**timeline.ORACLES, **shared.ORACLES, **library.ORACLES, **streams.ORACLES, **scores.ORACLES, **blocks.ORACLES}
