@@ -50,3 +50,58 @@ def posix_path(path: Column) -> Column:
     p = F.regexp_replace(p, "/+", "/")
     p = F.regexp_replace(p, r"(^|/)(\./)+", "$1")
     return F.regexp_replace(p, "(.)/$", "$1")
+
+
+def parsed_tags(raw: Column, stop: list[str], most: int, words: int = 4, stem: int = 7, per_stem: int = 2) -> Column:
+    """Tags of a comma, semicolon or line list: cleaned, without stop words, of at most some words, at most per_stem of one beginning, the first `most`."""
+    parts = F.transform(F.split(F.lower(F.coalesce(raw, F.lit(""))), r"[,;\n]"), lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9 -]", " "), " +", " ")))
+    ok = F.filter(parts, lambda t: (F.length(t) > 2) & ~t.isin(stop) & (F.size(F.split(t, " ")) <= words))
+    ok = F.array_distinct(ok)
+    # how many earlier tags share the beginning
+    kept = F.filter(ok, lambda t, i: F.size(F.filter(F.slice(ok, F.lit(1), i), lambda o: F.substring(o, 1, stem) == F.substring(t, 1, stem))) < per_stem)
+    return F.slice(kept, 1, most)
+
+
+def generalised_tag(tag: Column) -> Column:
+    """Counts become words: 'one person', 'two people', 'group of people'; bare numbers give null."""
+    n = F.regexp_extract(tag, r"^(\d+) (?:people|persons|person|men|women)$", 1).try_cast("int")
+    return F.when(tag.rlike(r"^\d+$"), None).when(n == 1, "one person").when(n == 2, "two people").when(n > 2, "group of people").otherwise(tag)
+
+
+def refused(text: Column, phrases: list[str]) -> Column:
+    """Whether an answer is empty or holds one of the phrases, white space folded and case ignored."""
+    folded = F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
+    out = folded == ""
+    for p in phrases:
+        out = out | F.contains(folded, F.lit(p))
+    return out
+
+
+def same_meaning(a: Column, b: Column, stem: int = 5) -> Column:
+    """Whether two tags have the same distinct word beginnings, or those of one are all in the other's."""
+    x, y = stems(a, stem), stems(b, stem)
+    return (F.size(x) > 0) & (F.size(y) > 0) & ((F.size(F.array_except(x, y)) == 0) | (F.size(F.array_except(y, x)) == 0))
+
+
+def in_lexicon(tag: Column, words: list[str]) -> Column:
+    return F.arrays_overlap(tokens(tag), F.array(*[F.lit(w) for w in words]))
+
+
+def narrative(raw: Column, prefixes: list[str], most: int = 3) -> Column:
+    """Text without a leading label and bullets, white space folded, its first sentences."""
+    out = F.trim(F.coalesce(raw, F.lit("")))
+    for p in prefixes:
+        out = F.when(F.startswith(F.lower(out), F.lit(p.lower())), F.trim(F.substring(out, len(p) + 1, 1 << 30))).otherwise(out)
+    out = F.regexp_replace(out, r"(?m)^[ \t]*[-*\u2022]+[ \t]+", "")
+    return F.array_join(sentences(F.regexp_replace(out, r"\s+", " "), most), " ")
+
+
+def int_list(raw: Column) -> Column:
+    """Whole numbers of '3', '1,2' or '[1, 2]'; other parts are left out."""
+    return F.array_compact(F.transform(F.split(F.regexp_replace(F.coalesce(raw, F.lit("")), r"[\[\]\s]", ""), ","), lambda x: x.try_cast("long")))
+
+
+def paths_below(json: Column, token: str) -> Column:
+    """String values at any depth of a JSON text whose own key holds the token, distinct and sorted."""
+    found = F.regexp_extract_all(json, F.lit(rf'"[^"]*{token}[^"]*"\s*:\s*"([^"]*)"'), F.lit(1))
+    return F.array_sort(F.array_distinct(found))
