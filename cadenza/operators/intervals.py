@@ -69,3 +69,29 @@ def band(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str,
     l = left.withColumn("_b", F.floor(F.col(at) / reach))
     pairs = l.join(r, [*keys, "_b"]).where(F.abs(F.col(at) - F.col(r_at)) <= reach)
     return pairs.groupBy(*left.columns).agg(agg)
+
+
+def interpolated(points: DataFrame, anchors: DataFrame, keys: list[str], at: str, a_at: str, value: str, out: str = "interpolated") -> DataFrame:
+    """points with the value on the line between the anchors before and after; outside of the anchors the nearest one's value."""
+    back = as_of(points, anchors, keys, at, a_at, [value]).withColumnsRenamed({a_at: "_t0", value: "_v0"})
+    both = as_of(back, anchors, keys, at, a_at, [value], "forward").withColumnsRenamed({a_at: "_t1", value: "_v1"})
+    line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(at) - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
+    inside = F.col("_t0").isNotNull() & F.col("_t1").isNotNull() & (F.col("_t1") > F.col("_t0"))
+    return both.withColumn(out, F.when(inside, line).otherwise(F.coalesce("_v0", "_v1"))).drop("_t0", "_v0", "_t1", "_v1")
+
+
+def accepted(anchors: DataFrame, keys: list[str], start: str, tie: str, end: str) -> DataFrame:
+    """Intervals taken in order of start, but for those that overlap the last one taken.
+
+    Where all intervals before have ended, what follows is independent: series are cut there.
+    """
+    from .sequence import fold
+
+    w = Window.partitionBy(*keys).orderBy(start, tie)
+    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cut = anchors.withColumn("_new", F.coalesce((F.col(start) >= reach).cast("int"), F.lit(0))).withColumn("_part", F.sum("_new").over(w)).drop("_new")
+
+    def step(acc, row):
+        return F.when(row[start] >= F.element_at(acc, -1)[end], F.concat(acc, F.array(row))).otherwise(acc)
+
+    return fold(cut, [*keys, "_part"], start, tie, step).drop("_part")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import blocks, library, scores, shared, stores, streams, timeline
+from .plans import blocks, joins, library, scores, shared, stores, streams, timeline
 
-QUERIES: dict = {**timeline.QUERIES, **shared.QUERIES, **library.QUERIES, **streams.QUERIES, **scores.QUERIES, **blocks.QUERIES, **stores.QUERIES}
-ORACLES: dict = {**timeline.ORACLES, **shared.ORACLES, **library.ORACLES, **streams.ORACLES, **scores.ORACLES, **blocks.ORACLES, **stores.ORACLES}
+QUERIES: dict = {**timeline.QUERIES, **shared.QUERIES, **library.QUERIES, **streams.QUERIES, **scores.QUERIES, **blocks.QUERIES, **stores.QUERIES, **joins.QUERIES}
+ORACLES: dict = {**timeline.ORACLES, **shared.ORACLES, **library.ORACLES, **streams.ORACLES, **scores.ORACLES, **blocks.ORACLES, **stores.ORACLES, **joins.ORACLES}
