@@ -197,11 +197,13 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(ks), np.concatenate(ths), h, c, lo, hi)], names=["k", "th", "h", "c", "lo", "hi"])
 
     found = cut(docs.mapInArrow(find, "k long, th long, h long, c long, lo long, hi long"), "suffix-anchors")
-    often = found.groupBy("h").count().where("count > 1").select("h")
+    # counts are written before they are joined: only a join of two plain reads is split where a key is hot
+    often = cut(found.groupBy("h").count().where("count > 1").select("h"), "suffix-often")
     shared = cut(found.join(often, "h"), "suffix-shared")
     classes = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "lo", "hi")).alias("rep"))
     classes = cut(classes, "suffix-classes")
     open_ = classes.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("contexts")).where("least = 1").select("h", "contexts")
+    open_ = cut(open_, "suffix-open")
     todo = classes.join(open_, "h").select("rep.*", "h", "n", (F.col("contexts") > CONTEXTS).alias("hot"))
     jobs = todo.groupBy("k", "th").agg(F.collect_list(F.struct("h", "n", "lo", "hi", "hot")).alias("jobs"))
     jobs = jobs.withColumnsRenamed({"k": "jk", "th": "jth"})
@@ -285,6 +287,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     dealt = cut(fetched.where("hot").mapInPandas(windows, "k long, th long, n long, lo long, w1 long, w2 long"), "suffix-windows")
     twice = dealt.groupBy("w1", "w2").agg(F.sum("n").alias("total")).where("total > 1").select("w1", "w2")
+    twice = cut(twice, "suffix-twice")
     counted = dealt.where("n = 1").join(twice, ["w1", "w2"]).select("k", "th", "lo", F.col("lo").alias("hi"))
 
     same = shared.join(classes.where("n > 1").select("h", "c"), ["h", "c"]).select("k", "th", "lo", "hi")
