@@ -4,7 +4,8 @@ A linear model over hashed words and character 5-grams is trained with numpy fro
 texts and unlabelled ones. The risk is prior * E_P[l(+)] + max(0, E_U[l(-)] - prior * E_P[l(-)]):
 unlabelled texts count as negative, less the share that the class prior says is toxic, and the
 negative part is kept from falling below zero, where the model would only fit its sample. An L1
-step keeps noise out of long texts. Scoring runs in tasks over whole texts.
+step keeps noise out of long texts, and no single word counts beyond a bound, so that it takes more
+than one chance word to call a text toxic. Scoring runs in tasks over whole texts.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ GRAM = 5
 STEPS = 200
 RATE = 0.1
 L1 = 1e-4
+#: The most that one word adds to a text's score, on the scale of log odds.
+WORD_MOST = 2.0
 #: Words whose weight a task remembers.
 REMEMBERED = 500_000
 
@@ -71,7 +74,7 @@ class Model:
                 if v is None:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    v = known[w] = float(weights[features_of(w)].sum())
+                    v = known[w] = min(float(weights[features_of(w)].sum()), WORD_MOST)
                 z += v
             return 1 / (1 + float(np.exp(-min(max(z, -500), 500))))
 
@@ -113,14 +116,15 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     is_pos = np.arange(n_docs) < n_pos
     for step in range(1, STEPS + 1):
-        z = np.bincount(doc, np.bincount(owner, w[feature], n_words)[word], n_docs) + b
+        value = np.bincount(owner, w[feature], n_words)
+        z = np.bincount(doc, np.minimum(value, WORD_MOST)[word], n_docs) + b
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         loss = np.logaddexp(0, z)  # of calling it toxic when it isn't
         negative = loss[~is_pos].mean() - prior * loss[is_pos].mean()
         as_negative = np.where(is_pos, -prior / n_pos * p, p / n_unl)
         # below zero the negative part is pushed back up, without the positive part
         slope = np.where(is_pos, prior / n_pos * (p - 1), 0) + as_negative if negative >= 0 else -as_negative
-        by_word = np.bincount(word, slope[doc], n_words)
+        by_word = np.bincount(word, slope[doc], n_words) * (value < WORD_MOST)  # beyond its bound a word has no slope
         g = np.concatenate([np.bincount(feature, by_word[owner], BUCKETS), [slope.sum()]])
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
