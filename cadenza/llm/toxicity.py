@@ -5,7 +5,8 @@ texts and unlabelled ones. The risk is prior * E_P[l(+)] + max(0, E_U[l(-)] - pr
 unlabelled texts count as negative, less the share that the class prior says is toxic, and the
 negative part is kept from falling below zero, where the model would only fit its sample. An L1
 step keeps noise out of long texts, and no single word counts beyond a bound, so that it takes more
-than one chance word to call a text toxic. Scoring runs in tasks over whole texts.
+than one chance word to call a text toxic, unless the sample shows surely that the word is toxic by
+itself. Scoring runs in tasks over whole texts.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .common import small_batches, table
 POSITIVES = 2000
 UNLABELLED = 6000
 #: Hash buckets of features, and the uses in confirmed texts that one must have: so many, and per text.
-BUCKETS = 1 << 18
+BUCKETS = 1 << 20
 SEEN_IN = 3
 SEEN_SHARE = 0.01
 #: Share of a feature's uses that the class prior puts in toxic texts, at least.
@@ -37,8 +38,10 @@ GRAM = 5
 STEPS = 200
 RATE = 0.1
 L1 = 1e-4
-#: The most that one word adds to a text's score, on the scale of log odds.
-WORD_MOST = 2.0
+#: The most that one word adds to a text's score, on the scale of log odds, and the most of a word with a sure feature.
+WORD_MOST, SURE_MOST = 1.4, 5.0
+#: A feature is sure if toxic texts are this share of those that show it at least, less an error of one over the root of their number.
+SURE_SHARE = 0.85
 #: Words whose weight a task remembers.
 REMEMBERED = 500_000
 
@@ -60,12 +63,13 @@ def features_of(word: str) -> list[int]:
 @dataclass
 class Model:
     weights: np.ndarray
+    sure: np.ndarray
     bias: float
 
     def scorer(self):
         """A function that scores one text between 0 and 1."""
         known: dict[str, float] = {}
-        weights, bias = self.weights, self.bias
+        weights, sure, bias = self.weights, self.sure, self.bias
 
         def score(text: str | None) -> float:
             z = bias
@@ -74,7 +78,8 @@ class Model:
                 if v is None:
                     if len(known) >= REMEMBERED:
                         known.clear()
-                    v = known[w] = min(float(weights[features_of(w)].sum()), WORD_MOST)
+                    f = features_of(w)
+                    v = known[w] = min(float(weights[f].sum()), SURE_MOST if sure[f].any() else WORD_MOST)
                 z += v
             return 1 / (1 + float(np.exp(-min(max(z, -500), 500))))
 
@@ -86,7 +91,7 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     prior = min(max(prior, 1e-3), 0.999)
     start = float(np.log(prior / (1 - prior)))
     if not positive or not unlabelled:
-        return Model(np.zeros(BUCKETS), start)
+        return Model(np.zeros(BUCKETS), np.zeros(BUCKETS, bool), start)
     n_pos, n_unl = len(positive), len(unlabelled)
     n_docs = n_pos + n_unl
     ids: dict[str, int] = {}
@@ -112,27 +117,41 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
     feature, owner = feature[allowed[feature]], owner[allowed[feature]]
     useful = np.bincount(owner, minlength=n_words) > 0
     word, doc = word[useful[word]], doc[useful[word]]
-    w, b = np.zeros(BUCKETS), start
-    m, v = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
+    # texts that show a feature: toxic ones show an ambiguous feature often, so its uses would say too much
+    many = np.bincount(owner, minlength=n_words)[word]
+    at = np.repeat(np.searchsorted(owner, word) - np.cumsum(many) + many, many) + np.arange(many.sum())
+    shown = np.unique(np.repeat(doc.astype("int64"), many) * BUCKETS + feature[at])
+    by_pos = shown // BUCKETS < n_pos
+    pos_texts, unl_texts = (np.bincount(shown[side] % BUCKETS, minlength=BUCKETS) for side in (by_pos, ~by_pos))
+    share = np.minimum(prior * pos_texts / n_pos / np.maximum(unl_texts / n_unl, 1e-12), 1)
+    sure = allowed & (share - 1 / np.sqrt(np.maximum(pos_texts, 1)) >= SURE_SHARE)
+    most = np.full(n_words, WORD_MOST)
+    most[owner[sure[feature]]] = SURE_MOST
+    active = np.flatnonzero(allowed)  # the rest stays at zero
+    feature = np.searchsorted(active, feature)
+    w, b = np.zeros(len(active)), start
+    m, v = np.zeros(len(active) + 1), np.zeros(len(active) + 1)
     is_pos = np.arange(n_docs) < n_pos
     for step in range(1, STEPS + 1):
         value = np.bincount(owner, w[feature], n_words)
-        z = np.bincount(doc, np.minimum(value, WORD_MOST)[word], n_docs) + b
+        z = np.bincount(doc, np.minimum(value, most)[word], n_docs) + b
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
         loss = np.logaddexp(0, z)  # of calling it toxic when it isn't
         negative = loss[~is_pos].mean() - prior * loss[is_pos].mean()
         as_negative = np.where(is_pos, -prior / n_pos * p, p / n_unl)
         # below zero the negative part is pushed back up, without the positive part
         slope = np.where(is_pos, prior / n_pos * (p - 1), 0) + as_negative if negative >= 0 else -as_negative
-        by_word = np.bincount(word, slope[doc], n_words) * (value < WORD_MOST)  # beyond its bound a word has no slope
-        g = np.concatenate([np.bincount(feature, by_word[owner], BUCKETS), [slope.sum()]])
+        by_word = np.bincount(word, slope[doc], n_words) * (value < most)  # beyond its bound a word has no slope
+        g = np.concatenate([np.bincount(feature, by_word[owner], len(active)), [slope.sum()]])
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         rate = RATE / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         move = rate * m / (1 - 0.9**step)
-        w = np.maximum(w - move[:-1] - L1 * rate[:-1], 0) * allowed
+        w = np.maximum(w - move[:-1] - L1 * rate[:-1], 0)
         b -= move[-1]
-    return Model(w, float(b))
+    weights = np.zeros(BUCKETS, "float32")
+    weights[active] = w
+    return Model(weights, sure, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -162,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "score") -> DataFrame:
     """docs with a column of scores; null and empty texts get the model's bias. A column named out is replaced."""
     kept = docs.drop(out)
-    spread = kept.sparkSession.sparkContext.broadcast(model)  # 2 MB, whatever the data
+    spread = kept.sparkSession.sparkContext.broadcast(model)  # 5 MB, whatever the data
 
     small_batches(docs.sparkSession)
 

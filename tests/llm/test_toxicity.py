@@ -36,7 +36,7 @@ def test_held_out_accuracy(spark):
 def test_held_out_rule_and_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "x"), (3, "word " * 4000), (3, "word " * 4000)]
     d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash"))
-    got = tox.score(d.withColumn("held", tox.held_out()), tox.Model(tox.np.zeros(tox.BUCKETS), 0.0)).collect()
+    got = tox.score(d.withColumn("held", tox.held_out()), tox.Model(tox.np.zeros(tox.BUCKETS), tox.np.zeros(tox.BUCKETS, bool), 0.0)).collect()
     assert sorted((str(r.doc_id), r.held) for r in got) == sorted((str(i), i is None or zlib.crc32(str(i).encode()) % 5 == 0) for i, _ in rows)
     assert {r.score for r in got} == {0.5}
 
