@@ -239,11 +239,11 @@ def prj41(spark: SparkSession, d: str) -> DataFrame:
     return g.where("n > 1").select("family", F.lit("family_across_splits").alias("rule"))
 
 
-@query("prj42_key_number", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN NULL ELSE event_id END AS k FROM {ev}")
+@query("prj42_key_number", "SELECT event_id, event_id AS k FROM {ev} WHERE event_id % 3 <> 2")
 def prj42(spark: SparkSession, d: str) -> DataFrame:
     i = F.col("event_id").cast("string")
     key = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("clip_"), i)).when(F.col("event_id") % 3 == 1, i).otherwise(F.concat(F.lit("x"), i))
-    return events(spark, d).select("event_id", scoring.key_number(key, "clip_").alias("k"))
+    return events(spark, d).select("event_id", scoring.key_number(key, "clip_").alias("k")).where("k is not null")
 
 
 #: Context levels that feedback on an axis touches. Fixed values.

@@ -92,7 +92,7 @@ def snk17(spark: SparkSession, d: str) -> DataFrame:
     "snk18_guarded_states",
     """WITH s AS (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'queued' WHEN 1 THEN 'running' WHEN 2 THEN 'completed' ELSE 'failed' END AS state, CASE o_orderkey % 3 WHEN 0 THEN 'running' WHEN 1 THEN 'completed' ELSE 'queued' END AS target, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice END AS started FROM orders),
 m AS (SELECT *, (state = 'queued' AND target = 'running') OR (state = 'running' AND target IN ('completed', 'failed')) OR (state = 'failed' AND target = 'queued') AS moved FROM s)
-SELECT o_orderkey, moved, CASE WHEN moved THEN target ELSE state END AS state, CASE WHEN moved AND target = 'running' THEN coalesce(started, 1.0E0) ELSE started END AS started FROM m""",
+SELECT o_orderkey, moved, CASE WHEN moved THEN target ELSE state END AS state, CASE WHEN moved AND target = 'running' THEN coalesce(started, 1.0E0) ELSE coalesce(started, 0.0E0) END AS started FROM m""",
 )
 def snk18(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
@@ -101,7 +101,7 @@ def snk18(spark: SparkSession, d: str) -> DataFrame:
     )
     target = F.when(k % 3 == 0, "running").when(k % 3 == 1, "completed").otherwise("queued")
     steps = {"queued": ["running"], "running": ["completed", "failed"], "failed": ["queued"]}
-    return stores.guarded(o, "state", target, steps, "started", F.lit(1.0), "running").select("o_orderkey", "moved", "state", "started")
+    return stores.guarded(o, "state", target, steps, "started", F.lit(1.0), "running").select("o_orderkey", "moved", "state", F.coalesce("started", F.lit(0.0)).alias("started"))
 
 
 @query("snk19_interrupted", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'interrupted' ELSE o_orderstatus END AS status FROM orders")

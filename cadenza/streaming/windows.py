@@ -24,7 +24,7 @@ def hopping(df: DataFrame, us: str, length: int, overlap: int) -> DataFrame:
     hop = length - overlap
     last = F.floor(F.col(us) / hop)
     first = F.floor((F.col(us) - length) / hop) + 1
-    return df.withColumn("window_start", F.explode(F.sequence(first, last)) * hop)
+    return df.withColumn("window_start", F.explode(F.transform(F.sequence(first, last), lambda n: n * hop)))
 
 
 def tiled(df: DataFrame, us: str, length: int, overlap: int) -> DataFrame:

