@@ -64,3 +64,10 @@ def jaccard(a, b) -> Column:
     """Share of common members; an empty side gives 0.5."""
     either = F.size(F.array_union(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.5).otherwise(F.size(F.array_intersect(a, b)) / either)
+
+
+def checked_unit(a, size: int, least: float = 1e-8) -> Column:
+    """The unit vector with NaN taken as 0; null for another size or a length under `least`."""
+    clean = F.transform(a, lambda x: F.when(F.isnan(x), 0.0).otherwise(x.cast("double")))
+    n = norm(clean)
+    return F.when((F.size(a) == size) & (n > least), F.transform(clean, lambda x: x / n))
