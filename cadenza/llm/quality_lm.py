@@ -9,11 +9,10 @@ one row per block. Documents are kept within language-specific quantiles of thei
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +40,18 @@ def codes(text: str | None) -> np.ndarray:
     return np.concatenate([np.full(ORDER - 1, 2, "uint16"), np.minimum(points, 0xFFFF).astype("uint16")])
 
 
+def packed_codes(c: np.ndarray) -> bytes:
+    """Codes compressed with their low and high bytes apart, so that copies anywhere in the block are found."""
+    options = zstandard.ZstdCompressionParameters.from_level(9, window_log=25, enable_ldm=True)
+    planes = (c & 0xFF).astype("uint8").tobytes() + (c >> 8).astype("uint8").tobytes()
+    return zstandard.ZstdCompressor(compression_params=options).compress(planes)
+
+
+def unpacked_codes(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor(max_window_size=1 << 25).decompress(data), "uint8").reshape(2, -1).astype("uint16")
+    return planes[0] | planes[1] << 8
+
+
 def grams(c: np.ndarray) -> np.ndarray:
     """Each run of four codes as one signed 64-bit key."""
     if len(c) < ORDER:
@@ -169,10 +180,9 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
         task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def packed():
-            texts = [c.tobytes() for _, _, c in held]
             return pa.RecordBatch.from_arrays([
                 pa.array([(task << 32) + made]), pa.array([[d for d, _, _ in held]], pa.list_(pa.int64())), pa.array([[x for _, x, _ in held]], pa.list_(pa.string())),
-                pa.array([[len(t) // 2 for t in texts]], pa.list_(pa.int64())), pa.array([zlib.compress(b"".join(texts), 3)], pa.binary()),
+                pa.array([[len(c) for _, _, c in held]], pa.list_(pa.int64())), pa.array([packed_codes(np.concatenate([c for _, _, c in held]))], pa.binary()),
             ], names=["block", "ids", "langs", "sizes", "data"])
 
         for batch in batches:
@@ -188,8 +198,7 @@ def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id"
     blocks = cut(rows.mapInArrow(block, "block long, ids array<long>, langs array<string>, sizes array<long>, data binary"), "kn-blocks")
 
     def texts_of(sizes, data):
-        all_ = np.frombuffer(zlib.decompress(data), "uint16")
-        return np.split(all_, np.cumsum(sizes)[:-1])
+        return np.split(unpacked_codes(data), np.cumsum(sizes)[:-1])
 
     def ask(batches):
         for pdf in batches:
