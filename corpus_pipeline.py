@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from cadenza.llm.common import cut, table
 from cadenza.llm.decontaminate import drop_contaminated
+from cadenza.llm.near_copies import keep_one_each
 from cadenza.llm.packing import pack
-from cadenza.llm.simhash import keep_one_each
 from cadenza.llm.suffix_dedup import remove_repeats
 from cadenza.llm.toxicity import fit_on_labels, score
 
@@ -22,7 +22,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id."""
+    """One document of each group that five-word shingles link at a similarity of 0.8, that of the smallest doc_id."""
     return keep_one_each(docs)
 
 
