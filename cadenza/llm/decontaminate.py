@@ -109,10 +109,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     # and those of the documents
     seen = _winnowed(row.select("doc_id", "th", words(F.col("text")).alias("w")))
-    prints = [F.col(f"m{WINDOW - GRAM + 1}")] if WINDOW in lengths else []
     for s in sizes:
         seen = _grams(seen, s)
-        prints = [p for p in prints if s != GRAM] + [F.col(f"g{s}")]
+    prints = [F.col(f"g{s}") for s in sizes]
+    if WINDOW in lengths and GRAM not in sizes:  # all grams of GRAM words hold the least ones
+        prints.append(F.col(f"m{WINDOW - GRAM + 1}"))
     shown = seen.select("doc_id", "th", F.explode_outer(F.array_distinct(F.concat(*prints))).alias("fp"))
     suspects = shown.join(_small(marks, n_windows), "fp").select("doc_id", "th").distinct()
 

@@ -66,6 +66,18 @@ def test_matches_brute_force(spark):
         assert sum(r[5] for r in want) > 5
 
 
+def test_short_items_beside_longer_ones(spark):
+    long = " ".join(f"l{i}" for i in range(20))
+    short = [(n, " ".join(f"s{n}x{i}" for i in range(n))) for n in (1, 2, 3, 4)]
+    docs = [*short, *((10 + n, f"a b {t} c") for n, t in short), (20, "five a b c d five"), (21, "nothing here"), (22, long)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for others in ([(90, "a b c d five")], [(91, long)], [(90, "a b c d five"), (91, long)]):
+        items = short + others
+        got = sorted((tuple(r) for r in contamination(d, spark.createDataFrame(items, "item_id long, text string")).collect()), key=str)
+        assert got == brute(docs, items)
+        assert all(r[5] for r in got if r[0] < 20)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
