@@ -160,12 +160,12 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg28_kmeans", None)
 def kmeans(spark: SparkSession, d: str) -> DataFrame:
-    """Five clusters of the vectors, fitted on at most 10,000 of them."""
+    """Five clusters of the vectors, fitted on all of them."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     v = read(spark, d, "embeddings").select("vec_id", array_to_vector(F.transform("embedding", lambda x: x.cast("double"))).alias("features"))
-    model = KMeans(k=5, seed=42, maxIter=10).fit(v.orderBy(F.xxhash64("vec_id")).limit(10_000))
+    model = KMeans(k=5, seed=42, maxIter=10).fit(v)
     return model.transform(v).groupBy("prediction").agg(F.count("*").alias("n"))
 
 
