@@ -2,6 +2,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from cadenza.llm import url_filter
 from cadenza.llm.url_filter import RULES, filter_urls, judge
 
 
@@ -41,6 +42,18 @@ def test_trees_learn_lexical_signs(spark):
     assert all((r.p_block >= 0.5) == bool(r.want) for r in out)
 
 
+def test_callers_labels_and_a_repeated_url(spark, monkeypatch):
+    """One url that stands often doesn't fill the sample, null labels and ids don't matter, and both joins agree."""
+    rows = [(f"http://good{i}.org/a{i}", 0) for i in range(40)] + [(f"http://bad{i}.biz/{'9' * 9}{i}", 1) for i in range(40)]
+    labels = spark.createDataFrame(rows + [rows[0]] * 500 + [(None, 1), ("http://x.y/", None)], "url string, label int")
+    pages = spark.createDataFrame([(None if i == 3 else i, u) for i, (u, _) in enumerate(rows)] + [(500, "http://new.biz/9999999991"), (501, "http://new.org/a1")], "page_id long, url string")
+    got = {r.host: (r.verdict, round(r.p_block, 9)) for r in filter_urls(pages, rules=(), labels=labels).collect()}
+    assert len(got) == 82 and all(v == ("block" if h.endswith("biz") else "allow") for h, (v, _) in got.items() if not h.startswith("new"))
+    assert got["new.biz"][0] == "block" and got["new.org"][0] == "allow"
+    monkeypatch.setattr(url_filter, "BROADCAST_SUFFIXES", 0)
+    assert got == {r.host: (r.verdict, round(r.p_block, 9)) for r in filter_urls(pages, rules=(), labels=labels).collect()}
+
+
 def test_empty_and_one_class(spark):
     df = spark.createDataFrame([(1, "http://x.org/")], "page_id long, url string")
     assert filter_urls(df).first().verdict == "allow"
