@@ -1,4 +1,5 @@
 import random
+import time
 from collections import defaultdict
 
 from pyspark.sql import functions as F
@@ -55,3 +56,25 @@ def test_bins_hold_their_rules(spark):
             assert r.bin_offset == at
             at += r.n_tokens
     assert pack(df.where("false")).collect() == []
+
+
+def test_shards_against_brute_force(spark):
+    """The whole operator: each shard is best fit over its pieces, largest first."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 250))), rng.choice("abcd")) for i in range(300)]
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), capacity=100).collect()
+    assert len(out) == sum(max(1, -(-len(t.split()) // 100)) for _, t, _ in rows)
+    order = sorted(out, key=lambda r: (-r.n_tokens, r.doc_id, r.piece))
+    text = {i: t for i, t, _ in rows}
+    assert [r.bin_id for r in order] == brute([r.n_tokens for r in order], [r.source for r in order], [text[r.doc_id] for r in order], 100)
+
+
+def test_repeated_rows_are_shared_out(spark):
+    began = time.perf_counter()
+    one = spark.createDataFrame([(7, "same text here", "s")], "doc_id long, text string, source string")
+    many = one.crossJoin(spark.range(200_000)).select("doc_id", "text", "source")
+    out = pack(many)
+    per_shard = out.groupBy((F.col("bin_id") / (1 << 24)).cast("int").alias("shard")).count().collect()
+    assert sum(r["count"] for r in per_shard) == 200_000 and max(r["count"] for r in per_shard) < 6000
+    assert out.select("bin_id").distinct().count() == 200_000
+    assert time.perf_counter() - began < 120
