@@ -1,11 +1,13 @@
-"""Near copies by similarity: documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
+"""SimHash near-duplicates at a similarity: documents whose five-word shingles have a Jaccard similarity of 0.8 or more.
 
-A 64-bit SimHash sees such pairs at five to twelve differing bits, where a ring of segments prunes
-nothing. Candidates come from many independent fingerprints instead: BANDS hashes of ROWS MinHash
-values each, of which a pair at 0.8 shares none with a probability of (1 - 0.8 ** 5) ** 24, below
-1 in 10,000. Every candidate is then compared by its whole sets of shingles.
+Candidates come from the SimHash links of simhash.py: the fingerprints of the shingle sets meet
+through pigeonring chains at four differing bits or fewer. Pairs near 0.8 differ by five to twelve
+bits, where a chain's first segment is no longer equal and a ring prunes nothing; SimHash alone would
+lose them. So further candidates come from BANDS hashes of ROWS MinHash values each, of which a pair
+at 0.8 shares none with a probability of (1 - 0.8 ** 5) ** 24, below 1 in 10,000. Every candidate of
+either kind is then compared by its whole sets of shingles.
 
-Documents of one key are first compared with the least of them. Only those that are then still in
+Documents of one band are first compared with the least of them. Only those that are then still in
 different components are compared with each other, so a large family of copies makes no pairs.
 """
 
@@ -14,17 +16,20 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, small_batches
 from .components import connected
+from .simhash import links, majority
 
 SHINGLE = 5
 #: Two sets are linked if SHARE[1] * |both| >= SHARE[0] * |either|.
 SHARE = (4, 5)
 BANDS = 24
 ROWS = 5
+#: Rows of (id, hash) up to which a side is broadcast (under 32 MB); beyond, both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 _CHUNK = 1 << 12
 _RNG = np.random.default_rng(20)
 _TIMES = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype="uint64") * np.uint64(2) + np.uint64(1)
@@ -61,7 +66,10 @@ def _name(held: np.ndarray) -> int:
 def _sketches(batches):
     for pdf in batches:
         sets = [shingles(t) for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": [_name(s) for s in sets], "n": [len(s) for s in sets], "bands": [bands(s) if len(s) else [] for s in sets]})
+        yield pd.DataFrame({
+            "doc_id": pdf["doc_id"], "th": pdf["th"], "fp": [_name(s) for s in sets], "n": [len(s) for s in sets],
+            "sim": [majority(s) for s in sets], "bands": [bands(s) if len(s) else [] for s in sets],
+        })
 
 
 def _sets(batches):
@@ -78,24 +86,45 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return cut(pairs.join(one, "a").join(other, "b").where(SHARE[1] * both >= SHARE[0] * either).select("a", "b"), "near-links")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _by_simhash(distinct: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of sets (fp, sim) whose SimHash fingerprints are equal or linked by the pigeonring."""
+    heads = cut(distinct.groupBy("sim").agg(F.min("fp").alias("head")), "near-heads")
+    twins = distinct.join(heads, "sim").where("fp > head").select(F.col("head").alias("a"), F.col("fp").alias("b"))
+    one, other = (heads.select(F.col("sim").alias(x), F.col("head").alias(f"head_{x}")) for x in "ab")
+    linked = links(heads.select(F.col("sim").alias("fp"))).join(one, "a").join(other, "b")
+    return twins.unionByName(linked.select(F.least("head_a", "head_b").alias("a"), F.greatest("head_a", "head_b").alias("b")))
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and component_id, the least doc_id reachable over links, of every row; blank texts are copies of each other."""
+    """doc_id, th, component and component_id of every row.
+
+    th is the hash of its text, component names its group and component_id is the least doc_id in it.
+
+    Blank and null texts are copies of each other. An id may stand more than once, with equal or
+    different texts. Empty tables give an empty result; columns of any name may stand beside.
+    """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    prints = cut(rows.mapInPandas(_sketches, "doc_id long, fp long, n long, bands array<long>"), "near-sketches")
-    least = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "near-distinct")
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    prints = cut(rows.mapInPandas(_sketches, "doc_id long, th long, fp long, n long, sim long, bands array<long>"), "near-sketches")
+    least = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.min("sim").alias("sim"), F.min("n").alias("n")), "near-distinct")
     keys = prints.select("fp", "n", F.explode("bands").alias("key")).distinct()
     pivots = keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("size")).where("size > 1")
     keys = cut(keys.join(pivots.select("key", "pivot"), "key"), "near-keys")
 
-    asked = least.join(keys.select("fp").distinct(), "fp").select("fp", F.col("least").alias("doc_id"))
-    texts = rows.join(asked, "doc_id").select("fp", "text")
-    # an id that stands more than once may bring another text: its set has another name
+    near = keys.where("fp > pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
+    tried = cut(near.unionByName(_by_simhash(least.where("n > 0").select("fp", "sim"))).distinct(), "near-pairs")
+    asked = keys.select("fp").union(tried.select("a")).union(tried.select("b")).distinct()
+    asked = cut(least.join(asked, "fp").select("fp", "at.doc_id", "at.th"), "near-asked")
+    texts = rows.join(_small(asked), ["doc_id", "th"]).select("fp", "text")
     sets = cut(texts.mapInPandas(_sets, "fp long, held array<long>").where("held is not null").dropDuplicates(["fp"]), "near-sets")
 
-    tried = cut(keys.where("fp > pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "near-pairs")
-    links = _linked(tried, sets)
-    roots = connected(links, "a", "b")
+    similar = _linked(tried, sets)
+    roots = connected(similar, "a", "b")
     placed = keys.join(roots, keys.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key")
     placed = cut(placed.join(split, "key"), "near-split")
@@ -105,19 +134,34 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rest = a.join(b, "key").where(apart & alike).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
     more = _linked(rest.join(tried, ["a", "b"], "left_anti"), sets)
     if not more.isEmpty():
-        roots = connected(links.unionByName(more), "a", "b")
-    for part in (keys, placed, sets, tried):
+        roots = connected(similar.unionByName(more), "a", "b")
+    for part in (keys, placed, sets, tried, asked):
         drop_cut(part)
 
-    named = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.select("doc_id", "fp").join(cut(named.join(names, "root").select("fp", "component_id"), "near-components"), "fp").select("doc_id", "component_id")
+    named = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "at.doc_id")
+    names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = cut(named.join(names, "root").select("fp", F.col("root").alias("component"), "component_id"), "near-components")
+    return prints.select("doc_id", "th", "fp").join(named, "fp").select("doc_id", "th", "component", "component_id")
 
 
 def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies: that of the smallest id. Rows without an id stay."""
+    """docs with one row of each group of near copies: that of the smallest id, and of two texts of that id the one of lesser hash.
+
+    Rows without an id stay. Of rows that repeat one stays. Blank and null texts are one group. Empty
+    tables give an empty result; columns of any name stay as they are.
+    """
     named = docs.where(F.col(id_col).isNotNull())
-    stay = components(named, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    kept = named.join(stay, F.col(id_col) == F.col("_stays"), "left_semi")
-    kept = kept.withColumn("_copy", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("_copy = 1").drop("_copy")
+    id_, th = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
+    found = cut(components(named, id_col, text_col).groupBy("component", "doc_id", "th").agg(F.count("*").alias("copies")), "near-groups")
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("first"))
+    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    found = cut(found.join(first, "component").select(F.struct("doc_id", "th").alias("_near"), (stays & (F.col("copies") == 1)).alias("stays"), (stays & (F.col("copies") > 1)).alias("merged")), "near-decisions")
+    gone, again = (found.where(c).select("_near") for c in ("not stays", "merged"))
+    # rows as structs: their columns may have any name
+    whole = named.select(F.struct("*").alias("_row"), F.struct(id_.alias("doc_id"), th.alias("th")).alias("_key"))
+    same = F.col("_key") == F.col("_near")
+    kept = whole.join(_small(gone), same, "left_anti").select("_row.*")
+    if not again.isEmpty():
+        once = whole.join(_small(again), same, "left_semi").groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+        kept = kept.unionByName(once.select("_row.*"))
     return kept.unionByName(docs.where(F.col(id_col).isNull()))

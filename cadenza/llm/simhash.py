@@ -48,6 +48,11 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
         (digest(line[a:b], seed) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)),
         "uint64", len(words) - width + 1,
     )
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The signed 64-bit value whose bits are 1 if they are set in over half of the hashes; zero for none."""
     ones = np.zeros(64, "int64")
     for at in range(0, len(hashes), _CHUNK):
         part = hashes[at : at + _CHUNK]
@@ -149,4 +154,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component; nulls, repeats and empty tables as near_duplicates() says."""
     return near_duplicates(table(spark, sf_dir, "documents"))

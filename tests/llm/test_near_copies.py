@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from cadenza.llm import near_copies
 
 
@@ -58,5 +60,18 @@ def test_every_pair_of_0_8_is_linked_and_none_below(spark):
 
 def test_repeated_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (2, "G h i j k l"), (None, "x")], "doc_id long, text string")
-    assert sorted(r.doc_id or 0 for r in near_copies.keep_one_each(df).collect()) == [0, 1]
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in near_copies.keep_one_each(df).collect()) == [(0, "x"), (1, "a b c d e f"), (1, "g h i j k l")]
     assert near_copies.keep_one_each(df.where("false")).collect() == []
+
+
+def test_no_text_is_lost_and_none_stays_twice(spark):
+    """An id with two texts, one of which another id holds too; repeated rows; columns of clashing names; both kinds of join."""
+    rows = [(5, "a " * 9), (5, "b " * 9), (3, "a " * 9), (7, "c d"), (7, "c d"), (8, None), (9, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("th", "fp", "component_id", "_copy", "_near", "n", "key")})
+    want = [(3, "a"), (5, "b"), (7, "c d"), (8, "")]
+    for limit in (near_copies.BROADCAST_ROWS, 0):
+        near_copies.BROADCAST_ROWS, before = limit, near_copies.BROADCAST_ROWS
+        out = near_copies.keep_one_each(df)
+        near_copies.BROADCAST_ROWS = before
+        assert out.columns == df.columns
+        assert sorted((r.doc_id, " ".join(dict.fromkeys((r.text or "").split()))) for r in out.collect()) == want
