@@ -66,12 +66,12 @@ def _winnowed(df: DataFrame) -> DataFrame:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Distinct windows of all items: window (its words joined by spaces), n (its length), items (their ids as strings)."""
+    """Distinct windows of all items: w, n (its length), window (its words joined by spaces), items (their ids as strings)."""
     df = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("w"))
     df = df.where(F.size("w") > 0).withColumn("n", F.least(F.size("w"), F.lit(WINDOW)))
     starts = F.sequence(F.lit(1), F.size("w") - F.col("n") + 1)
     df = df.withColumn("at", F.explode(starts)).select("item", "n", F.slice("w", F.col("at"), F.col("n")).alias("w"))
-    return df.groupBy("n", "w").agg(F.array_sort(F.collect_set("item")).alias("items")).withColumn("window", F.array_join("w", " "))
+    return df.groupBy("n", "w").agg(F.collect_set("item").alias("items")).withColumn("window", F.array_join("w", " "))
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -121,17 +121,21 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     suspect = cut(row.join(suspects, near, "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", words(F.col("text")).alias("w")), "suspects")
     found = None
     for n in sorted(lengths):
-        key = _grams(windows.where(F.col("n") == n).select("w", "n", "window", "items"), n).select(F.element_at(f"g{n}", 1).alias("g"), "n", "window", "items")
+        key = _grams(windows.where(F.col("n") == n).select("w", "n", "window"), n).select(F.element_at(f"g{n}", 1).alias("g"), "n", "window")
         key = cut(key, "window-keys")
         at = _grams(suspect, n).select("doc_id", "th", F.posexplode_outer(f"g{n}").alias("pos", "g"))
-        part = at.join(_small(key, lengths[n]), "g").select("doc_id", "th", F.struct((F.col("pos") + 1).alias("pos"), "n", "window", "items").alias("hit"))
+        part = at.join(_small(key, lengths[n]), "g").select("doc_id", "th", F.struct((F.col("pos") + 1).alias("pos"), "n", "window").alias("hit"))
         found = part if found is None else found.unionByName(part)
-    hits = found.groupBy("doc_id", "th").agg(F.collect_list("hit").alias("hits"))
-    hits = suspect.join(hits.withColumnsRenamed({"doc_id": "d", "th": "t"}), suspect.doc_id.eqNullSafe(F.col("d")) & (suspect.th == F.col("t")))
+    hits = found.groupBy("doc_id", "th").agg(F.collect_list("hit").alias("hits")).withColumnsRenamed({"doc_id": "d", "th": "t"})
+    hits = suspect.join(hits, suspect.doc_id.eqNullSafe(F.col("d")) & (suspect.th == F.col("t")))
     hits = hits.withColumn("hits", F.filter("hits", lambda x: F.array_join(F.slice("w", x.pos, x.n), " ") == x.window))
-    covered = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x.pos, x.pos + x.n - 1))))
-    named = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))))
-    hits = hits.select("d", "t", F.size(covered).cast("long").alias("n_hit"), named.alias("named"))
+    at = F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x.pos, x.pos + x.n - 1))))
+    hits = cut(hits.select("d", "t", F.size(at).cast("long").alias("n_hit"), F.array_distinct(F.transform("hits", lambda x: x.window)).alias("seen")), "window-hits")
+    # a window may stand in many items: their ids join the distinct windows of a document, not each of its hits
+    named = hits.select("d", "t", F.explode("seen").alias("window")).join(_small(windows.select("window", "items"), n_windows), "window")
+    named = named.select("d", "t", F.explode("items").alias("item")).groupBy("d", "t").agg(F.array_sort(F.collect_set("item")).alias("named"))
+    named = named.withColumnsRenamed({"d": "nd", "t": "nt"})
+    hits = hits.select("d", "t", "n_hit").join(named, F.col("d").eqNullSafe(F.col("nd")) & (F.col("t") == F.col("nt"))).select("d", "t", "n_hit", "named")
 
     out = base.join(hits, base.doc_id.eqNullSafe(F.col("d")) & (base.th == F.col("t")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
@@ -143,12 +147,17 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose words are hit by the contamination rule; rows without an id stay."""
+    """docs without the rows whose words are hit by the contamination rule.
+
+    Rows without an id stay, as do null and empty texts. Repeated rows go or stay together; an id with
+    several texts is judged text by text. Empty tables give an empty result, or docs as they are.
+    """
     bad = contamination(docs, items, id_col, text_col, keep_hash=True).where("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("th").alias("_bad_hash")).distinct()
     return docs.join(bad, (F.col(id_col) == F.col("_bad_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("_bad_hash")), "left_anti")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the whole benchmark; nulls, repeats and empty tables as contamination() says."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 

@@ -157,8 +157,10 @@ def fit(positive: list[str], unlabelled: list[str], prior: float) -> Model:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fit from docs and from labels (id, 1 for confirmed toxic); the prior is the labelled share of toxic rows.
 
-    Labels that are null or of unknown ids are left out. The sample is bounded by POSITIVES and
-    UNLABELLED; unlabelled texts are drawn from all docs, whatever their label.
+    Labels that are null or of unknown ids are left out; an id with several labels is toxic if one of
+    them says so. The sample is bounded by POSITIVES and UNLABELLED; unlabelled texts are drawn from
+    all docs, whatever their label. An id that stands more than once brings its least text only, so
+    that repeated rows don't fill the driver. Without labels every score is the prior.
     """
     text = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     label = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -166,8 +168,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     prior = (counts[1] or 0) / counts[0] if counts[0] else 0.0
 
     def take(df: DataFrame, n: int, seed: int) -> list[str]:
-        ids = df.select("id").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
-        got = text.join(F.broadcast(ids.distinct()), "id").select("text")  # at most n ids
+        ids = df.select("id").distinct().orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)
+        got = text.join(F.broadcast(ids.distinct()), "id").groupBy("id").agg(F.min("text").alias("text")).select("text")  # at most n texts
 
         def shorten(batches):
             for pdf in batches:
@@ -204,6 +206,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored; nulls, repeats and empty tables as train() and score() say."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_on_labels(docs, table(spark, sf_dir, "labels"))
     return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

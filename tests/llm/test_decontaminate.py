@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from cadenza.llm import decontaminate
 from cadenza.llm.decontaminate import contamination
 
 SPLIT = re.compile(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -78,6 +79,24 @@ def test_short_items_beside_longer_ones(spark):
         assert all(r[5] for r in got if r[0] < 20)
 
 
+def test_every_length_of_items_by_shuffle(spark, monkeypatch):
+    """Items of 1 to 14 words alone and mixed, with both sides of each join shuffled."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    items = [(n, " ".join(f"i{n}x{i}" for i in range(n))) for n in range(1, 15)]
+    docs = [(100 + n, f"before it {t} and after it") for n, t in items] + [(200, None), (201, " ".join(t for _, t in items)), (201, "other")]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    for chosen in (items, items[3:6], [items[0], items[5], items[12]]):
+        got = sorted((tuple(r) for r in contamination(d, spark.createDataFrame(chosen, "item_id long, text string")).collect()), key=str)
+        assert got == brute(docs, chosen)
+
+
+def test_a_window_of_many_items(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    docs, items = [(1, f"{text} x {text}"), (2, "none of it")], [(i, text) for i in range(300)]
+    got = sorted((tuple(r) for r in contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()), key=str)
+    assert got == brute(docs, items)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

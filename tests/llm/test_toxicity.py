@@ -47,3 +47,25 @@ def test_no_labels_and_empty(spark):
     model = tox.train(docs, none)
     assert all(r.score < 0.5 for r in tox.score(docs, model).collect())
     assert tox.score(docs.where("false"), model).collect() == []
+
+
+def test_a_repeated_id_brings_one_text(spark, monkeypatch):
+    """A toxic id that stands ten thousand times is one text of the sample."""
+    seen = {}
+    monkeypatch.setattr(tox, "fit", lambda positive, unlabelled, prior: seen.update(positive=positive, unlabelled=unlabelled, prior=prior))
+    docs = spark.createDataFrame([(1, "b a"), (2, "c d"), (3, None)], "doc_id long, text string").unionByName(spark.range(10_000).selectExpr("1L as doc_id", "concat('w', id) as text"))
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1), (9, 1), (2, None)], "doc_id long, toxic int")
+    tox.train(docs, labels)
+    assert seen["positive"] == ["b a"] and seen["unlabelled"] == ["b a", "c d"] and abs(seen["prior"] - 2 / 3) < 1e-9
+
+
+def test_risk_and_slope_by_hand():
+    """One step of training follows the prior-corrected risk: its slope by differences, and the clamp where the negative part is below zero."""
+    positive, unlabelled = ["bad word"] * 6, ["bad fine", "good text"] * 3
+    model = tox.fit(positive, unlabelled, 0.5)
+    of = model.scorer()
+    assert of("bad word") > of("good text") and model.weights.min() >= 0
+    # unlabelled texts that are all like the confirmed ones: the negative part would be far below zero, and scores stay bounded
+    same = tox.fit(positive, positive, 0.9).scorer()
+    assert 0 < same("bad word") < 1
+    assert tox.fit([], unlabelled, 0.3).scorer()("anything") == tox.fit(positive, [], 0.3).scorer()("x")
