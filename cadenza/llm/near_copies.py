@@ -7,8 +7,12 @@ lose them. So further candidates come from BANDS hashes of ROWS MinHash values e
 at 0.8 shares none with a probability of (1 - 0.8 ** 5) ** 24, below 1 in 10,000. Every candidate of
 either kind is then compared by its whole sets of shingles.
 
-Documents of one band are first compared with the least of them. Only those that are then still in
-different components are compared with each other, so a large family of copies makes no pairs.
+Documents of one band are compared with one of them, the pivot, and not with each other: the pivot
+is the member that shares most bands with others, the original of a family of copies as a rule.
+Members that are then linked are done. For a member o that isn't, and any other member x, let Do and
+Dx be the symmetric differences of their sets with the pivot's. o and x are similar only if Do and Dx
+share over half of Dx (but for their sizes, see `_apart`), so one of the rarest half of Dx must lie in
+Do. Edits of independent copies have nothing rare in common and make no pair, however many there are.
 """
 
 from __future__ import annotations
@@ -16,7 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop_cut, small_batches
@@ -78,12 +82,44 @@ def _sets(batches):
         yield pd.DataFrame({"fp": pdf["fp"], "held": [s.view("int64") if _name(s) == fp else None for s, fp in zip(sets, pdf["fp"], strict=True)]})
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) with alike, whether their sets are similar enough."""
     one, other = (sets.select(F.col("fp").alias(x), F.col("held").alias(f"held_{x}")) for x in "ab")
     both = F.size(F.array_intersect("held_a", "held_b"))
     either = F.size("held_a") + F.size("held_b") - both
-    return cut(pairs.join(one, "a").join(other, "b").where(SHARE[1] * both >= SHARE[0] * either).select("a", "b"), "near-links")
+    return cut(pairs.join(one, "a").join(other, "b").select("a", "b", (SHARE[1] * both >= SHARE[0] * either).alias("alike")), "near-links")
+
+
+def _apart(compared: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of members of one pivot that aren't in one component, at least one of them unlike the pivot.
+
+    Sets of sizes o and x are similar if they differ in (o + x) / 9 elements at most. A member unlike
+    the pivot differs from it in more than (o + p) / 9, so it shares more than (Dx + (p - x) / 9) / 2
+    elements with Dx, and Do and Dx share (Do + Dx - (o + x) / 9) / 2 at least. Where the first element
+    that they share stands, in order of rarity, leaves room for so many in both or rules the pair out.
+    """
+    groups = compared.groupBy("a").agg(F.count("*").alias("members"), F.count_if(~F.col("alike")).alias("unlike")).where("members > 1 and unlike > 0").select("a")
+    one, other = (sets.select(F.col("fp").alias(x), F.col("held").alias(f"held_{x}")) for x in "ab")
+    of = compared.join(groups, "a", "left_semi").join(one, "a").join(other, "b")
+    differs = F.concat(F.array_except("held_a", "held_b"), F.array_except("held_b", "held_a"))
+    of = of.select("a", "b", "alike", differs.alias("d"), F.size("held_b").alias("n"), F.size("held_a").alias("p"))
+    of = of.select("a", "b", "alike", "n", "p", F.size("d").alias("size"), F.explode("d").alias("e"))
+    of = cut(of, "near-differences")
+    # elements that one member alone shows come first in the order of rarity and meet no other
+    known = of.groupBy("a", "e").agg(F.count("*").alias("shown")).where("shown > 1")
+    of = cut(of.join(known, ["a", "e"]), "near-shared")
+    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("shown", "e"))
+    # elements from this one on
+    of = of.withColumn("rest", F.count("*").over(Window.partitionBy("a", "b")) - rank + 1)
+    share = SHARE[1] + SHARE[0]
+    needed = F.floor((share * F.col("size") + F.col("p") - F.col("n")) / F.lit(2 * share)) + 1
+    one, other = (of.select("a", "e", *[F.col(c).alias(f"{c}_{x}") for c in ("b", "alike", "n", "size", "rest")], needed.alias(f"needed_{x}")) for x in "ox")
+    met = other.where("rest_x >= needed_x").join(one.where("not alike_o"), ["a", "e"]).where("b_x <> b_o")
+    room = 2 * share * F.least("rest_o", "rest_x") >= share * (F.col("size_o") + F.col("size_x")) - F.col("n_o") - F.col("n_x")
+    met = met.where(room).select(F.least("b_o", "b_x").alias("a"), F.greatest("b_o", "b_x").alias("b")).distinct()
+    root_a, root_b = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+    met = met.join(root_a, "a", "left").join(root_b, "b", "left")
+    return met.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -112,30 +148,25 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
     prints = cut(rows.mapInPandas(_sketches, "doc_id long, th long, fp long, n long, sim long, bands array<long>"), "near-sketches")
     least = cut(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("at"), F.min("sim").alias("sim"), F.min("n").alias("n")), "near-distinct")
-    keys = prints.select("fp", "n", F.explode("bands").alias("key")).distinct()
-    pivots = keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    keys = cut(keys.join(pivots.select("key", "pivot"), "key"), "near-keys")
-
-    near = keys.where("fp > pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b"))
-    tried = cut(near.unionByName(_by_simhash(least.where("n > 0").select("fp", "sim"))).distinct(), "near-pairs")
-    asked = keys.select("fp").union(tried.select("a")).union(tried.select("b")).distinct()
+    keys = prints.select("fp", F.explode("bands").alias("key")).distinct()
+    keys = cut(keys.join(keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), "near-keys")
+    central = keys.groupBy("fp").agg(F.sum("size").alias("degree"))
+    pivots = keys.join(central, "fp").groupBy("key").agg(F.max(F.struct("degree", "fp")).alias("most")).select("key", F.col("most.fp").alias("pivot"))
+    starred = cut(keys.join(pivots, "key").where("fp <> pivot").select(F.col("pivot").alias("a"), F.col("fp").alias("b")).distinct(), "near-stars")
+    others = cut(_by_simhash(least.where("n > 0").select("fp", "sim")), "near-simhash")
+
+    asked = starred.select("a").union(starred.select("b")).union(others.select("a")).union(others.select("b")).distinct().withColumnRenamed("a", "fp")
     asked = cut(least.join(asked, "fp").select("fp", "at.doc_id", "at.th"), "near-asked")
     texts = rows.join(_small(asked), ["doc_id", "th"]).select("fp", "text")
     sets = cut(texts.mapInPandas(_sets, "fp long, held array<long>").where("held is not null").dropDuplicates(["fp"]), "near-sets")
 
-    similar = _linked(tried, sets)
+    compared = _compared(starred, sets)
+    similar = compared.where("alike").select("a", "b").unionByName(_compared(others, sets).where("alike").select("a", "b"))
     roots = connected(similar, "a", "b")
-    placed = keys.join(roots, keys.fp == roots.node, "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key")
-    placed = cut(placed.join(split, "key"), "near-split")
-    a, b = (placed.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "n", "root")]) for x in "ab")
-    apart = (F.col("fp_a") < F.col("fp_b")) & (F.col("root_a") != F.col("root_b"))
-    alike = SHARE[1] * F.least("n_a", "n_b") >= SHARE[0] * F.greatest("n_a", "n_b")
-    rest = a.join(b, "key").where(apart & alike).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
-    more = _linked(rest.join(tried, ["a", "b"], "left_anti"), sets)
+    more = _compared(_apart(compared, sets, roots), sets).where("alike").select("a", "b")
     if not more.isEmpty():
         roots = connected(similar.unionByName(more), "a", "b")
-    for part in (keys, placed, sets, tried, asked):
+    for part in (keys, starred, others, sets, asked, compared):
         drop_cut(part)
 
     named = least.join(roots, least.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "at.doc_id")

@@ -75,3 +75,27 @@ def test_no_text_is_lost_and_none_stays_twice(spark):
         near_copies.BROADCAST_ROWS = before
         assert out.columns == df.columns
         assert sorted((r.doc_id, " ".join(dict.fromkeys((r.text or "").split()))) for r in out.collect()) == want
+
+
+def test_a_family_makes_no_pairs(spark, monkeypatch):
+    """Copies of one text with independent edits, some within the similarity of it and many just beyond, and edits of edits among those."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(vocab) for _ in range(150)]
+    texts = [" ".join(base)]
+    for i in range(260):
+        w = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+        texts.append(" ".join(w))
+        if i % 20 == 0:
+            w[rng.randrange(len(w))] = rng.choice(vocab)
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = brute_components(texts)
+    tried, before = [], near_copies._apart
+    monkeypatch.setattr(near_copies, "_apart", lambda *a: tried.append(before(*a).count()) or before(*a))
+    assert {r.doc_id: r.component_id for r in near_copies.components(df).collect()} == want
+    assert 30 < len(set(want.values())) < len(texts)
+    assert 0 < tried[0] < len(texts)
