@@ -1,9 +1,10 @@
 """Exact top-k inner-product search as a Voronoi kNN join.
 
-Data vectors go to the cell of their nearest pivot. Each cell is summarised by its pivot and
-radius, so that q.x <= q.pivot + |q| * radius for every x of the cell. A query's (k+1)-th best
-score over the pivots, which are data vectors themselves, bounds its final scores from below.
-Query blocks are sent only to cells whose upper bound reaches that lower bound, and solved there.
+Data vectors go to the cell of their nearest pivot. Each cell is summarised by its pivot p, its
+radius r and its longest vector m, so that for every x of the cell q.x is at most q.p + |q| r, |q| m
+and (|q|^2 + m^2 - max(0, |q - p| - r)^2) / 2. A query's (k+1)-th best score over the pivots, which
+are data vectors themselves, bounds its final scores from below. Query blocks are sent only to cells
+whose least upper bound reaches that lower bound, and solved there, block by block of the cell.
 
 Equal vectors are merged first, keeping the k+1 smallest ids of each: ties go to the smaller id
 and a query leaves out at most its own row, so no other id can reach a top k. A vector that
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-#: Pivots: a fixed number of distinct vectors, those of the smallest hash.
+#: Pivots: distinct vectors of the smallest hash, one for each data block, but so many at least and at most.
 PIVOTS = 32
+PIVOTS_MOST = 1024
 #: Vectors in a data block and queries in a query block.
 DATA_BLOCK = 4096
 QUERY_BLOCK = 1024
@@ -37,6 +39,27 @@ def quantised(df: DataFrame, id_col: str, vec_col: str, scale: int = 256) -> Dat
     )
 
 
+def _packed(m: np.ndarray) -> bytes:
+    """A matrix of integers as bytes, two to a number where they fit."""
+    small = m.size == 0 or np.abs(m).max() < 1 << 15
+    return (b"2" + m.astype("<i2").tobytes()) if small else (b"8" + m.astype("<f8").tobytes())
+
+
+def _unpacked(data: bytes, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<i2" if data[:1] == b"2" else "<f8", offset=1).reshape(-1, dim).astype("float64")
+
+
+def bounds(q: np.ndarray, pivots: np.ndarray, radius: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """Upper bound of the inner product of each query with any vector of each cell, rounding included."""
+    dots, norm = q @ pivots.T, np.sqrt((q**2).sum(1))[:, None]
+    apart = np.sqrt(np.maximum(norm**2 - 2 * dots + (pivots**2).sum(1), 0))
+    by_pivot = dots + norm * radius
+    by_length = norm * longest
+    by_distance = (norm**2 + longest**2 - np.maximum(apart - radius, 0) ** 2) / 2
+    slack = 1e-3 + 1e-9 * (norm + longest) ** 2
+    return np.minimum(np.minimum(by_pivot, by_length), by_distance) + slack
+
+
 def _matrix(vectors, dim: int) -> np.ndarray:
     """Rows padded with zeros to dim; doubles hold these integers exactly."""
     out = np.zeros((len(vectors), dim))
@@ -60,7 +83,8 @@ def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5) -> D
         .groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")),
         "knn-distinct",
     )
-    pivot_rows = distinct.orderBy(F.xxhash64("v"), F.element_at("ids", 1)).limit(PIVOTS).collect()
+    n_pivots = min(PIVOTS_MOST, max(PIVOTS, -(-distinct.count() // DATA_BLOCK)))
+    pivot_rows = distinct.orderBy(F.xxhash64("v"), F.element_at("ids", 1)).limit(n_pivots).collect()
     schema = "query_id long, rank int, vec_id long, score long"
     if not pivot_rows:
         return spark.createDataFrame([], schema)
@@ -81,20 +105,22 @@ def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5) -> D
                 yield pdf.assign(cell=cell.astype("int32"), dist=dist)
 
     cells = cut(distinct.mapInPandas(assign, "v array<long>, ids array<long>, cell int, dist double"), "knn-cells")
-    summary = {r.cell: (r.n, r.radius) for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()}
-    radius = np.array([summary.get(c, (0, 0.0))[1] for c in range(len(pivots))])
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    summary = {r.cell: r for r in cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius"), F.max(length).alias("longest")).collect()}
     filled = np.array([c in summary for c in range(len(pivots))])
+    radius, longest = (np.array([summary[c][x] if c in summary else 0.0 for c in range(len(pivots))]) for x in ("radius", "longest"))
     # a cell with many vectors is dealt out to as many tasks as it needs
-    salts = F.create_map(*[F.lit(x) for c in range(len(pivots)) for x in (c, -(-summary.get(c, (1, 0))[0] // DATA_BLOCK))])
+    per_cell = [-(-summary[c].n // DATA_BLOCK) if c in summary else 1 for c in range(len(pivots))]
+    salts = F.element_at(F.array(*map(F.lit, per_cell)), F.col("cell") + 1)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({
-            "cell": [int(pdf["cell"].iloc[0])], "m": [_matrix(pdf["v"], dim).astype("<f8").tobytes()],
+            "cell": [int(pdf["cell"].iloc[0])], "salt": [int(pdf["salt"].iloc[0])], "m": [_packed(_matrix(pdf["v"], dim))],
             "ids": [np.concatenate([np.asarray(x, dtype="int64") for x in pdf["ids"]])], "per": [np.array([len(x) for x in pdf["ids"]], dtype="int32")],
         })
 
-    data = cells.withColumn("salt", F.pmod(F.xxhash64("v"), F.element_at(salts, F.col("cell"))).cast("int")).groupBy("cell", "salt").applyInPandas(
-        pack, "cell int, m binary, ids array<long>, per array<int>"
+    data = cells.withColumn("salt", F.pmod(F.xxhash64("v"), salts).cast("int")).groupBy("cell", "salt").applyInPandas(
+        pack, "cell int, salt int, m binary, ids array<long>, per array<int>"
     )
 
     wanted = cut(queries.groupBy("v").agg(F.min("vec_id").alias("rep")), "knn-queries")
@@ -108,19 +134,18 @@ def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5) -> D
                 m = _matrix(part["v"], dim)
                 dots = m @ pivots.T
                 least = np.sort(dots, axis=1)[:, -n_pivot_ids] if n_pivot_ids == keep else np.full(len(m), -np.inf)
-                most = dots + np.sqrt((m**2).sum(1))[:, None] * radius + 1e-3
-                need = (most >= least[:, None]) & filled
+                need = (bounds(m, pivots, radius, longest) >= least[:, None]) & filled
                 for c in np.flatnonzero(need.any(0)):
                     own = np.flatnonzero(need[:, c])
-                    yield pd.DataFrame({"cell": [np.int32(c)], "reps": [part["rep"].to_numpy()[own]], "q": [m[own].astype("<f8").tobytes()]})
+                    yield pd.DataFrame({"cell": [np.int32(c)], "reps": [part["rep"].to_numpy()[own]], "q": [_packed(m[own])]})
 
     routed = wanted.mapInPandas(route, "cell int, reps array<long>, q binary")
+    routed = routed.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
 
     def solve(batches):
         for pdf in batches:
             for reps, q, m, ids, per in zip(pdf["reps"], pdf["q"], pdf["m"], pdf["ids"], pdf["per"], strict=True):
-                a = np.frombuffer(q, "<f8").reshape(-1, dim)
-                b = np.frombuffer(m, "<f8").reshape(-1, dim)
+                a, b = _unpacked(q, dim), _unpacked(m, dim)
                 scores = a @ b.T
                 ids, per, reps = np.asarray(ids), np.asarray(per), np.asarray(reps)
                 start = np.concatenate([[0], np.cumsum(per)])
@@ -139,7 +164,7 @@ def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5) -> D
                     yield pd.DataFrame({"rep": np.concatenate(out_q), "vec_id": np.concatenate(out_id), "score": np.concatenate(out_s).astype("int64")})
 
     best_first = [F.desc("score"), F.asc("vec_id")]
-    found = routed.join(data, "cell").select("reps", "q", "m", "ids", "per").mapInPandas(solve, "rep long, vec_id long, score long")
+    found = routed.join(data, ["cell", "salt"]).select("reps", "q", "m", "ids", "per").mapInPandas(solve, "rep long, vec_id long, score long")
     found = found.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy(*best_first))).where(F.col("r") <= keep).drop("r")
     own = queries.select("v", F.col("vec_id").alias("query_id")).join(wanted, "v").select("query_id", "rep")
     return (
@@ -150,6 +175,7 @@ def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5) -> D
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every fiftieth vector; nulls, repeats and empty tables as top_k_inner_product() says."""
     v = quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return top_k_inner_product(v, v.where(F.col("vec_id") % 50 == 0), 5)
 

@@ -28,6 +28,32 @@ def test_matches_brute_force(spark, monkeypatch):
     assert got == brute(rows, 5, 5)
 
 
+def test_large_numbers_and_repeated_ids(spark, monkeypatch):
+    """Components far beyond two bytes, many cells and blocks, one id with two vectors."""
+    monkeypatch.setattr(knn_join, "DATA_BLOCK", 8)
+    rng = random.Random(2)
+    rows = [(i, [float(rng.randrange(-9000, 9000)) for _ in range(3)]) for i in range(300)] + [(7, [1.0, 2.0, 3.0]), (8, [0.001, 0.0, -0.001])]
+    v = knn_join.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = sorted(tuple(r) for r in knn_join.top_k_inner_product(v, v.where("vec_id % 9 = 0"), 3).collect())
+    assert got == sorted(brute(rows, 3, 9))
+
+
+def test_bounds_hold_and_prune():
+    rng = knn_join.np.random.default_rng(3)
+    centres = rng.normal(0, 1000, (20, 6))
+    data = knn_join.np.floor(centres[rng.integers(0, 20, 4000)] + rng.normal(0, 30, (4000, 6)))
+    pivots = data[:40]
+    cell = ((data[:, None] - pivots) ** 2).sum(2).argmin(1)
+    radius = knn_join.np.array([knn_join.np.sqrt(((data[cell == c] - pivots[c]) ** 2).sum(1)).max() for c in range(40)])
+    longest = knn_join.np.array([knn_join.np.sqrt((data[cell == c] ** 2).sum(1)).max() for c in range(40)])
+    q = data[::50]
+    most = knn_join.bounds(q, pivots, radius, longest)
+    scores = q @ data.T
+    assert all((scores[:, cell == c] <= most[:, [c]]).all() for c in range(40))
+    least = knn_join.np.sort(q @ pivots.T, axis=1)[:, -6]
+    assert (most >= least[:, None]).mean() < 0.5
+
+
 def test_few_rows_and_empty(spark):
     rows = [(0, [1.0, 2.0]), (1, [0.5, 0.5]), (2, [3.0, 1.0])]
     v = knn_join.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
