@@ -236,6 +236,7 @@ def keep_by_perplexity(scored: DataFrame, low: float = LOW, high: float = HIGH)
 
 
 def op7_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's perplexity and whether it is kept; nulls, repeats and empty tables as perplexities() and keep_by_perplexity() say."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     scored = cut(perplexities(table(spark, sf_dir, "documents"), trusted), "perplexities")
     return keep_by_perplexity(scored).select("doc_id", "lang", "n_codes", F.round("perplexity", 4).alias("perplexity"), "keep")

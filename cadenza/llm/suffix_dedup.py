@@ -343,6 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without what repeats; nulls, repeats and empty tables as remove_repeats() says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = remove_repeats(docs)
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
