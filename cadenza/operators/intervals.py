@@ -81,17 +81,17 @@ def interpolated(points: DataFrame, anchors: DataFrame, keys: list[str], at: str
 
 
 def accepted(anchors: DataFrame, keys: list[str], start: str, tie: str, end: str) -> DataFrame:
-    """Intervals taken in order of start, but for those that overlap the last one taken.
+    """Intervals taken in order of start, but for those that overlap the last one taken. Rows pass one by one."""
+    from .folds import folded
+    from .sequence import _types
 
-    Where all intervals before have ended, what follows is independent: series are cut there.
-    """
-    from .sequence import fold
-
-    w = Window.partitionBy(*keys).orderBy(start, tie)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cut = anchors.withColumn("_new", F.coalesce((F.col(start) >= reach).cast("int"), F.lit(0))).withColumn("_part", F.sum("_new").over(w)).drop("_new")
+    columns = [start, end, tie, *[c for c in anchors.columns if c not in (*keys, start, end, tie)]]
 
-    def step(acc, row):
-        return F.when(row[start] >= F.element_at(acc, -1)[end], F.concat(acc, F.array(row))).otherwise(acc)
+    def step(rows):
+        last = None
+        for r in rows:
+            if last is None or r[0] >= last[1]:
+                yield r
+                last = r
 
-    return fold(cut, [*keys, "_part"], start, tie, step).drop("_part")
+    return folded(anchors.select(*keys, *columns), keys, [start, tie], step, _types(anchors, columns)).select(*anchors.columns)

@@ -1,18 +1,19 @@
 """Cut planners: from beats, peaks, phrases or a clock to consecutive cuts, and repairs of timelines.
 
 A series is one timeline. Where a pause makes what follows independent of what came before, the
-series is cut there and its parts are planned in parallel; a planner without such points folds one
-timeline's sorted array.
+series is cut there and its parts are planned in parallel; a planner without such points passes one
+timeline's sorted rows one by one, holding no more than its own state.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequence import fold, stretches
+from .folds import folded, pieces, stretches_of
+from .sequence import _types
 
 
 def beat_plan(beats: DataFrame, keys: list[str], at: str, low: float, high: float) -> DataFrame:
@@ -20,38 +21,35 @@ def beat_plan(beats: DataFrame, keys: list[str], at: str, low: float, high: floa
 
     A beat after a pause of more than `high` is always reached, so series part there.
     """
-    cut = stretches(beats.select(*keys, at).distinct(), keys, at, at, high, inclusive=False)
-    kind = dict(beats.dtypes)[at]
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(pdf[at].to_numpy())
-        first = np.searchsorted(t, t + low, "left")
-        inside = (first < len(t)) & (first > np.arange(len(t))) & (t[np.minimum(first, len(t) - 1)] <= t + high)
-        after = np.where(inside, first, np.arange(len(t)) + 1)
-        i, taken = 0, []
-        while i < len(t):
-            taken.append(i)
-            i = int(after[i])
-        return pd.DataFrame({**{k: pdf[k].iloc[0] for k in keys}, "start": t[taken]})
-
-    types = dict(cut.dtypes)
-    walked = cut.groupBy(*keys, "_stretch").applyInPandas(walk, ", ".join([*(f"{k} {types[k]}" for k in keys), f"start {kind}"]))
+
+    def step(rows):
+        for stretch in stretches_of(rows, high, inclusive=False):
+            t = [r[0] for r in stretch]
+            i = 0
+            while i < len(t):
+                yield (t[i],)
+                j = bisect_left(t, t[i] + low, i + 1)
+                i = j if j < len(t) and t[j] <= t[i] + high else i + 1
+
+    beats = beats.select(*keys, at).where(F.col(at).isNotNull()).distinct()
+    walked = folded(pieces(beats, keys, at, high, inclusive=False), keys, [at], step, f"start {dict(beats.dtypes)[at]}", "_piece")
     end = F.lead("start").over(Window.partitionBy(*keys).orderBy("start"))
     return walked.withColumn("end", end).where(F.col("end").isNotNull())
 
 
 def peak_plan(peaks: DataFrame, keys: list[str], at: str, low: float, high: float) -> DataFrame:
     """Cuts that end at peaks: nearer than `low` a peak is passed over, and no cut is longer than `high`. Columns keys, start, length."""
-    sorted_ = peaks.groupBy(*keys).agg(F.sort_array(F.collect_set(F.col(at).cast("double"))).alias("_p"))
-    state = F.struct(F.lit(0.0).alias("now"), F.array().cast("array<struct<start:double,length:double>>").alias("cuts"))
 
-    def step(s: Column, p: Column) -> Column:
-        length = F.least(p - s["now"], F.lit(float(high)))
-        cut = F.array(F.struct(s["now"].alias("start"), length.alias("length")))
-        return F.when((p - s["now"] > 0) & (p - s["now"] >= low), F.struct((s["now"] + length).alias("now"), F.concat(s["cuts"], cut).alias("cuts"))).otherwise(s)
+    def step(rows):
+        now = 0.0
+        for (p,) in rows:
+            if p - now > 0 and p - now >= low:
+                length = min(p - now, float(high))
+                yield now, length
+                now += length
 
-    done = sorted_.select(*keys, F.explode(F.aggregate("_p", state, step)["cuts"]).alias("_c"))
-    return done.select(*keys, "_c.start", "_c.length")
+    times = peaks.select(*keys, F.col(at).cast("double").alias("_at")).where("_at is not null").distinct()
+    return folded(times, keys, ["_at"], step, "start double, length double")
 
 
 def grid(totals: DataFrame, total: str, step: Column, least_tail: float = 0.0) -> DataFrame:
@@ -96,28 +94,42 @@ def repeated_sources(cuts: DataFrame, length: str, source: str) -> DataFrame:
 
 
 def chained(windows: DataFrame, keys: list[str], at: str, tie: str, same) -> DataFrame:
-    """Neighbouring windows that fit the first of their segment: keys, at (of the first), n and the further columns of the first.
+    """Neighbouring windows that fit the first of their segment: keys, at (of the first), the further columns of the first, and n.
 
-    same(first, row) says whether a row still fits; the comparison is with the segment's start, so drift ends it.
+    same(first, row), two dictionaries of column values, says whether a row still fits; the comparison
+    is with the segment's start, so drift ends it.
     """
+    columns = [at, tie, *[c for c in windows.columns if c not in (*keys, at, tie)]]
 
-    def step(acc: Column, row: Column) -> Column:
-        first = F.element_at(acc, -1)
-        grown = first.withField("n", first["n"] + F.lit(1).cast("long"))
-        return F.when(same(first, row), F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(row)))
+    def step(rows):
+        first, start, n = None, None, 0
+        for r in rows:
+            row = dict(zip(columns, r, strict=True))
+            if first is not None and same(start, row):
+                n += 1
+                continue
+            if first is not None:
+                yield *first, n
+            first, start, n = r, row, 1
+        if first is not None:
+            yield *first, n
 
-    return fold(windows.withColumn("n", F.lit(1).cast("long")), keys, at, tie, step)
+    return folded(windows.select(*keys, *columns), keys, [at, tie], step, f"{_types(windows, columns)},n bigint".replace(":", " "))
 
 
 def collapsed(events: DataFrame, keys: list[str], at: str, tie: str, kind: str, reach) -> DataFrame:
     """Events without those within `reach` of the last kept one if that is of the same kind."""
+    columns = [at, kind, tie, *[c for c in events.columns if c not in (*keys, at, kind, tie)]]
 
-    def step(acc: Column, row: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when((row[at] - last[at] > reach) | (row[kind] != last[kind]), F.concat(acc, F.array(row))).otherwise(acc)
+    def step(rows):
+        last = None
+        for r in rows:
+            if last is None or r[0] - last[0] > reach or r[1] != last[1]:
+                yield r
+                last = r
 
-    cut = stretches(events, keys, at, tie, reach, inclusive=False)
-    return fold(cut, [*keys, "_stretch"], at, tie, step).drop("_stretch")
+    cut = pieces(events.select(*keys, *columns).where(F.col(at).isNotNull()), keys, at, reach, inclusive=False)
+    return folded(cut, keys, [at, tie], step, _types(events, columns), "_piece").select(*events.columns)
 
 
 def level_events(curve: DataFrame, keys: list[str], idx: str, value: str, window: int) -> DataFrame:

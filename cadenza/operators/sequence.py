@@ -1,15 +1,17 @@
 """Ordered-event operators: spacing, grouping, smoothing, peaks, islands, retention.
 
-Folds look sequential, yet a long enough pause makes what follows independent of what came before.
-Series are cut at such pauses first, and each stretch is folded by itself, so one long series is
-shared out among tasks.
+Folds run piece by piece (see folds.py); what a window can say is said by a window over the series.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from bisect import bisect_left, insort
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded, pieces, stretches_of
+
 
 def _order(keys: list[str], *by) -> Window:
     return Window.partitionBy(*keys).orderBy(*by)
@@ -22,60 +24,71 @@ def stretches(df: DataFrame, keys: list[str], at: str, tie: str, pause, inclusiv
     return df.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn(out, F.sum("_new").over(_order(keys, at, tie))).drop("_new")
 
 
-def fold(df: DataFrame, keys: list[str], at: str, tie: str, step, finish=None) -> DataFrame:
-    """Fold the rows of each key in order: step(list so far, row) -> list of structs like the row; the list becomes rows.
-
-    Rows are structs ordered by `at` and `tie`, with all further columns behind them.
-    """
-    rest = [c for c in df.columns if c not in (*keys, at, tie)]
-    item = F.struct(at, tie, *rest)
-    grouped = df.groupBy(*keys).agg(F.sort_array(F.collect_list(item)).alias("_rows"))
-    kept = F.aggregate(F.slice("_rows", 2, F.greatest(F.size("_rows") - 1, F.lit(0))), F.slice("_rows", 1, 1), step)
-    return grouped.select(*keys, F.explode(kept).alias("_row")).select(*keys, "_row.*")
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return df.select(*columns).schema.simpleString()[len("struct<") : -1]
 
 
 def min_interval(df: DataFrame, keys: list[str], at: str, tie: str, strength: str, least) -> DataFrame:
-    """Keep events at least `least` apart; a stronger one inside the gap replaces the kept one and moves the anchor."""
+    """Keep events at least `least` apart; a stronger one inside the gap replaces the kept one and moves the anchor.
 
-    def step(acc: Column, row: Column) -> Column:
-        last = F.element_at(acc, -1)
-        far = (row[at] - last[at]) >= least
-        stronger = row[strength] > last[strength]
-        return F.when(far, F.concat(acc, F.array(row))).when(stronger, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(row))).otherwise(acc)
+    Events of one instant come in the order of tie. Rows without an instant go; a null strength is never stronger.
+    """
+    rest = [at, tie, strength, *[c for c in df.columns if c not in (*keys, at, tie, strength)]]
 
-    cut = stretches(df, keys, at, tie, least, inclusive=True)
-    return fold(cut, [*keys, "_stretch"], at, tie, step).drop("_stretch")
+    def step(rows):
+        kept = None
+        for r in rows:
+            if kept is None:
+                kept = r
+            elif r[0] - kept[0] >= least:
+                yield kept
+                kept = r
+            elif r[2] is not None and (kept[2] is None or r[2] > kept[2]):
+                kept = r
+        if kept is not None:
+            yield kept
+
+    cut = pieces(df.select(*keys, *rest).where(F.col(at).isNotNull()), keys, at, least, inclusive=True)
+    return folded(cut, keys, [at, tie], step, _types(df, rest), "_piece").select(*df.columns)
 
 
 def anchored_groups(df: DataFrame, keys: list[str], at: str, tie: str, reach) -> DataFrame:
     """Groups whose members lie within `reach` of the group's first: keys, first_at, mean_at (double), n."""
-    start = "_first"
 
-    def step(acc: Column, row: Column) -> Column:
-        last = F.element_at(acc, -1)
-        inside = (row[at] - last[start]) <= reach
-        grown = last.withField("_sum", last["_sum"] + row["_sum"]).withField("_n", last["_n"] + F.lit(1).cast("long"))
-        return F.when(inside, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(row)))
+    def step(rows):
+        first, total, n = None, 0.0, 0
+        for t, _ in rows:
+            if first is not None and t - first <= reach:
+                total, n = total + t, n + 1
+                continue
+            if first is not None:
+                yield first, total / n, n
+            first, total, n = t, float(t), 1
+        if first is not None:
+            yield first, total / n, n
 
-    cut = stretches(df.select(*keys, at, tie), keys, at, tie, reach, inclusive=False)
-    cut = cut.withColumn(start, F.col(at)).withColumn("_sum", F.col(at).cast("double")).withColumn("_n", F.lit(1).cast("long"))
-    out = fold(cut, [*keys, "_stretch"], at, tie, step)
-    return out.select(*keys, F.col(start).alias("first_at"), (F.col("_sum") / F.col("_n")).alias("mean_at"), F.col("_n").alias("n"))
+    cut = pieces(df.select(*keys, at, tie).where(F.col(at).isNotNull()), keys, at, reach, inclusive=False)
+    return folded(cut, keys, [at, tie], step, f"first_at {dict(df.dtypes)[at]}, mean_at double, n long", "_piece")
 
 
 def running_mean_groups(df: DataFrame, keys: list[str], at: str, tie: str, reach: float) -> DataFrame:
     """Groups whose next member lies within `reach` of the running mean: keys, mean_at, n."""
 
-    def step(acc: Column, row: Column) -> Column:
-        last = F.element_at(acc, -1)
-        inside = (row["_mean"] - last["_mean"]) <= reach
-        n = last["_n"] + F.lit(1).cast("long")
-        grown = last.withField("_mean", last["_mean"] + (row["_mean"] - last["_mean"]) / n).withField("_n", n)
-        return F.when(inside, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(grown))).otherwise(F.concat(acc, F.array(row)))
+    def step(rows):
+        mean, n = 0.0, 0
+        for t, _ in rows:
+            if n and t - mean <= reach:
+                n += 1
+                mean += (t - mean) / n
+                continue
+            if n:
+                yield mean, n
+            mean, n = float(t), 1
+        if n:
+            yield mean, n
 
-    cut = stretches(df.select(*keys, at, tie), keys, at, tie, reach, inclusive=False)
-    cut = cut.withColumn("_mean", F.col(at).cast("double")).withColumn("_n", F.lit(1).cast("long"))
-    return fold(cut, [*keys, "_stretch"], at, tie, step).select(*keys, F.col("_mean").alias("mean_at"), F.col("_n").alias("n"))
+    cut = pieces(df.select(*keys, at, tie).where(F.col(at).isNotNull()), keys, at, reach, inclusive=False)
+    return folded(cut, keys, [at, tie], step, "mean_at double, n long", "_piece")
 
 
 def to_intervals(df: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
@@ -155,25 +168,22 @@ def round_robin(df: DataFrame, bucket: str, score: str, tie: str, limit: int) ->
 
 
 def suppress(df: DataFrame, keys: list[str], at: str, tie: str, strength: str, apart) -> DataFrame:
-    """Greedy suppression by strength: the strongest stays, all within `apart` of it go, and so on.
+    """Greedy suppression by strength: the strongest stays, all within `apart` of it go, and so on; ties to the earlier.
 
-    Stretches with pauses of `apart` or more can't touch each other and are solved apart.
+    Stretches with pauses of `apart` or more can't touch each other and are solved apart, many in a pass.
     """
-    import pandas as pd
-
-    cut = stretches(df.select(*keys, at, tie, strength), keys, at, tie, apart, inclusive=True)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        from bisect import bisect_left, insort
-
-        kept: list[float] = []
-        rows = []
-        ordered = pdf.sort_values([strength, at, tie], ascending=[False, True, True])
-        for i, t in zip(ordered.index, ordered[at], strict=True):
-            j = bisect_left(kept, t)
-            if (j == 0 or t - kept[j - 1] >= apart) and (j == len(kept) or kept[j] - t >= apart):
-                insort(kept, t)
-                rows.append(i)
-        return pdf.loc[sorted(rows)].drop(columns="_stretch")
 
-    return cut.groupBy(*keys, "_stretch").applyInPandas(solve, cut.drop("_stretch").schema)
+    def step(rows):
+        for stretch in stretches_of(rows, apart, inclusive=True):
+            kept: list = []
+            stays = []
+            for t, i, s in sorted(stretch, key=lambda r: (r[2] is None, -(r[2] or 0), r[0], r[1])):
+                j = bisect_left(kept, t)
+                if (j == 0 or t - kept[j - 1] >= apart) and (j == len(kept) or kept[j] - t >= apart):
+                    insort(kept, t)
+                    stays.append((t, i, s))
+            yield from sorted(stays, key=lambda r: r[:2])
+
+    columns = [at, tie, strength]
+    cut = pieces(df.select(*keys, *columns).where(F.col(at).isNotNull()), keys, at, apart, inclusive=True)
+    return folded(cut, keys, [at, tie], step, _types(df, columns), "_piece")

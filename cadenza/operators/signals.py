@@ -6,6 +6,8 @@ with NumPy on one recording at a time, after blocks.by_edges() has bounded its p
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -79,16 +81,27 @@ def segmented(df: DataFrame, keys: list[str], idx: str, vec: str, low: int, high
 
 def absorb_short(segments: list[tuple[float, float, float]], least: float) -> list[tuple[float, float, float]]:
     """(start, end, level) segments after each one shorter than `least`, the shortest first, has joined the neighbour of the nearer level."""
-    out = [list(s) for s in segments]
-    while len(out) > 1:
-        i = min(range(len(out)), key=lambda k: (out[k][1] - out[k][0], k))
-        if out[i][1] - out[i][0] >= least:
+    out: list[tuple | None] = list(segments)
+    before, after = list(range(-1, len(out) - 1)), list(range(1, len(out) + 1))
+    queue = [(s[1] - s[0], i) for i, s in enumerate(segments)]
+    heapify(queue)
+    while queue:
+        length, i = heappop(queue)
+        if length >= least:
+            break
+        if out[i] is None or out[i][1] - out[i][0] != length:
+            continue  # joined since
+        sides = [j for j in (before[i], after[i]) if 0 <= j < len(out)]
+        if not sides:
             break
-        sides = [j for j in (i - 1, i + 1) if 0 <= j < len(out)]
         j = min(sides, key=lambda k: (abs(out[k][2] - out[i][2]), k))
         a, b = sorted((i, j))
-        out[a : b + 1] = [[out[a][0], out[b][1], out[j][2]]]
-    return [tuple(s) for s in out]
+        out[a], out[b] = (out[a][0], out[b][1], out[j][2]), None
+        after[a] = after[b]
+        if after[b] < len(out):
+            before[after[b]] = a
+        heappush(queue, (out[a][1] - out[a][0], a))
+    return [s for s in out if s is not None]
 
 
 def without_short(df: DataFrame, keys: list[str], start: str, end: str, level: str, least: float) -> DataFrame:

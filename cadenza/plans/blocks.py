@@ -274,7 +274,7 @@ SELECT user_id, s AS idx, any_value(v) AS value, count(*) AS n FROM f GROUP BY u
 )
 def win18(spark: SparkSession, d: str) -> DataFrame:
     c = curve(spark, d).select("user_id", "idx", "event_id", "value")
-    return planners.chained(c, ["user_id"], "idx", "event_id", lambda a, b: F.abs(b["value"] - a["value"]) <= 60).select("user_id", "idx", "value", "n")
+    return planners.chained(c, ["user_id"], "idx", "event_id", lambda a, b: abs(b["value"] - a["value"]) <= 60).select("user_id", "idx", "value", "n")
 
 
 _LEVELS = """(SELECT user_id, idx, CASE WHEN v > p * 1.5 AND p < 0.4 THEN 'drop' WHEN v < p * 0.4 AND p > 0.5 THEN 'breakdown' END AS kind, abs(v - p) AS intensity FROM
