@@ -71,3 +71,19 @@ def checked_unit(a, size: int, least: float = 1e-8) -> Column:
     clean = F.transform(a, lambda x: F.when(F.isnan(x), 0.0).otherwise(x.cast("double")))
     n = norm(clean)
     return F.when((F.size(a) == size) & (n > least), F.transform(clean, lambda x: x / n))
+
+
+def projected(a: Column, matrix: list[list[float]], least: float = 1e-6) -> Column:
+    """The unit vector of a's unit vector times a matrix (one list per component of a); null for another size or no length."""
+    u = checked_unit(a, len(matrix), least)
+    columns = [F.array(*[F.lit(float(r[j])) for r in matrix]) for j in range(len(matrix[0]))]
+    out = F.array(*[dot(u, c) for c in columns])
+    n = norm(out)
+    return F.when(u.isNotNull() & (n > least), F.transform(out, lambda x: x / n))
+
+
+def peak_buckets(samples: Column, n: int) -> Column:
+    """The largest magnitude of each of n equal buckets of whole size; samples past the last go, missing ones give 0."""
+    size = F.greatest(F.lit(1), F.floor(F.size(samples) / n).cast("int"))
+    bucket = lambda i: F.coalesce(F.array_max(F.transform(F.slice(samples, i * size + 1, size), F.abs)), F.lit(0.0))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.when(F.size(samples) > 0, bucket(i)).otherwise(F.lit(0.0)))

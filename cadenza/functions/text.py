@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,6 +103,32 @@ def int_list(raw: Column) -> Column:
 
 
 def paths_below(json: Column, token: str) -> Column:
-    """String values at any depth of a JSON text whose own key holds the token, distinct and sorted."""
-    found = F.regexp_extract_all(json, F.lit(rf'"[^"]*{token}[^"]*"\s*:\s*"([^"]*)"'), F.lit(1))
-    return F.array_sort(F.array_distinct(found))
+    """Absolute paths anywhere below keys that hold the token, whatever their case: distinct and sorted; broken JSON has none.
+
+    A nested text has no fixed depth, so it is walked in Arrow batches.
+    """
+    @F.pandas_udf("array<string>")
+    def walk(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _absolute_paths(t, token))
+
+    return walk(json)
+
+
+def _absolute_paths(text: str | None, token: str) -> list[str]:
+    import posixpath
+    from json import loads
+
+    try:
+        todo = [(loads(text or "null"), False)]
+    except (ValueError, RecursionError):
+        return []
+    found = set()
+    while todo:
+        node, active = todo.pop()
+        if isinstance(node, dict):
+            todo += [(child, active or token in key.casefold()) for key, child in node.items()]
+        elif isinstance(node, list):
+            todo += [(child, active) for child in node]
+        elif active and isinstance(node, str) and node.startswith("/"):
+            found.add(posixpath.normpath(node))
+    return sorted(found)

@@ -165,3 +165,81 @@ def spaced_grid(total: Column, interval: Column) -> Column:
     """Instants 0, interval, 2 * interval, ... below the total."""
     n = F.ceil(total / interval).cast("int")
     return F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i * interval)
+
+
+def hybrid_cuts(beats: list[float], downbeats: set[float], energy: list[float], total: float, low: float, high: float, pacing: float, precision: float, react: float) -> list[tuple]:
+    """(start, length, energy, aligned, strength) of one timeline's cuts, each from the end of the one before.
+
+    Loud places want short cuts: the wanted length lies between low and high by pacing (1 slow, 5 fast)
+    less the energy's share `react`. Its end snaps to the nearest beat within 2 * precision seconds: to
+    a downbeat always, to another beat from a precision over a half. Cuts move on by 0.1 s at least and
+    last half a second at least.
+    """
+    bias = 1.0 - (pacing - 1) / 4.0
+    valid = [b for b in beats if b <= total] or beats
+    now, out = 0.0, []
+    while now < total:
+        level = energy[min(int(now / total * len(energy)), len(energy) - 1)] if energy else 0.5
+        speed = bias - level * react * 0.4 + (0.1 * (1.0 - level) if bias < 0.2 else 0.0)
+        end = now + max(low, min(high, low + (high - low) * max(0.0, min(1.0, speed))))
+        strength = 0.0
+        if valid and precision > 0:
+            i = bisect_left(valid, end)
+            near = min(valid[max(0, i - 1) : i + 1], key=lambda b: (abs(b - end), b))
+            if abs(near - end) < 2.0 * precision and near > now + 0.1:
+                strength = 1.0 if near in downbeats else 0.7 if precision > 0.5 else 0.0
+                end = near if strength else end
+        if end <= now + 0.1:
+            end = now + low
+        end = max(end, now + 0.5)
+        out.append((now, end - now, level, strength > 0, strength))
+        now = end
+    return out
+
+
+def hybrid_plan(timelines: DataFrame, keys: list[str], beats: str, downbeats: str, energy: str, total: str, low: float, high: float, pacing: float, precision: float, react: float) -> DataFrame:
+    """hybrid_cuts() of each row: keys, start, length, energy, aligned, strength.
+
+    A row is one timeline with its sorted beats, its downbeats and its energy curve as arrays, which a
+    recording's length bounds. Each cut starts where the last one ended, so a timeline is one small task.
+    """
+    made = ", ".join(["start double", "length double", "energy double", "aligned boolean", "strength double"])
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = []
+            for r in b.to_pylist():
+                cuts = hybrid_cuts(r[beats] or [], set(r[downbeats] or []), r[energy] or [], r[total] or 0.0, low, high, pacing, precision, react)
+                rows += [(*[r[k] for k in keys], *c) for c in cuts]
+            names = [*keys, "start", "length", "energy", "aligned", "strength"]
+            types = [*[b.schema.field(k).type for k in keys], pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.float64()]
+            columns = zip(*rows, strict=True) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names)
+
+    kinds = dict(timelines.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), made])
+    return timelines.select(*keys, beats, downbeats, energy, total).mapInArrow(run, schema)
+
+
+def replacements(targets: DataFrame, readable: DataFrame, keys: list[str], n: str, at: str, frame: str, reach: int) -> DataFrame:
+    """keys, n and frame: each target frame, or else the nearest readable one within `reach` that no target before has taken.
+
+    Of two equally near the earlier is tried first; a target without any gets no row. Candidates are an
+    equi-join over 2 * reach + 1 offsets; the choice passes them in order of n and holds the frames taken.
+    """
+    offsets = [0, *(x for i in range(1, reach + 1) for x in (-i, i))]
+    listed = targets.select(*keys, n, at, F.posexplode(F.array(*map(F.lit, offsets))).alias("_rank", "_off")).withColumn(frame, F.col(at) + F.col("_off"))
+    found = listed.join(readable.select(*keys, frame).distinct(), [*keys, frame]).select(*keys, n, "_rank", frame)
+
+    def step(rows):
+        used, done = set(), None
+        for number, _, f in rows:
+            if number != done and f not in used:
+                used.add(f)
+                done = number
+                yield number, f
+
+    kinds = dict(found.dtypes)
+    return folded(found, keys, [n, "_rank"], step, f"{n} {kinds[n]}, {frame} {kinds[frame]}")

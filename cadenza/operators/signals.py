@@ -6,6 +6,7 @@ with NumPy on one recording at a time, after blocks.by_edges() has bounded its p
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -41,6 +42,52 @@ def picked_peaks(df: DataFrame, keys: list[str], idx: str, value: str, apart: in
     return suppress(peaks.select(*keys, idx, F.col(idx).alias("_tie"), value), keys, idx, "_tie", value, apart).drop("_tie")
 
 
+def prominent(curve: list[float], apart: int, least: float) -> list[int]:
+    """Peaks of a curve, none within `apart` of a higher one, that rise by `least` over the higher of the valleys beside them.
+
+    A plateau peaks in its middle; a valley reaches to the next higher value or the end. Peaks nearer
+    than `apart` to either end go.
+    """
+    n, peaks, i = len(curve), [], 1
+    while i < n - 1:
+        j = i
+        while j < n - 1 and curve[j + 1] == curve[i]:
+            j += 1
+        if j < n - 1 and curve[i - 1] < curve[i] > curve[j + 1]:
+            peaks.append((i + j) // 2)
+        i = j + 1
+    kept: list[int] = []
+    for p in sorted(peaks, key=lambda p: (-curve[p], -p)):
+        at = bisect_left(kept, p)
+        if (at == 0 or p - kept[at - 1] >= apart) and (at == len(kept) or kept[at] - p >= apart):
+            kept.insert(at, p)
+    valley = [_valleys(curve), _valleys(curve[::-1])[::-1]]
+    return [p for p in kept if curve[p] - max(v[p] for v in valley) >= least and apart <= p < n - apart]
+
+
+def _valleys(curve: list[float]) -> list[float]:
+    """The least value from each place back to the last higher one, in one pass."""
+    out, higher = [], []  # (value, least since the one below it)
+    for x in curve:
+        low = x
+        while higher and higher[-1][0] <= x:
+            low = min(low, higher.pop()[1])
+        higher.append((x, low))
+        out.append(low)
+    return out
+
+
+def prominence_peaks(df: DataFrame, keys: list[str], idx: str, value: str, apart: int, least: float) -> DataFrame:
+    """keys and idx of the prominent() peaks of each curve; a curve is one recording and bounded by its length."""
+    from .folds import folded
+
+    def step(rows):
+        held = list(rows)
+        yield from ((held[p][0],) for p in prominent([r[1] for r in held], apart, least))
+
+    return folded(df.select(*keys, idx, F.col(value).cast("double").alias("_v")), keys, [idx], step, f"{idx} {dict(df.dtypes)[idx]}")
+
+
 def partition_cuts(unit: np.ndarray, low: int, high: int, penalty: float, scale: float = 1.0) -> list[int]:
     """Cuts of the best split into pieces of low..high rows: a piece is worth its summed similarities over its length, a cut costs the penalty."""
     n = len(unit)
@@ -137,37 +184,94 @@ def standardised(df: DataFrame, keys: list[str], vec: str, out: str) -> DataFram
     return df.join(wide, keys).withColumn(out, z).drop("_stats")
 
 
-def ward(points: np.ndarray, count: int) -> np.ndarray:
-    """Cluster numbers of a few points by Ward's criterion, numbered by first member."""
-    members = {i: [i] for i in range(len(points))}
-    centre = {i: points[i].astype("float64") for i in members}
-    while len(members) > count:
-        names = sorted(members)
-        c = np.array([centre[i] for i in names])
-        n = np.array([len(members[i]) for i in names], "float64")
-        cost = ((c[:, None] - c[None]) ** 2).sum(-1) * (n[:, None] * n[None] / (n[:, None] + n[None]))
-        cost[np.tril_indices(len(names))] = np.inf
-        a, b = (names[i] for i in np.unravel_index(cost.argmin(), cost.shape))
-        na, nb = len(members[a]), len(members[b])
-        centre[a] = (centre[a] * na + centre.pop(b) * nb) / (na + nb)
-        members[a] += members.pop(b)
-    out = np.zeros(len(points), "int64")
-    for number, (_, rows) in enumerate(sorted(members.items(), key=lambda kv: min(kv[1]))):
-        out[rows] = number
-    return out
+def ward(points: np.ndarray, count: int, weights: np.ndarray | None = None) -> np.ndarray:
+    """Cluster numbers of a bounded number of points by Ward's criterion, numbered by first member; of equal costs the first pair joins."""
+    n = len(points)
+    weight = np.ones(n) if weights is None else np.asarray(weights, "float64").copy()
+    centre = np.asarray(points, "float64").copy()
+    label = np.arange(n)
+    alive = np.ones(n, bool)
+
+    def costs(i: int) -> np.ndarray:
+        d = ((centre - centre[i]) ** 2).sum(1) * weight * weight[i] / (weight + weight[i])
+        d[~alive] = np.inf
+        d[i] = np.inf
+        return d
+
+    cost = np.array([costs(i) for i in range(n)]) if n else np.zeros((0, 0))
+    for _ in range(max(0, n - count)):
+        a, b = sorted(np.unravel_index(cost.argmin(), cost.shape))
+        centre[a] = (centre[a] * weight[a] + centre[b] * weight[b]) / (weight[a] + weight[b])
+        weight[a] += weight[b]
+        alive[b] = False
+        label[label == b] = a
+        cost[b, :] = cost[:, b] = np.inf
+        cost[a, :] = cost[:, a] = costs(a)
+    return np.unique(label, return_inverse=True)[1].astype("int64")
+
+
+def ward_clusters(df: DataFrame, keys: list[str], idx: str, vec: str, most: int = 1024) -> DataFrame:
+    """Every row with cluster: each series' rows by Ward's criterion, in min(max(3, n // 2), 8) clusters.
+
+    A series of over `most` rows is clustered by the means of `most` blocks of neighbours, weighted by
+    their rows, and each row has its block's cluster; so no task holds more than `most` vectors.
+    """
+    from .blocks import by_edges
+
+    rank = (F.row_number().over(Window.partitionBy(*keys).orderBy(idx)) - 1).cast("long")
+    rows = by_edges(df.withColumn("_idx", rank), "_idx", most, keys)
+    x = rows.select(*keys, "block", F.posexplode(vec).alias("_i", "_x")).groupBy(*keys, "block", "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"), F.count("*").alias("_n"))
+    means = x.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_v"), F.max("_n").alias("_n")).select(*keys, "block", "_n", F.col("_v._m").alias("_v"))
+    types = dict(means.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        n = int(pdf["_n"].sum())
+        k = min(max(3, n // 2), 8, len(pdf))
+        return pdf[[*keys, "block"]].assign(cluster=ward(np.array(pdf["_v"].tolist()), k, pdf["_n"].to_numpy()))
+
+    found = means.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in [*keys, "block"]), "cluster long"]))
+    return rows.join(found, [*keys, "block"]).drop("block", "_idx")
+
+
+def segment_starts(df: DataFrame, keys: list[str], idx: str, vec: str, low: int, high: int, penalty: float, most: int = 7200) -> DataFrame:
+    """segmented() over at most `most` representative points of each series: keys and idx of the first row of each new segment."""
+    from .blocks import by_edges
+
+    rows = by_edges(df, idx, most, keys)
+    x = rows.select(*keys, "block", F.posexplode(vec).alias("_i", "_x")).groupBy(*keys, "block", "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    means = x.groupBy(*keys, "block").agg(F.sort_array(F.collect_list(F.struct("_i", "_m"))).alias("_v")).select(*keys, "block", F.col("_v._m").alias("_v"))
+    cuts = segmented(means, keys, "block", "_v", low, high, penalty)
+    return rows.join(cuts, [*keys, "block"]).groupBy(*keys, "block").agg(F.min(idx).alias(idx)).drop("block")
+
+
+def pair_step(w: np.ndarray, x: np.ndarray, y: np.ndarray, target: float, rate: float, most: float = 1.0) -> np.ndarray:
+    """w after one clipped gradient step that draws the cosine of w x with y to the target; without a direction as it is."""
+    z = w @ x
+    nz, ny = np.linalg.norm(z), np.linalg.norm(y)
+    if nz < 1e-9 or ny < 1e-9:
+        return w
+    cos = z @ y / (nz * ny)
+    g = 2 * (cos - target) * np.outer(y / (nz * ny) - cos * z / nz**2, x)
+    size = np.linalg.norm(g)
+    return w - rate * (g if size <= most else g * (most / size))
+
+
+def fitted(df: DataFrame, keys: list[str], by: str, a: str, b: str, target: str, rate: float) -> DataFrame:
+    """keys, weights (a matrix, row by row) and steps: pair_step() over the pairs of each key, one by one in the order of `by`.
+
+    The order matters, so a key is one pass; it holds the matrix alone. Pairs with a null go.
+    """
+    from .folds import folded
 
+    def step(rows):
+        w, n = None, 0
+        for _, x, y, t in rows:
+            x, y = np.asarray(x, "float64"), np.asarray(y, "float64")
+            w = pair_step(np.eye(len(y), len(x)) if w is None else w, x, y, t, rate)
+            n += 1
+        if w is not None:
+            yield [[float(v) for v in r] for r in w], n
 
-def fit_pairs(a: np.ndarray, b: np.ndarray, target: np.ndarray, rate: float, steps: int, most: float = 1.0) -> np.ndarray:
-    """Matrix whose product with each a is drawn to a cosine of target with b: one clipped gradient step per pair, in order."""
-    w = np.eye(b.shape[1], a.shape[1])
-    for _ in range(steps):
-        for x, y, t in zip(a, b, target, strict=True):
-            z = w @ x
-            nz, ny = np.linalg.norm(z), np.linalg.norm(y)
-            if nz < 1e-9 or ny < 1e-9:
-                continue
-            cos = z @ y / (nz * ny)
-            g = 2 * (cos - t) * np.outer(y / (nz * ny) - cos * z / nz**2, x)
-            size = np.linalg.norm(g)
-            w -= rate * (g if size <= most else g * (most / size))
-    return w
+    rows = df.select(*keys, by, a, b, F.col(target).cast("double").alias("_t")).where(F.col(a).isNotNull() & F.col(b).isNotNull() & F.col("_t").isNotNull())
+    return folded(rows, keys, [by], step, "weights array<array<double>>, steps long")

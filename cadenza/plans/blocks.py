@@ -136,10 +136,10 @@ def agg39(spark: SparkSession, d: str) -> DataFrame:
     return blocks.within_minus_between(e, ["label"], "side", "embedding").withColumn("contrast", F.round("contrast", 6))
 
 
-@query("agg21_summed_bands", "SELECT label, CAST(i AS INTEGER) AS i, round(sum(x), 5) AS total FROM (SELECT label, vec_id, unnest(range(0, 40)) AS i, unnest(CAST(embedding[1:40] AS DOUBLE[])) AS x FROM embeddings) GROUP BY label, i")
+@query("agg21_summed_bands", "SELECT label, CAST(i AS INTEGER) AS i, round(sum(x), 5) AS total FROM (SELECT label, vec_id, unnest(range(0, 64 - label)) AS i, unnest(CAST(embedding[1:64 - label] AS DOUBLE[])) AS x FROM embeddings) GROUP BY label, i")
 def agg21(spark: SparkSession, d: str) -> DataFrame:
-    """Element-wise sums, cut to a common length."""
-    e = read(spark, d, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, 40)).alias("i", "x"))
+    """Element-wise sums, cut to the length that the vectors of a label have in common: 64 less the label."""
+    e = read(spark, d, "embeddings").select("label", F.posexplode(F.slice("embedding", F.lit(1), 64 - F.col("label"))).alias("i", "x"))
     return e.groupBy("label", "i").agg(F.round(F.sum(F.col("x").cast("double")), 5).alias("total"))
 
 

@@ -145,11 +145,11 @@ def jon31(spark: SparkSession, d: str) -> DataFrame:
     return top_k(e, "embedding", query_vector(e, "embedding", F.col("vec_id") == 5), 10, "vec_id", F.col("vec_id") != 5).select("vec_id")
 
 
-@query("jon32_score_matrix", "SELECT r_name, p_partkey, round(1 - abs(p_size / 50.0E0 - r_regionkey / 5.0E0), 6) AS score FROM region, part WHERE p_size <= 25")
+@query("jon32_score_matrix", "SELECT r_name, p_partkey, round(1 - abs(p_size / 50.0E0 - r_regionkey / 5.0E0), 6) AS score FROM region, part")
 def jon32(spark: SparkSession, d: str) -> DataFrame:
-    """Every mood of a fixed handful against every clip: the moods travel, the clips stay."""
-    moods = F.broadcast(read(spark, d, "region").limit(100).select("r_name", "r_regionkey"))
-    p = read(spark, d, "part").where("p_size <= 25").select("p_partkey", "p_size").crossJoin(moods)
+    """Every mood against every clip: the moods, five regions by the table's definition, travel and the clips stay."""
+    moods = F.broadcast(read(spark, d, "region").select("r_name", "r_regionkey"))
+    p = read(spark, d, "part").select("p_partkey", "p_size").crossJoin(moods)
     return p.select("r_name", "p_partkey", F.round(1 - F.abs(F.col("p_size") / 50 - F.col("r_regionkey") / 5), 6).alias("score"))
 
 
@@ -226,8 +226,8 @@ def win30(spark: SparkSession, d: str) -> DataFrame:
 
 @query("win32_segmentation", None)
 def win32(spark: SparkSession, d: str) -> DataFrame:
-    e = read(spark, d, "embeddings").withColumn("idx", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long")).where("idx < 2048")
-    return signals.segmented(e, ["label"], "idx", "embedding", 3, 30, 0.5)
+    e = read(spark, d, "embeddings").withColumn("idx", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).cast("long"))
+    return signals.segment_starts(e, ["label"], "idx", "embedding", 3, 30, 0.5)
 
 
 @query("win19_absorbed_segments", None)

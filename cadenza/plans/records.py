@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs, ids, scoring, text
-from ..operators import learning, stores
+from ..operators import learning, signals, stores
 from ..operators.vectors import query_vector, scored
 from ..sources import files
 from ..sources.tables import EVENTS_SQL, events, read
@@ -32,9 +32,12 @@ def src17(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", "p_brand", F.col("p_owner").isNull().alias("missing"))
 
 
-@query("src18_paths_below_keys", "SELECT p_partkey, lower(p_brand) || '|' || lower(p_type) AS paths FROM part")
+@query("src18_paths_below_keys", "SELECT p_partkey, '/m/' || replace(lower(p_brand), '#', '') || '|/m/x' || p_size || '|/n/' || p_partkey AS paths FROM part")
 def src18(spark: SparkSession, d: str) -> DataFrame:
-    doc = F.format_string('{"clip":{"file_path":"%s","n":1},"audio_path":"%s","name":"x"}', F.lower("p_brand"), F.lower("p_type"))
+    """A nested record per part: paths below a path key at any depth, of which relative ones and those of other keys don't count."""
+    doc = F.format_string(
+        '{"clip":{"File_PATH":{"deep":["/m/%s",{"more":"/n//%d"}]},"other":"/o"},"paths":["rel/x","/m/./x%d"],"n":1}', F.replace(F.lower("p_brand"), F.lit("#"), F.lit("")), "p_partkey", "p_size"
+    )
     return read(spark, d, "part").select("p_partkey", F.array_join(text.paths_below(doc, "path"), "|").alias("paths"))
 
 
@@ -88,12 +91,12 @@ def snk30(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "agg08_posterior_level",
-    f"""WITH w AS {WEIGHTS_SQL}, c AS (SELECT *, unnest(range(0, 4)) AS level FROM {FEEDBACK_SQL} WHERE event_id % 7 = 0),
+    f"""WITH w AS {WEIGHTS_SQL}, c AS (SELECT *, unnest(range(0, 4)) AS level FROM {FEEDBACK_SQL}),
 j AS (SELECT c.event_id, c.level, w.positive + w.negative AS n FROM c LEFT JOIN w ON w.axis = c.axis AND w.level = c.level AND w.key = c.keys[c.level + 1])
 SELECT event_id, CAST(coalesce(max(CASE WHEN n >= 10 THEN level END), -1) AS INTEGER) AS level, max(CASE WHEN n >= 10 THEN level END) IS NULL AS cold FROM j GROUP BY event_id""",
 )
 def agg08(spark: SparkSession, d: str) -> DataFrame:
-    out = learning.posterior(feedback(spark, d).where("event_id % 7 = 0").select("event_id", "axis", "keys"), weight_table(spark, d), "axis", "keys")
+    out = learning.posterior(feedback(spark, d).select("event_id", "axis", "keys"), weight_table(spark, d), "axis", "keys")
     return out.select("event_id", F.col("mean_level").alias("level"), (F.col("mean_level") == -1).alias("cold"))
 
 
@@ -141,20 +144,8 @@ def udf12(spark: SparkSession, d: str) -> DataFrame:
 
 @query("udf14_ward_clusters", None)
 def udf14(spark: SparkSession, d: str) -> DataFrame:
-    """Clusters of each label's first sixty vectors by Ward's criterion."""
-    import numpy as np
-    import pandas as pd
-
-    from ..operators.signals import ward
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        k = min(max(3, len(pdf) // 2), 8, len(pdf))
-        return pdf[["vec_id", "label"]].assign(cluster=ward(np.array(pdf["embedding"].tolist()), k))
-
-    w = Window.partitionBy("label").orderBy("vec_id")
-    e = read(spark, d, "embeddings").withColumn("rn", F.row_number().over(w)).where("rn <= 60").drop("rn")
-    return e.groupBy("label").applyInPandas(run, "vec_id long, label int, cluster long")
+    """Clusters of each label's vectors by Ward's criterion."""
+    return signals.ward_clusters(read(spark, d, "embeddings"), ["label"], "vec_id", "embedding").select("vec_id", "label", "cluster")
 
 
 @query("jsn03_decoded_by_kind", "SELECT event_id, CASE WHEN event_type = 'view' THEN coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), 0) ELSE -1 END AS k FROM {ev}")
@@ -171,28 +162,12 @@ def stm14(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey").join(effect, "o_orderkey", "left").select("o_orderkey", F.coalesce("seen", F.lit("replay")).alias("action"))
 
 
-@query("stm21_progress_blocks", "SELECT user_id, count(*) FILTER (event_type = 'purchase') AS blocks FROM {ev} GROUP BY user_id")
-def stm21(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks of each user's lines, closed by purchases; what isn't closed is no block."""
-    w = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    closed = (F.col("event_type") == "purchase").cast("int")
-    e = events(spark, d).withColumn("closed", closed).withColumn("block", F.sum("closed").over(w) - F.col("closed"))
-    b = e.groupBy("user_id", "block").agg(F.max("closed").alias("closed"))
-    return b.groupBy("user_id").agg(F.sum("closed").alias("blocks"))
-
-
 @query("str15_path_job_hash", "SELECT p_partkey, sha256(p_brand || '|/x/' || lower(p_type) || '|' || p_size) AS h FROM part")
 def str15(spark: SparkSession, d: str) -> DataFrame:
     h = ids.job_hash(F.col("p_brand"), F.concat(F.lit("/X//"), F.col("p_type")), F.col("p_size"), path=1)
     return read(spark, d, "part").select("p_partkey", h.alias("h"))
 
 
-@query("win40_hybrid_targets", "SELECT event_id, round(2 + (1 - strength) * 6, 6) AS target FROM {ev} WHERE event_type = 'click'")
-def win40(spark: SparkSession, d: str) -> DataFrame:
-    """Wanted length of a cut: short where the series is loud."""
-    return events(spark, d).where("event_type = 'click'").select("event_id", F.round(scoring.remapped(1 - F.col("strength"), 2.0, 8.0), 6).alias("target"))
-
-
 @query("dat05_rates", "SELECT * FROM (VALUES ('23.976', 24000, 1001), ('29.97', 30000, 1001), ('59.94', 60000, 1001)) t(fps, num, den)")
 def dat05(spark: SparkSession, d: str) -> DataFrame:
     from .stores import RATES
@@ -204,11 +179,3 @@ def dat05(spark: SparkSession, d: str) -> DataFrame:
 def snk07(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
     return stores.appended_vectors(v, v.where("label = 2"), "embedding").agg(F.count("*").alias("n"))
-
-
-@query("jon34_nearest_window", "SELECT event_id, CAST(least(9, greatest(0, ceil(value / 50 - 1))) AS BIGINT) AS w FROM {ev}")
-def jon34(spark: SparkSession, d: str) -> DataFrame:
-    """The window of ten whose centre (25, 75, ...) is nearest; between two the earlier."""
-    w = F.ceil(F.col("value") / 50 - 1)
-    return events(spark, d).select("event_id", F.least(F.lit(9), F.greatest(F.lit(0), w)).cast("long").alias("w"))
-

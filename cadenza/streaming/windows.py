@@ -11,9 +11,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
+    """The folder of spark.checkpoint.dir; a temporary one only where none is set and all run in one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="cadenza-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/cadenza-stream/{uuid.uuid4().hex}"
@@ -90,16 +93,18 @@ def job_states(stream: DataFrame, key: str, seq: str, target: str) -> DataFrame:
     return stream.groupBy(key).applyInPandasWithState(step, schema, "state string, revision long, rejected long", "append", GroupStateTimeout.NoTimeout)
 
 
-def progress_blocks(lines: DataFrame, order: str, line: str) -> DataFrame:
-    """Blocks of key=value lines, each closed by a progress line: block, ended, values (a map).
+def progress_blocks(lines: DataFrame, keys: list[str], order: str, line: str) -> DataFrame:
+    """Blocks of key=value lines of each stream, each closed by a progress line: keys, block, ended, values (a map).
 
-    Lines are numbered in a stream's own order, which is one sequence by nature.
+    Blocks are numbered from 0 in the stream's own order. The last of equal names in a block counts;
+    lines without = and what no progress line closes are no part of a block.
     """
     from pyspark.sql import Window
 
-    kv = lines.select(order, F.split(F.trim(line), "=", 2).alias("p")).where(F.size("p") == 2)
-    kv = kv.select(order, F.col("p")[0].alias("k"), F.col("p")[1].alias("v"))
-    closed = (F.col("k") == "progress").cast("int")
-    block = F.sum(closed).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - closed
-    out = kv.withColumn("block", block).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("values"))
-    return out.where(F.map_contains_key("values", "progress")).select("block", (F.col("values")["progress"] == "end").alias("ended"), "values")
+    kv = lines.select(*keys, order, F.split(F.trim(line), "=", 2).alias("_p")).where(F.size("_p") == 2)
+    kv = kv.select(*keys, order, F.trim(F.col("_p")[0]).alias("_name"), F.trim(F.col("_p")[1]).alias("_value"))
+    closed = (F.col("_name") == "progress").cast("int")
+    block = F.sum(closed).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - closed
+    last = kv.withColumn("block", block).groupBy(*keys, "block", "_name").agg(F.max_by("_value", order).alias("_value"))
+    out = last.groupBy(*keys, "block").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_name", "_value")))).alias("values"))
+    return out.where(F.map_contains_key("values", "progress")).select(*keys, "block", (F.col("values")["progress"] == "end").alias("ended"), "values")

@@ -152,7 +152,10 @@ def test_ward_and_pair_fit():
     p = np.array([[0.0], [0.1], [5.0], [5.1], [9.0]])
     assert signals.ward(p, 3).tolist() == [0, 0, 1, 1, 2]
     a, b = np.eye(3), np.roll(np.eye(3), 1, axis=1)
-    w = signals.fit_pairs(a, b, np.ones(3), 0.2, 200)
+    w = np.eye(3)
+    for _ in range(200):
+        for x, y in zip(a, b, strict=True):
+            w = signals.pair_step(w, x, y, 1.0, 0.2)
     assert all((w @ x) @ y / np.linalg.norm(w @ x) > 0.9 for x, y in zip(a, b, strict=True))
 
 
@@ -212,5 +215,6 @@ def test_texts(spark):
     raw = F.lit("Sunset, sunset beach; sunset sky, sunset sea, the, a very long tag of words\nCity")
     assert value(spark, text.parsed_tags(raw, ["the"], 12)) == ["sunset", "sunset beach", "sunset sky", "city"]
     assert value(spark, text.narrative(F.lit("Answer: - One.  Two! Three? Four."), ["answer:"])) == "One. Two! Three?"
-    assert value(spark, text.paths_below(F.lit('{"a":{"clip_path":"/x","other":1},"path":"/y"}'), "path")) == ["/x", "/y"]
+    assert value(spark, text.paths_below(F.lit('{"a":{"clip_path":"/x","other":1},"path":"/y","Path2":[{"b":"/z/../q"},"rel"],"no":"/n"}'), "path")) == ["/q", "/x", "/y"]
+    assert value(spark, text.paths_below(F.lit("{broken"), "path")) == [] and value(spark, text.paths_below(F.lit(None).cast("string"), "path")) == []
     assert value(spark, text.parsed_tags(F.lit(None).cast("string"), [], 3)) == []
