@@ -183,11 +183,12 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     named = docs.where(F.col(id_col).isNotNull())
     id_, th = F.col(id_col).cast("long"), F.xxhash64(F.col(text_col).cast("string"))
-    found = cut(components(named, id_col, text_col).groupBy("component", "doc_id", "th").agg(F.count("*").alias("copies")), "near-groups")
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("first"))
-    stays = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
-    found = cut(found.join(first, "component").select(F.struct("doc_id", "th").alias("_near"), (stays & (F.col("copies") == 1)).alias("stays"), (stays & (F.col("copies") > 1)).alias("merged")), "near-decisions")
-    gone, again = (found.where(c).select("_near") for c in ("not stays", "merged"))
+    found = components(named, id_col, text_col).groupBy("component", "doc_id", "th").agg(F.count("*").alias("copies"))
+    found = cut(found.select("component", "copies", F.struct("doc_id", "th").alias("_near")), "near-groups")
+    # by id and text, of which each is one row, and not by component, of which one may hold a third of all
+    first = cut(found.groupBy("component").agg(F.min("_near").alias("_near")).select("_near"), "near-first")
+    gone = found.select("_near").join(first, "_near", "left_anti")
+    again = found.where("copies > 1").select("_near").join(first, "_near", "left_semi")
     # rows as structs: their columns may have any name
     whole = named.select(F.struct("*").alias("_row"), F.struct(id_.alias("doc_id"), th.alias("th")).alias("_key"))
     same = F.col("_key") == F.col("_near")
