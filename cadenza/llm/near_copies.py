@@ -192,7 +192,7 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # rows as structs: their columns may have any name
     whole = named.select(F.struct("*").alias("_row"), F.struct(id_.alias("doc_id"), th.alias("th")).alias("_key"))
     same = F.col("_key") == F.col("_near")
-    kept = whole.join(_small(gone), same, "left_anti").select("_row.*")
+    kept = whole.join(_small(gone.unionByName(again)), same, "left_anti").select("_row.*")
     if not again.isEmpty():
         once = whole.join(_small(again), same, "left_semi").groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
         kept = kept.unionByName(once.select("_row.*"))
