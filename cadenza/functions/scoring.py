@@ -189,3 +189,31 @@ def folded(value: Column, wanted: Column, factors: tuple[float, ...] = (0.5, 1.0
 def chance_rate(tolerance: float, interval: Column) -> Column:
     """Share of hits that chance alone gives within a tolerance on both sides."""
     return F.least(F.lit(1.0), 2 * tolerance / interval)
+
+
+def confidence_of(state: Column, values: dict[str, float], otherwise: float = 0.0) -> Column:
+    """The confidence of a state by name; an unknown or null one has the last value."""
+    out = F.lit(otherwise)
+    for name, value in reversed(values.items()):
+        out = F.when(state == name, F.lit(value)).otherwise(out)
+    return out
+
+
+def share_of_full(value: Column, full: float, invalid: float = 0.5) -> Column:
+    """value / full, 1 at most; a null or NaN value is taken as `invalid`."""
+    return F.when(value.isNull() | F.isnan(value), F.lit(invalid)).otherwise(F.least(value / full, F.lit(1.0)))
+
+
+def transition_kind(energy: Column, on_beat: Column, loud: float = 0.8, quiet: float = 0.3) -> Column:
+    """'hard_cut' where it is loud and on a beat, 'fade' where it is quiet, else 'crossfade'."""
+    return F.when((energy > loud) & on_beat, "hard_cut").when(energy < quiet, "fade").otherwise("crossfade")
+
+
+def cut_confidence(on_beat: Column, value: Column, middle: float) -> Column:
+    """0.5, plus 0.3 on a beat, plus 0.2 by how near the value lies to the middle, kept in 0..1."""
+    return clip01(0.5 + F.when(on_beat, 0.3).otherwise(0.0) + 0.2 * (1 - F.abs(value - middle) / middle))
+
+
+def signed_factor(base: Column, bonus: Column) -> Column:
+    """base grown by the factor 1 + bonus if it is positive, else divided by it, so that a bonus always helps."""
+    return F.when(base >= 0, base * (1 + bonus)).otherwise(base / (1 + bonus))

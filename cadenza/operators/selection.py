@@ -21,11 +21,11 @@ def best_or(candidates: DataFrame, requests: DataFrame, keys: list[str], pick: s
     return out.select(*requests.columns, F.coalesce("_pick", fallback).alias(pick), F.when(F.col("_pick").isNotNull(), "ranked").otherwise("fallback").alias("source"))
 
 
-def near_tie(candidates: DataFrame, keys: list[str], score: str, second: str, tie: str, slack: float) -> DataFrame:
-    """Of the candidates within `slack` of their key's best score, the one with the highest second value."""
+def near_tie(candidates: DataFrame, keys: list[str], score: str, second: str, tie: str, slack: float, then: str | None = None) -> DataFrame:
+    """Of the candidates within `slack` of their key's best score, the one with the highest second value, and of those by `then` or the score."""
     best = F.max(score).over(Window.partitionBy(*keys))
     close = candidates.withColumn("_best", best).where(F.col(score) >= F.col("_best") - slack).drop("_best")
-    return close.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(second), F.desc(score), tie))).where("_rn = 1").drop("_rn")
+    return close.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(second), F.desc(then or score), tie))).where("_rn = 1").drop("_rn")
 
 
 def without_recent(candidates: DataFrame, keys: list[str], at: str, clip: str, score: str, recent: int) -> DataFrame:
