@@ -18,14 +18,16 @@ def compaction_due(vectors: DataFrame, least: int = 100, share: float = 0.2) ->
     return n.withColumn("due", (F.col("dead") >= least) & (F.col("dead") >= share * F.col("n")))
 
 
-def dense_ids(df: DataFrame, key: str, out: str, ranges: int = 4096) -> DataFrame:
+def dense_ids(df: DataFrame, key: str, out: str, ranges: int = 256) -> DataFrame:
     """Add out: 0, 1, 2, ... in the order of a numeric key, without one task that sees all rows.
 
-    Keys are dealt to value ranges; rows are numbered in their range and moved by the counts of the ranges before.
+    Keys are dealt to ranges between approximate quantiles, so an outlying key doesn't crowd the rest;
+    rows are numbered in their range and moved by the counts of the ranges before. Rows without a key go.
     """
-    ends = df.agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
-    at = F.floor((F.col(key) - F.col("_low")) / (F.col("_high") - F.col("_low") + 1) * ranges)
-    ranged = df.crossJoin(F.broadcast(ends)).withColumn("_range", at).drop("_low", "_high")  # one row
+    rows = df.where(F.col(key).isNotNull())
+    edges = rows.agg(F.percentile_approx(key, F.array(*[F.lit(i / ranges) for i in range(1, ranges)]), 10 * ranges).alias("_edges"))
+    at = F.size(F.filter(F.array_distinct("_edges"), lambda e: e < F.col(key)))
+    ranged = rows.crossJoin(F.broadcast(edges)).withColumn("_range", at).drop("_edges")  # one row
     counts = ranged.groupBy("_range").count()  # at most `ranges` rows
     offsets = counts.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_range").orderBy(key)))

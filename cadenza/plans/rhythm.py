@@ -1,4 +1,4 @@
-"""Queries over tempo, phases, planners with state, projections, and blocks of progress lines."""
+"""Queries over tempo, phases, planners with state, projections, progress lines, and files that are written and read again."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..operators import intervals, planners, rhythm, signals
+from ..sources import files
 from ..sources.tables import EVENTS_SQL, events, read
 from ..streaming import windows
 
@@ -196,3 +197,43 @@ def win35(spark: SparkSession, d: str) -> DataFrame:
     e = read(spark, d, "embeddings").withColumn("idx", (F.row_number().over(w) - 1).cast("long"))
     n = signals.novelty(e, ["label"], "idx", "embedding", 4).withColumn("novelty", F.round("novelty", 9))
     return signals.prominence_peaks(n, ["label"], "idx", "novelty", 4, 0.05)
+
+
+# --- files in the shared folder, written and read again ---
+
+
+@query("src20_content_hashes", "SELECT p_size, sha256(string_agg(p_name, chr(10) ORDER BY p_partkey) || chr(10)) AS h FROM part GROUP BY p_size")
+def src20(spark: SparkSession, d: str) -> DataFrame:
+    """One text file of names per size, and the digest of each file."""
+    path = f"{windows.shared_folder(spark)}/names"
+    p = read(spark, d, "part").select("p_partkey", "p_size", F.col("p_name").alias("value"))
+    p.repartition("p_size").sortWithinPartitions("p_size", "p_partkey").select("p_size", "value").write.partitionBy("p_size").text(path)
+    h = files.content_hashes(spark, path)
+    return h.select(F.regexp_extract("path", r"p_size=(\d+)", 1).cast("int").alias("p_size"), F.col("sha256").alias("h"))
+
+
+@query("snk13_published_snapshot", "SELECT p_partkey, p_size + 1 AS p_size FROM part")
+def snk13(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots, of which readers see the later."""
+    path = f"{windows.shared_folder(spark)}/snapshots"
+    p = read(spark, d, "part").select("p_partkey", "p_size")
+    files.publish(p, path)
+    files.publish(p.withColumn("p_size", F.col("p_size") + 1), path)
+    return files.latest(spark, path)
+
+
+@query("snk21_concat_script", r"SELECT unnest(['file ''' || replace(c_name, '#', '''\''''') || '''', 'duration ' || printf('%.3f', c_custkey / 8.0E0)]) AS line FROM customer")
+def snk21(spark: SparkSession, d: str) -> DataFrame:
+    """The lines of a player's script over customers as clips, whose names get a quote."""
+    path = f"{windows.shared_folder(spark)}/script"
+    c = read(spark, d, "customer").select("c_custkey", F.replace("c_name", F.lit("#"), F.lit("'")).alias("file"), (F.col("c_custkey") / 8).alias("length"))
+    files.concat_script(c, "c_custkey", "file", "length", path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query("jsn02_packed_above_threshold", "SELECT p_partkey, p_name || '|' || p_type AS t, length(p_name || '|' || p_type) > 20 AS packed FROM part")
+def jsn02(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of over twenty characters travel as gzip and base64; all come back."""
+    t = F.concat_ws("|", "p_name", "p_type")
+    p = read(spark, d, "part").select("p_partkey", files.encoded(t, 20).alias("stored"))
+    return p.select("p_partkey", files.decoded(F.col("stored")).alias("t"), F.startswith("stored", F.lit("gz:")).alias("packed"))

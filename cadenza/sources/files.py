@@ -115,7 +115,13 @@ def publish(df: DataFrame, path: str, keep: int = 2) -> str:
     number = before[-1][0] + 1 if before else 1
     staged, final = f"{path}/.staged-{uuid.uuid4().hex}", f"{path}/snapshot-{number:012d}"
     df.write.parquet(staged)
-    if not fs.rename(P(staged), P(final)):
+    # a claim that only one writer can create: on some file systems a rename would move into a folder that exists
+    try:
+        fs.create(P(f"{path}/.claim-{number:012d}"), False).close()
+    except Exception as e:
+        fs.delete(P(staged), True)
+        raise RuntimeError(f"{final} exists: another writer was first") from e
+    if fs.exists(P(final)) or not fs.rename(P(staged), P(final)):
         raise RuntimeError(f"{final} exists: another writer was first")
     for _, old in before[: max(0, len(before) + 1 - keep)]:
         fs.delete(P(old), True)
