@@ -53,6 +53,12 @@ def posix_path(path: Column) -> Column:
     return F.regexp_replace(p, "(.)/$", "$1")
 
 
+def register_functions(spark) -> None:
+    """normalize_media_path(path) for SQL texts of this session: posix_path() as a function of SQL, which Catalyst inlines."""
+    body = r"regexp_replace(regexp_replace(regexp_replace(replace(lower(path), '\\', '/'), '/+', '/'), '(^|/)(\\./)+', '$1'), '(.)/$', '$1')"
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION normalize_media_path(path STRING) RETURNS STRING RETURN {body}")
+
+
 def parsed_tags(raw: Column, stop: list[str], most: int, words: int = 4, stem: int = 7, per_stem: int = 2) -> Column:
     """Tags of a comma, semicolon or line list: cleaned, without stop words, of at most some words, at most per_stem of one beginning, the first `most`."""
     parts = F.transform(F.split(F.lower(F.coalesce(raw, F.lit(""))), r"[,;\n]"), lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "[^a-z0-9 -]", " "), " +", " ")))

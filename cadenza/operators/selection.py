@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import folded
+
 
 def reranked(candidates: DataFrame, keys: list[str], score: str, tie: str, least: float = 0.0, take: int | None = None) -> DataFrame:
     """Candidates of each key, best first, as rank; scores under `least` go if it is over 0; equal scores stay in the order of tie."""
@@ -28,49 +31,58 @@ def near_tie(candidates: DataFrame, keys: list[str], score: str, second: str, ti
     return close.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(second), F.desc(then or score), tie))).where("_rn = 1").drop("_rn")
 
 
+def _moments(candidates: DataFrame, keys: list[str], at: str, clip: str, score: str, choose, extra: str = "") -> DataFrame:
+    """keys, at, clip and what choose(clips, best first, with their scores) says of each moment, in order; choose is made anew for each series."""
+    types = dict(candidates.dtypes)
+
+    def step(rows):
+        one = choose()
+        for t, moment in groupby(rows, key=lambda r: r[0]):
+            best = sorted(((c, s) for _, c, s in moment), key=lambda x: (x[1] is None, -(x[1] or 0), x[0]))
+            yield (t, *one(best))
+
+    return folded(candidates.select(*keys, at, clip, score), keys, [at], step, f"{at} {types[at]}, {clip} {types[clip]}{extra}")
+
+
 def without_recent(candidates: DataFrame, keys: list[str], at: str, clip: str, score: str, recent: int) -> DataFrame:
-    """For each moment of a series the best clip that none of the last `recent` choices was; if all were, the best of all.
+    """For each moment of a series the best clip that none of the last `recent` choices was; if all were, the best of all; fresh says which.
 
-    Choices depend on those before, so a series is one ordered fold; series are independent.
+    Choices depend on those before, so a series is one ordered pass, which holds the last choices and
+    one moment's candidates; series are independent.
     """
-    types = dict(candidates.dtypes)
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose():
         last: list = []
-        rows = []
-        for t, g in pdf.sort_values([at, score, clip], ascending=[True, False, True]).groupby(at, sort=True):
-            names = g[clip].tolist()
-            fresh = [c for c in names if c not in last]
-            c = (fresh or names)[0]
-            rows.append((t, c, bool(fresh)))
+
+        def one(best):
+            nonlocal last
+            fresh = [c for c, _ in best if c not in last]
+            c = fresh[0] if fresh else best[0][0]
             last = [*[x for x in last if x != c], c][-recent:] if recent else []
-        out = pd.DataFrame(rows, columns=[at, clip, "fresh"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, at, clip, "fresh"]]
+            return c, bool(fresh)
+
+        return one
 
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"{at} {types[at]}", f"{clip} {types[clip]}", "fresh boolean"])
-    return candidates.select(*keys, at, clip, score).groupBy(*keys).applyInPandas(choose, schema)
+    return _moments(candidates, keys, at, clip, score, choose, ", fresh boolean")
 
 
 def with_usage_penalty(candidates: DataFrame, keys: list[str], at: str, clip: str, score: str, weight: float = 0.5) -> DataFrame:
-    """For each moment of a series the clip with the highest score / (1 + weight * uses so far); ties to the smaller clip."""
-    types = dict(candidates.dtypes)
+    """For each moment of a series the clip with the highest score / (1 + weight * uses so far); ties to the smaller clip.
+
+    One ordered pass per series, which holds a count per clip and one moment's candidates.
+    """
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+    def choose():
         used: dict = {}
-        rows = []
-        for t, g in pdf.groupby(at, sort=True):
-            c = min(zip(g[score], g[clip], strict=True), key=lambda x: (-x[0] / (1 + weight * used.get(x[1], 0)), x[1]))[1]
+
+        def one(best):
+            c = min(best, key=lambda x: (x[1] is None, -(x[1] or 0) / (1 + weight * used.get(x[0], 0)), x[0]))[0]
             used[c] = used.get(c, 0) + 1
-            rows.append((t, c))
-        out = pd.DataFrame(rows, columns=[at, clip])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, at, clip]]
-
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"{at} {types[at]}", f"{clip} {types[clip]}"])
-    return candidates.select(*keys, at, clip, score).groupBy(*keys).applyInPandas(choose, schema)
+            return (c,)
+
+        return one
+
+    return _moments(candidates, keys, at, clip, score, choose)
 
 
 def contributions(values: DataFrame, keys: list[str], axis: str, value: str, weight: str, top: int) -> DataFrame:

@@ -248,14 +248,14 @@ def top09(spark: SparkSession, d: str) -> DataFrame:
 def top10(spark: SparkSession, d: str) -> DataFrame:
     """For each instant of a user one of ten clips, none of the last three."""
     c = events(spark, d).where("event_type = 'click'").select("user_id", "us", "strength", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("clip"))
-    c = c.withColumn("score", 1 - F.abs(F.col("clip") / 10 - F.col("strength"))).drop("strength").dropDuplicates(["user_id", "us", "clip"])
+    c = c.withColumn("score", 1 - F.abs(F.col("clip") / 10 - F.col("strength"))).groupBy("user_id", "us", "clip").agg(F.max("score").alias("score"))
     return selection.without_recent(c, ["user_id"], "us", "clip", "score", 3)
 
 
 @query("top14_usage_penalty", None)
 def top14(spark: SparkSession, d: str) -> DataFrame:
     c = events(spark, d).where("event_type = 'view'").select("user_id", "us", "strength", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("clip"))
-    c = c.withColumn("score", 1 - F.abs(F.col("clip") / 10 - F.col("strength"))).drop("strength").dropDuplicates(["user_id", "us", "clip"])
+    c = c.withColumn("score", 1 - F.abs(F.col("clip") / 10 - F.col("strength"))).groupBy("user_id", "us", "clip").agg(F.max("score").alias("score"))
     return selection.with_usage_penalty(c, ["user_id"], "us", "clip", "score")
 
 
@@ -362,6 +362,14 @@ def str13(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", text.posix_path(raw).alias("path"))
 
 
+@query("udf01_registered_path_function", "SELECT p_partkey, '/a/' || lower(p_brand) || '/b' AS path FROM part")
+def udf01(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the function that SQL texts can call."""
+    text.register_functions(spark)
+    raw = F.concat(F.lit("\\A//"), F.col("p_brand"), F.lit("\\.\\B/"))
+    return read(spark, d, "part").select("p_partkey", raw.alias("raw")).selectExpr("p_partkey", "normalize_media_path(raw) as path")
+
+
 @query("str16_request_fingerprint", "SELECT event_id, sha256(CAST(user_id AS VARCHAR) || '|' || CAST(event_id AS VARCHAR) || '|' || event_type) AS h FROM events")
 def str16(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).select("event_id", ids.job_hash(F.col("user_id"), F.col("event_id"), F.col("event_type")).alias("h"))
