@@ -10,6 +10,7 @@ precedence.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,6 +159,17 @@ def _choice(sentences, gap: str) -> str:
     return written(tree)
 
 
+def _signs(sentences) -> list[str]:
+    """A few beginnings of words of which every sentence holds one: a text without any of them holds no sentence."""
+    left = [{w[:5] if len(w) > 5 else w for w in s.split(" ")} for s in sentences]
+    out = []
+    while left:
+        words = sorted({w for s in left for w in s}, key=lambda w: (len(w) < 5 or w == "under", -sum(w in s for s in left), w))
+        out.append(words[0])
+        left = [s for s in left if out[-1] not in s]
+    return out
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules=RULES) -> DataFrame:
     """doc_id, n_known, sentence_ids, licenses and license of every row, from its whole text.
 
@@ -170,8 +182,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     entries.
     """
     known = sentences or SENTENCES
-    text = ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    text = F.regexp_replace(text, r"(?<![^a-z0-9_][a-z])(?<!^[a-z])[.!?]+(?=[ \t\n\r\f]|$)", _STOP)
+    rows = docs.select(F.col(id_col).alias("doc_id"), ascii_lower(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("low"))
+    shown = reduce(lambda a, b: a | b, [F.contains("low", F.lit(w)) for w in _signs(known.values())])
+    text = F.when(shown, F.col("low"))  # null, and null through all that follows, where no sentence can be
+    text = F.regexp_replace(text, r"[.!?](?<![^a-z0-9_][a-z].)(?<!^[a-z].)[.!?]*(?=[ \t\n\r\f]|$)", _STOP)
     text = F.regexp_replace(text, r"[\n\r\f]+|[:;]+(?=[ \t\n\r\f]|$)", _LINE)
     text = F.regexp_replace(text, f"[^a-z0-9{_STOP}{_LINE}]+", " ")
     # runs of marks become one, a stop where there is one; each pass takes time in proportion to the text
@@ -179,13 +193,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", senten
     text = F.regexp_replace(text, f"{_STOP}[{_STOP}{_LINE} ]*+", f"{_STOP} ")
     text = F.regexp_replace(text, f" ?{_LINE} ?{_STOP} ?", f"{_STOP} ")
     text = F.concat(F.lit(f"{_STOP} "), F.regexp_replace(text, f" ?([{_STOP}{_LINE}]) ?", " $1 "), F.lit(f" {_STOP}"))
-    pattern = f"(?<=[{_STOP}{_LINE}] {{1,2}})({_choice(known.values(), f'(?: {_LINE})? ')})(?= {{1,2}}[{_STOP}{_LINE}])"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    pattern = f"[{_STOP}{_LINE}] {{1,2}}({_choice(known.values(), f'(?: {_LINE})? ')})(?= {{1,2}}[{_STOP}{_LINE}])"
+    found = F.coalesce(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.array().cast("array<string>"))
     names = F.create_map(*[F.lit(x) for k, v in known.items() for x in (v, k)])
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.transform(found, lambda s: F.replace(s, F.lit(f" {_LINE}"), F.lit(""))).alias("found"))
+    rows = rows.select("doc_id", F.transform(found, lambda s: F.replace(s, F.lit(f" {_LINE}"), F.lit(""))).alias("found"))
     rows = rows.select("doc_id", F.array_compact(F.transform("found", lambda s: F.try_element_at(names, s))).alias("ids"))
     chain = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    several = [F.when(F.contains(chain, F.lit("," + ",".join(seq) + ",")), F.lit(i)) for i, (_, seq) in enumerate(rules) if len(seq) > 1]
+    rows = rows.withColumn("chain", chain)
+    several = [F.when(F.contains("chain", F.lit("," + ",".join(seq) + ",")), F.lit(i)) for i, (_, seq) in enumerate(rules) if len(seq) > 1]
     # rules of one sentence are a lookup, which keeps the plan small
     single = {seq[0]: i for i, (_, seq) in reversed(list(enumerate(rules))) if len(seq) == 1}
     single = F.create_map(*[F.lit(x) for pair in (single or {"": 0}).items() for x in pair])
