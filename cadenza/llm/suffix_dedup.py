@@ -32,6 +32,9 @@ SPAN = 200
 GRAM = 64
 #: Contexts of one anchor that are sorted together (under 2 MB).
 CONTEXTS = 4096
+#: Occurrences of an anchor from which its contexts are dealt to salts, and how many.
+CROWDED = 4096
+SALTS = 64
 #: Bytes of a text that are hashed at a time, so that memory doesn't grow with the text.
 PIECE = 1 << 20
 
@@ -198,9 +201,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     found = cut(docs.mapInArrow(find, "k long, th long, h long, c long, lo long, hi long"), "suffix-anchors")
     # counts are written before they are joined: only a join of two plain reads is split where a key is hot
-    often = cut(found.groupBy("h").count().where("count > 1").select("h"), "suffix-often")
-    shared = cut(found.join(often, "h"), "suffix-shared")
-    classes = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "lo", "hi")).alias("rep"))
+    often = found.groupBy("h").agg(F.count("*").alias("times")).where("times > 1").select("h", (F.col("times") > CROWDED).alias("crowded"))
+    shared = cut(found.join(cut(often, "suffix-often"), "h"), "suffix-shared")
+    classes = shared.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "th", "lo", "hi")).alias("rep"), F.first("crowded").alias("crowded"))
     classes = cut(classes, "suffix-classes")
     open_ = classes.groupBy("h").agg(F.min("n").alias("least"), F.count("*").alias("contexts")).where("least = 1").select("h", "contexts")
     open_ = cut(open_, "suffix-open")
@@ -290,7 +293,10 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     twice = cut(twice, "suffix-twice")
     counted = dealt.where("n = 1").join(twice, ["w1", "w2"]).select("k", "th", "lo", F.col("lo").alias("hi"))
 
-    same = shared.join(classes.where("n > 1").select("h", "c"), ["h", "c"]).select("k", "th", "lo", "hi")
+    # the one row of a context that stands very often is copied to each salt, its occurrences are dealt to them
+    salt = F.when(F.col("crowded"), F.pmod(F.xxhash64("k", "th", "lo"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.explode(F.when(F.col("crowded"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    same = shared.withColumn("salt", salt).join(classes.where("n > 1").select("h", "c", salts), ["h", "c", "salt"]).select("k", "th", "lo", "hi")
     spans = same.unionByName(sorted_).unionByName(counted)
     return spans.groupBy("k", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 

@@ -26,9 +26,10 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("contexts", [4096, 2])
-def test_matches_brute_force(spark, monkeypatch, contexts):
+@pytest.mark.parametrize(("contexts", "crowded"), [(4096, 4096), (2, 2), (4096, 1)])
+def test_matches_brute_force(spark, monkeypatch, contexts, crowded):
     monkeypatch.setattr(sd, "CONTEXTS", contexts)
+    monkeypatch.setattr(sd, "CROWDED", crowded)
     texts = corpus()
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("spans", F.lit("clash")).withColumn("k", F.lit(1.5))
     out = sd.remove_repeats(df).collect()
