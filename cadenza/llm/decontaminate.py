@@ -115,10 +115,11 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     if WINDOW in lengths and GRAM not in sizes:  # all grams of GRAM words hold the least ones
         prints.append(F.col(f"m{WINDOW - GRAM + 1}"))
     shown = seen.select("doc_id", "th", F.explode_outer(F.array_distinct(F.concat(*prints))).alias("fp"))
-    suspects = shown.join(_small(marks, n_windows), "fp").select("doc_id", "th").distinct()
+    suspects = cut(shown.join(_small(marks, n_windows), "fp").select("doc_id", "th").distinct(), "suspect-ids")
 
+    # few documents are suspects: their ids go to the texts, not the texts to them
     near = (row.doc_id.eqNullSafe(suspects.doc_id)) & (row.th == suspects.th)
-    suspect = cut(row.join(suspects, near, "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", words(F.col("text")).alias("w")), "suspects")
+    suspect = cut(row.join(_small(suspects, suspects.count()), near, "left_semi").dropDuplicates(["doc_id", "th"]).select("doc_id", "th", words(F.col("text")).alias("w")), "suspects")
     found = None
     for n in sorted(lengths):
         key = _grams(windows.where(F.col("n") == n).select("w", "n", "window"), n).select(F.element_at(f"g{n}", 1).alias("g"), "n", "window")
