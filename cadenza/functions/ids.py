@@ -34,3 +34,9 @@ def content_digest(fields: dict[str, Column], numbers: dict[str, Column], digits
     """First 16 digits of the SHA-256 of JSON with sorted names, its numbers with so many decimals; nulls are left out."""
     cols = {**{n: c.cast("string") for n, c in fields.items()}, **{n: F.format_string(f"%.{digits}f", c.cast("double")) for n, c in numbers.items()}}
     return F.substring(F.sha2(F.to_json(F.struct(*[cols[n].alias(n) for n in sorted(cols)])), 256), 1, 16)
+
+
+def sampled_digest(values: Column, stride: int, levels: int = 256) -> Column:
+    """SHA-256 of every stride-th value as a whole number of `levels` steps from 0 to 1, so that small changes elsewhere don't matter."""
+    picked = F.filter(values, lambda x, i: i % stride == 0)
+    return F.sha2(F.array_join(F.transform(picked, lambda x: F.floor(x.cast("double") * levels).cast("string")), ","), 256)

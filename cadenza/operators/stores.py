@@ -43,6 +43,12 @@ def appended_vectors(store: DataFrame, new: DataFrame, vec: str) -> DataFrame:
     return store.unionByName(new.withColumn(vec, ok))
 
 
+def linked(vectors: DataFrame, links: DataFrame, key: str) -> DataFrame:
+    """New vectors with tombstoned set where their link wasn't written, so that search never finds half of a pair."""
+    there = links.select(key).distinct().withColumn("_there", F.lit(True))
+    return vectors.join(there, key, "left").withColumn("tombstoned", F.col("_there").isNull()).drop("_there")
+
+
 def current_only(rows: DataFrame, keys: list[str], *newest: str) -> DataFrame:
     """is_current for the newest row of each key, and for no other."""
     order = [F.desc(c) for c in newest]

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import exprs
-from ..operators import intervals, planners, rhythm, signals
+from ..functions import exprs, ids, scoring
+from ..operators import blocks, intervals, planners, rhythm, signals, stores
+from ..operators.vectors import query_vector, scored
 from ..sources import files
 from ..sources.tables import EVENTS_SQL, events, read
 from ..streaming import windows
@@ -105,6 +106,15 @@ def mth04(spark: SparkSession, d: str) -> DataFrame:
     return p.join(after, "vec_id").select("vec_id", F.round(exprs.cosine01(F.col("p"), F.col("q")), 6).alias("score"))
 
 
+@query("mth18_band_pass", None)
+def mth18(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's values as a sound of a hundred samples a second, and the strength of its middle band."""
+    s = F.sort_array(F.collect_list(F.struct("us", "event_id", "value")))
+    c = events(spark, d).groupBy("user_id").agg(F.transform(s, lambda x: x["value"]).alias("c")).withColumn("rate", F.lit(100.0))
+    out = signals.band_passed(c, "c", "rate", 10.0, 25.0, "y", 2)
+    return out.select("user_id", F.round(F.sqrt(F.aggregate("y", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")) / F.size("y")), 3).alias("level"))
+
+
 @query("win31_prominence_peaks", None)
 def win31(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
@@ -237,3 +247,56 @@ def jsn02(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat_ws("|", "p_name", "p_type")
     p = read(spark, d, "part").select("p_partkey", files.encoded(t, 20).alias("stored"))
     return p.select("p_partkey", files.decoded(F.col("stored")).alias("t"), F.startswith("stored", F.lit("gz:")).alias("packed"))
+
+
+# --- twins of audio operators over other series, and small keyed writes ---
+
+
+@query(
+    "jon05_video_units_with_metadata",
+    "WITH t AS (SELECT vec_id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST((SELECT embedding FROM embeddings WHERE vec_id = 8) AS DOUBLE[])) AS s FROM embeddings WHERE label <> 1 ORDER BY s DESC, vec_id LIMIT 30) SELECT t.vec_id, p.p_name, round(s, 6) AS score FROM t JOIN part p ON p.p_partkey = t.vec_id",
+)
+def jon05(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest units of the wanted kind with their names: the filter acts before the top k."""
+    e = read(spark, d, "embeddings")
+    top = scored(e.where("label <> 1"), "embedding", query_vector(e, "embedding", F.col("vec_id") == 8)).orderBy(F.desc("score"), "vec_id").limit(30)
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("vec_id"), "p_name")
+    return top.join(p, "vec_id").select("vec_id", "p_name", F.round("score", 6).alias("score"))
+
+
+@query(
+    "jon18_bass_at_span",
+    "SELECT user_id, CAST(i AS INTEGER) AS i, 1 + least(1.0, c[CAST(floor(i / 10.0E0 * (len(c) - 1)) AS INTEGER) + 1]) AS v FROM (SELECT *, unnest(range(0, 11)) AS i FROM (SELECT user_id, list(strength ORDER BY us, event_id) AS c FROM {ev} WHERE event_type = 'view' GROUP BY user_id))",
+)
+def jon18(spark: SparkSession, d: str) -> DataFrame:
+    """Positional lookup in the curve of one band."""
+    s = F.sort_array(F.collect_list(F.struct("us", "event_id", "strength")))
+    c = events(spark, d).where("event_type = 'view'").groupBy("user_id").agg(F.transform(s, lambda x: x["strength"]).alias("c"))
+    c = c.select("user_id", "c", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("i"))
+    return c.select("user_id", "i", (1 + exprs.clip01(scoring.at_span(F.col("c"), F.col("i") / 10))).alias("v"))
+
+
+@query("snk08_audio_units_appended", "SELECT label, count(*) AS n FROM (SELECT label FROM embeddings WHERE label < 5 UNION ALL SELECT label FROM embeddings WHERE label >= 5) GROUP BY label")
+def snk08(spark: SparkSession, d: str) -> DataFrame:
+    """A store and a batch of new units in one write, all of the store's dimension."""
+    v = read(spark, d, "embeddings").select("vec_id", "embedding", "label")
+    return stores.appended_vectors(v.where("label < 5"), v.where("label >= 5"), "embedding").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("snk10_linked_or_tombstoned", "SELECT vec_id, p_partkey IS NULL AS tombstoned FROM embeddings LEFT JOIN (SELECT p_partkey FROM part WHERE p_size < 25) ON p_partkey = vec_id")
+def snk10(spark: SparkSession, d: str) -> DataFrame:
+    links = read(spark, d, "part").where("p_size < 25").select(F.col("p_partkey").alias("vec_id"))
+    return stores.linked(read(spark, d, "embeddings").select("vec_id"), links, "vec_id")
+
+
+@query("str20_sampled_digest", "SELECT vec_id, sha256(array_to_string(list_transform(range(0, 64, 8), lambda i: CAST(CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 256) AS BIGINT) AS VARCHAR)), ',')) AS h FROM embeddings")
+def str20(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select("vec_id", ids.sampled_digest(F.col("embedding"), 8).alias("h"))
+
+
+@query("stm23_tumbling_counts", "SELECT user_id, CAST(i // 32 AS BIGINT) AS block, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS i FROM {ev}) GROUP BY ALL")
+def stm23(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of thirty-two events, the last one as long as it is."""
+    w = Window.partitionBy("user_id").orderBy("us", "event_id")
+    e = blocks.by_size(events(spark, d).withColumn("idx", F.row_number().over(w) - 1), "idx", 32, ["user_id"])
+    return e.groupBy("user_id", "block").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))

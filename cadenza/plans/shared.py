@@ -24,6 +24,7 @@ SQL = {
     "src05_status_scan": "SELECT o_orderkey, o_orderstatus FROM {orders} WHERE o_orderstatus IN ('O', 'P')",
     "src06_composite_key_scan": "SELECT e.event_id FROM {ev} e WHERE e.event_type = 'click' AND e.user_id = 11 AND EXISTS (SELECT 1 FROM {customer} c WHERE c.c_custkey = e.user_id)",
     "src24_exists_probe": "SELECT c_custkey, EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey) AS has_orders FROM {customer} c",
+    "src25_exists_probe_video": "SELECT p_partkey, EXISTS (SELECT 1 FROM {lineitem} l WHERE l.l_partkey = p.p_partkey AND l.l_quantity > 25) AS has_units FROM {part} p",
     "prj03_confidence_case": "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1.0E0 WHEN 'P' THEN 0.5E0 ELSE 0.0E0 END AS confidence FROM {orders}",
     "prj10_position_bucket": "SELECT event_id, CASE WHEN strength < 0.25 THEN 'start' WHEN strength >= 0.75 THEN 'end' ELSE 'middle' END AS pos FROM {ev}",
     "prj11_tertiles": "SELECT e.event_id, CASE WHEN e.value < t.a THEN 'low' WHEN e.value < t.b THEN 'medium' ELSE 'high' END AS bucket FROM {ev} e JOIN (SELECT user_id, quantile_cont(value, 0.33) AS a, quantile_cont(value, 0.66) AS b FROM {ev} GROUP BY user_id) t ON t.user_id = e.user_id",

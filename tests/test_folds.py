@@ -252,3 +252,16 @@ def test_fitted_pairs_one_by_one(spark):
     x, y = np.array(pairs[0][2]), np.array(pairs[0][3])
     cos = lambda m: (m @ x) @ y / np.linalg.norm(m @ x) / np.linalg.norm(y)
     assert cos(signals.pair_step(np.eye(2, 3), x, y, 1.0, 0.01)) > cos(np.eye(2, 3))
+
+
+def test_band_pass_keeps_phase(spark):
+    t = np.arange(4000) / 1000
+    low, mid, high = (np.sin(2 * np.pi * f * t) for f in (5, 60, 300))
+    out = signals.band_pass(low + mid + high, 1000, 30, 120)
+    assert np.abs(out - mid)[300:-300].max() < 0.05
+    # at both edges of the band two passes halve the amplitude
+    edge = signals.band_pass(np.sin(2 * np.pi * 120 * t), 1000, 30, 120)
+    assert abs(np.abs(edge[500:-500]).max() - 0.5) < 0.02
+    df = spark.createDataFrame([(1, mid.tolist(), 1000), (2, None, 1000), (3, [1.0], 1000), (4, [], 1000)], "i int, x array<double>, r int")
+    got = {r.i: r.y for r in signals.band_passed(df, "x", "r", 30, 120, "y").collect()}
+    assert np.abs(np.array(got[1]) - mid)[300:-300].max() < 0.05 and got[2] is None and got[3] == [0.0] and got[4] == []
