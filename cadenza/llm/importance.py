@@ -137,10 +137,10 @@ def bucket_gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) ->
     t = target.select("bucket", F.col("n").alias("t"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     counts = every.join(s, "bucket", "left").join(t, "bucket", "left").fillna(0, ["s", "t"])
-    whole = counts.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
+    all_s, all_t = counts.agg(F.sum("s"), F.sum("t")).first()
     x = lambda c, by: F.col(c).cast("double") + by
-    ratio = x("t", 1) * x("all_s", buckets) / (x("s", 1) * x("all_t", buckets))
-    return counts.crossJoin(F.broadcast(whole)).select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))  # one row beside BUCKETS rows
+    ratio = x("t", 1) * (float(all_s) + buckets) / (x("s", 1) * (float(all_t) + buckets))
+    return counts.select("bucket", F.floor(1000 * F.log(ratio)).alias("gain"))
 
 
 def weigh(docs: DataFrame, gains: np.ndarray, id_col: str = "doc_id", text_col: str = "text", depth: int = LONGEST, block: int = BLOCK) -> DataFrame:
@@ -210,7 +210,8 @@ def resample(docs: DataFrame, target: DataFrame, seed: int = 42, share_pct: int
     that repeat count and are drawn one by one. An empty target gives gains against the smoothing
     alone; empty docs give an empty result. Further columns don't matter.
     """
-    gains = bucket_gains(bucket_counts(docs, text_col, buckets), bucket_counts(target, target_text, buckets), buckets)
+    counts = [cut(bucket_counts(df, c, buckets), "importance-buckets") for df, c in ((docs, text_col), (target, target_text))]
+    gains = bucket_gains(*counts, buckets)
     by_bucket = np.zeros(buckets, "int64")
     for r in gains.collect():  # as many rows as buckets
         by_bucket[r.bucket] = r.gain
