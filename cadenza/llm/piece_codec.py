@@ -22,6 +22,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ BLANK = "▁"
 PARTS = 500_000
 PAIRS = 2_000_000
 PART_LENGTH = 64
+#: Ids up to which Arrow joins a batch at once: its offsets have 32 bits.
+BULK = 50_000_000
 
 
 def _replace_byte(error):
@@ -49,27 +52,23 @@ class PieceCodec:
     """
 
     def __init__(self, pieces: list[tuple[str, int, float]], bytes_: list[int], others: dict[int, str] | None = None):
-        import ahocorasick
-
         self.ids = {p: i for p, i, _ in pieces}
         self.rank = {p: -score for p, _, score in pieces}
         self.bytes = bytes_
         self.pairs: dict[tuple[str, str], bool] = {}
         self.parts: dict[str, bytes] = {}
+        self.codes: dict[str, bytes] = {}
         self.spines: dict[str, tuple[list, list]] = {}
-        self.automaton = ahocorasick.Automaton()
-        for p in self.ids:
-            if len(p) == 1 or self._merged(p) is not None:
-                self.automaton.add_word(p, p)
-        self.automaton.make_automaton()
+        self._build(p for p in self.ids if len(p) == 1 or self._merged(p) is not None)
         joined = sorted({c for p in self.ids if len(p) > 1 for c in p} - {BLANK})
         whole = re.compile(r".+", re.S)
         crossing = any(BLANK in p.lstrip(BLANK) for p in self.ids)
         self.splitter = whole if crossing or not joined else re.compile(f"{BLANK}*[{''.join(map(re.escape, joined))}]+|{BLANK}+|.", re.S)
-        self.text_of = {i: p.replace(BLANK, " ") for p, i, _ in pieces} | dict(others or {})
-        self.text_of |= {i: chr(b) if b < 128 else chr(0xDC00 + b) for b, i in enumerate(bytes_)}
+        self.bytes_of = {i: p.replace(BLANK, " ").encode() for p, i, _ in pieces} | {i: t.encode() for i, t in (others or {}).items()}
+        self.bytes_of |= {i: bytes([b]) for b, i in enumerate(bytes_)}
+        self.by_id = pa.array([self.bytes_of.get(i) for i in range(max(self.bytes_of) + 1)], pa.binary())
         self.led = {i for p, i, _ in pieces if p.startswith(BLANK)}
-        self.mute = {i for i, text in self.text_of.items() if not text}
+        self.mute = {i for i, text in self.bytes_of.items() if not text}
 
     @classmethod
     def load(cls, path: str) -> PieceCodec:
@@ -159,25 +158,81 @@ class PieceCodec:
             else:
                 j += 1
 
+    def _build(self, words) -> None:
+        """An automaton over words: moves of each state by character, and the words that end in it, the longest first."""
+        self.moves: list[dict[str, int]] = [{}]
+        self.ends: list[tuple] = [()]
+        for word in words:
+            state = 0
+            for c in word:
+                after = self.moves[state].setdefault(c, len(self.moves))
+                if after == len(self.moves):
+                    self.moves.append({})
+                    self.ends.append(())
+                state = after
+            self.ends[state] = ((word, len(word)),)
+        self.falls = [0] * len(self.moves)  # where the longest shorter suffix of a state stands
+        queue = list(self.moves[0].values())
+        for state in queue:
+            for c, after in self.moves[state].items():
+                fall = self.falls[state]
+                while fall and c not in self.moves[fall]:
+                    fall = self.falls[fall]
+                self.falls[after] = self.moves[fall].get(c, 0)
+                queue.append(after)
+            self.ends[state] += self.ends[self.falls[state]]
+
+    def _move(self, state: int, c: str) -> int:
+        """The state after a character that goes on from a shorter suffix; kept, so that it is looked up from then on."""
+        fall = state
+        while fall and c not in self.moves[fall]:
+            fall = self.falls[fall]
+        after = self.moves[fall].get(c, 0)
+        if c in self.moves[0]:  # characters of no piece aren't kept, so that what is kept is bounded
+            self.moves[state][c] = after
+        return after
+
+    def tables(self, texts):
+        """(text, last token of each of its prefixes by length) for parts of texts, whose blanks are already BLANK. Characters without a piece are tokens of their own.
+
+        A text that begins as the one before it goes on from their common prefix, so sorted texts share
+        most of their tables. The table is the same list each time.
+        """
+        last, states, old = [""], [0], ""
+        moves, ends, known = self.moves, self.ends, self.pairs.get
+        for text in texts:
+            same = 0
+            for c, d in zip(text, old, strict=False):
+                if c != d:
+                    break
+                same += 1
+            del last[same + 1 :], states[same + 1 :]
+            state = states[same]
+            for n in range(same + 1, len(text) + 1):
+                c = text[n - 1]
+                after = moves[state].get(c)
+                state = self._move(state, c) if after is None else after
+                for piece, size in ends[state]:
+                    before = last[n - size]
+                    if not before:
+                        break
+                    fits = known((before, piece))
+                    if self.compatible(before, piece) if fits is None else fits:
+                        break
+                else:
+                    piece = c
+                last.append(piece)
+                states.append(state)
+            old = text
+            yield text, last
+
     def tokens(self, text: str) -> list[str]:
-        """Tokens of a part of a text; blanks are already BLANK. Characters without a piece are tokens of their own."""
-        last = [""]  # of each prefix, by its length
-        n = 1
-        known = self.pairs.get
-        for end, piece in self.automaton.iter(text):
-            if end + 1 < n:  # has its token
-                continue
-            while n <= end:
-                last.append(text[n - 1])
-                n += 1
-            before = last[n - len(piece)]
-            if before:
-                fits = known((before, piece))
-                if not (self.compatible(before, piece) if fits is None else fits):
-                    continue
-            last.append(piece)
-            n += 1
-        last.extend(text[n - 1 :])
+        """Tokens of one part of a text."""
+        return [t for _, last in self.tables([text]) for t in self._back(text, last)]
+
+    @staticmethod
+    def _back(text: str, last: list[str]) -> list[str]:
+        """Tokens from the last one backwards, in order."""
         out = []
         at = len(text)
         while at:
@@ -185,45 +240,59 @@ class PieceCodec:
             at -= len(last[at])
         return out[::-1]
 
-    def _part(self, text: str) -> bytes:
-        ids: list[int] = []
-        for token in self.tokens(text):
-            one = self.ids.get(token)
-            ids.extend([one] if one is not None else [self.bytes[b] for b in token.encode("utf-8", "replace")])
-        return np.array(ids, "int32").tobytes()
+    def _code(self, token: str) -> bytes:
+        """Ids of a token as 32-bit numbers; a character without a piece is its bytes."""
+        found = self.codes.get(token)
+        if found is None:
+            own = self.ids.get(token)
+            found = np.array([own] if own is not None else [self.bytes[b] for b in token.encode("utf-8", "replace")], "int32").tobytes()
+            if own is not None:
+                self.codes[token] = found
+        return found
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; empty texts have none. Parts that aren't known yet are sorted and encoded once."""
+        found = [self.splitter.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
+        parts = self.parts
+        asked = set().union(*found)
+        new = asked.difference(parts)
+        if len(parts) + len(new) > PARTS:
+            parts.clear()
+            new = asked
+        code = self._code
+        for part, last in self.tables(sorted(new)):
+            parts[part] = b"".join(map(code, self._back(part, last)))
+        out = [np.frombuffer(b"".join(map(parts.__getitem__, f)), "int32") for f in found]
+        for part in new:
+            if len(part) > PART_LENGTH:
+                del parts[part]
+        return out
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a text; the empty text has none."""
-        if not text:
-            return np.zeros(0, "int32")
-        out = []
-        parts = self.parts
-        for part in self.splitter.findall(BLANK + text.replace(" ", BLANK)):
-            found = parts.get(part)
-            if found is None:
-                found = self._part(part)
-                if len(part) <= PART_LENGTH:
-                    if len(parts) >= PARTS:
-                        parts.clear()
-                    parts[part] = found
-            out.append(found)
-        return np.frombuffer(b"".join(out), "int32")
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: bytes of byte pieces read as UTF-8 (a byte that can't be read gives U+FFFD), the first blank dropped."""
-        runs, text = [], ""
         if not ids:
-            return text
-        if self.mute.isdisjoint(ids):
-            runs.append(ids)
-        else:  # control ids have no text, but bytes beside them aren't read together
+            return ""
+        runs, text = [ids], ""
+        if not self.mute.isdisjoint(ids):  # control ids have no text, but bytes beside them aren't read together
             cuts = [-1, *(k for k, i in enumerate(ids) if i in self.mute), len(ids)]
-            runs += [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False) if a + 1 < b]
+            runs = [ids[a + 1 : b] for a, b in zip(cuts, cuts[1:], strict=False) if a + 1 < b]
         for run in runs:
-            part = "".join(map(self.text_of.__getitem__, run))
-            text += part if part.isascii() else part.encode("utf-8", "surrogateescape").decode("utf-8", "cadenza_each_byte")
+            text += b"".join(map(self.bytes_of.__getitem__, run)).decode("utf-8", "cadenza_each_byte")
         return text[1:] if runs and runs[0][0] in self.led else text
 
+    def decode_lists(self, lists: pa.ListArray) -> pa.Array:
+        """decode() for an array of lists of ids; pieces are taken and joined by Arrow. Null lists and null ids are read as absent."""
+        if len(lists.values) > BULK or lists.null_count or lists.values.null_count or not self.mute.isdisjoint(np.unique(lists.flatten().to_numpy()).tolist()):
+            return pa.array([self.decode([i for i in x or () if i is not None]) for x in lists.to_pylist()], pa.string())
+        pieces = pa.ListArray.from_arrays(lists.offsets, pc.take(self.by_id, lists.values))
+        first = np.concatenate([lists.values.to_numpy(), [-1]])[lists.offsets.to_numpy()[:-1]]
+        led = np.isin(first, list(self.led)) & (np.diff(lists.offsets.to_numpy()) > 0)
+        joined = [x.decode("utf-8", "cadenza_each_byte") for x in pc.binary_join(pieces, b"").to_pylist()]
+        return pa.array([x[1:] if b else x for x, b in zip(joined, led.tolist(), strict=True)], pa.string())
+
 
 @cache
 def codec(path: str) -> PieceCodec:
@@ -232,7 +301,7 @@ def codec(path: str) -> PieceCodec:
 
 def _mapped(df: DataFrame, column: str, out: str, kind: str, work) -> DataFrame:
     """df with `out`, what work gives for Arrow batches of `column`."""
-    small_batches(df.sparkSession, 256)
+    small_batches(df.sparkSession, 1024)
     at = df.columns.index(column)
 
     def run(batches):
@@ -254,7 +323,7 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
 
     def work(texts):
         own = codec(path)
-        found = [own.encode(t.as_py() or "") for t in texts.cast(pa.string())]
+        found = own.encode_all([t or "" for t in texts.cast(pa.string()).to_pylist()])
         sizes = np.concatenate([[0], np.cumsum([len(f) for f in found])])
         values = np.concatenate(found) if found else np.zeros(0, "int32")
         return pa.ListArray.from_arrays(pa.array(sizes.astype("int32")), pa.array(values))
@@ -266,8 +335,7 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
     """df with the text of each array of ids; null arrays and null ids are read as absent, an id beyond the model is an error. See encode()."""
 
     def work(lists):
-        own = codec(path)
-        return pa.array([own.decode([i for i in x.as_py() or () if i is not None]) for x in lists], pa.string())
+        return codec(path).decode_lists(lists)
 
     return _mapped(df, ids_col, out, "string", work)
 
