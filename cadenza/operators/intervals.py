@@ -1,15 +1,17 @@
 """Joins of points and intervals: containment, as-of, nearest, bands, overlaps.
 
 Containment is an equi-join on time buckets with the exact test behind it. As-of and nearest joins
-merge both sides into one ordered stream and carry the last seen row along, which costs one sort and
-makes no pairs.
+merge both sides into one ordered stream and carry the last seen row along, which makes no pairs; long
+series are dealt to spans of time, and what a span ends with is carried to the next ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import spans
+
 
 def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, start: str, end: str, bucket: int, how: str = "left") -> DataFrame:
     """points with the interval [start, end) that holds them, the first by start where several do.
@@ -30,36 +32,43 @@ def containing(points: DataFrame, intervals: DataFrame, keys: list[str], at: str
     return out.select(*[c for c in out.columns if c != "_hit"], *[F.col("_hit")[c].alias(c) for c in extra])
 
 
-def _merged(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, forward: bool, value_cols: list[str]) -> DataFrame:
-    lt = left.select(*keys, F.col(at).alias("_t"), F.lit(1 if not forward else 0).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_l"), F.lit(None).cast(right.select(F.struct(r_at, *value_cols).alias("x")).schema["x"].dataType).alias("_r"))
-    rt = right.select(*keys, F.col(r_at).alias("_t"), F.lit(0 if not forward else 1).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("x")).schema["x"].dataType).alias("_l"), F.struct(r_at, *value_cols).alias("_r"))
-    return lt.unionByName(rt)
+def _merged(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, values: list[str]) -> DataFrame:
+    """Both sides in one: _t, _side (right rows first), _l and _r."""
+    l, r = F.struct(*[F.col(c) for c in left.columns]), F.struct(r_at, *values)
+    none = lambda df, x: F.lit(None).cast(df.select(x.alias("x")).schema["x"].dataType)
+    lt = left.select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_side"), l.alias("_l"), none(right, r).alias("_r"))
+    rt = right.select(*keys, F.col(r_at).alias("_t"), F.lit(0).alias("_side"), none(left, l).alias("_l"), r.alias("_r"))
+    return lt.unionByName(rt.where(F.col(r_at).isNotNull()))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, values: list[str], direction: str = "backward") -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, values: list[str], direction: str = "backward", rows: int = spans.ROWS) -> DataFrame:
     """left with r_at and values of the last right row at or before `at` (forward: the first at or after).
 
-    Equal right times should be made unique by the caller. Rows without a match get nulls.
+    Equal right times should be made unique by the caller. Rows without a match get nulls, as do left
+    rows without an instant; right rows without one go. Beyond `rows` rows the series are dealt to spans,
+    so a key may hold all of them.
     """
-    forward = direction == "forward"
-    merged = _merged(left, right, keys, at, r_at, forward, values)
-    if forward:
-        w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(0, Window.unboundedFollowing)
-        found = F.first("_r", ignorenulls=True).over(w)
-    else:
-        w = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
-        found = F.last("_r", ignorenulls=True).over(w)
-    out = merged.withColumn("_m", found).where(F.col("_l").isNotNull())
-    return out.select("_l.*", F.col("_m")[r_at].alias(r_at), *[F.col("_m")[v].alias(v) for v in values])
-
-
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, later_wins: bool = False) -> DataFrame:
-    """left with r_at of the nearest right row and its distance; of two equally near ones the earlier (or later) wins."""
-    back = as_of(left, right.select(*keys, r_at), keys, at, r_at, []).withColumnRenamed(r_at, "_back")
-    both = as_of(back, right.select(*keys, r_at), keys, at, r_at, [], "forward").withColumnRenamed(r_at, "_next")
-    db, dn = F.col(at) - F.col("_back"), F.col("_next") - F.col(at)
-    use_next = F.col("_back").isNull() | (F.col("_next").isNotNull() & ((dn <= db) if later_wins else (dn < db)))
-    out = both.withColumn(r_at, F.when(use_next, F.col("_next")).otherwise(F.col("_back")))
+    merged = _merged(left, right, keys, at, r_at, values)
+    out = spans.carried(merged, keys, "_t", "_side", "_r", spans.edges(merged, "_t", rows), **{direction: "_m"})
+    match = F.when(F.col("_t").isNotNull(), F.col("_m"))
+    return out.where(F.col("_l").isNotNull()).select("_l.*", match[r_at].alias(r_at), *[match[v].alias(v) for v in values])
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, values: list[str], rows: int) -> DataFrame:
+    """left with _back and _next, the structs of the right rows on both sides; one at the same instant is both."""
+    merged = _merged(left, right, keys, at, r_at, values)
+    out = spans.carried(merged, keys, "_t", "_side", "_r", spans.edges(merged, "_t", rows), "_back", "_next")
+    known = lambda c: F.when(F.col("_t").isNotNull(), F.col(c)).alias(c)
+    return out.where(F.col("_l").isNotNull()).select("_l.*", known("_back"), known("_next"))
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, later_wins: bool = False, rows: int = spans.ROWS) -> DataFrame:
+    """left with r_at of the nearest right row and its distance; of two equally near ones the earlier (or later) wins. Spans as in as_of()."""
+    both = _beside(left, right, keys, at, r_at, [], rows)
+    back, after = F.col("_back")[r_at], F.col("_next")[r_at]
+    db, dn = F.col(at) - back, after - F.col(at)
+    use_next = back.isNull() | (after.isNotNull() & ((dn <= db) if later_wins else (dn < db)))
+    out = both.withColumn(r_at, F.when(use_next, after).otherwise(back))
     return out.withColumn("distance", F.abs(F.col(at) - F.col(r_at))).drop("_back", "_next")
 
 
@@ -71,13 +80,13 @@ def band(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str,
     return pairs.groupBy(*left.columns).agg(agg)
 
 
-def interpolated(points: DataFrame, anchors: DataFrame, keys: list[str], at: str, a_at: str, value: str, out: str = "interpolated") -> DataFrame:
-    """points with the value on the line between the anchors before and after; outside of the anchors the nearest one's value."""
-    back = as_of(points, anchors, keys, at, a_at, [value]).withColumnsRenamed({a_at: "_t0", value: "_v0"})
-    both = as_of(back, anchors, keys, at, a_at, [value], "forward").withColumnsRenamed({a_at: "_t1", value: "_v1"})
-    line = F.col("_v0") + (F.col("_v1") - F.col("_v0")) * (F.col(at) - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
-    inside = F.col("_t0").isNotNull() & F.col("_t1").isNotNull() & (F.col("_t1") > F.col("_t0"))
-    return both.withColumn(out, F.when(inside, line).otherwise(F.coalesce("_v0", "_v1"))).drop("_t0", "_v0", "_t1", "_v1")
+def interpolated(points: DataFrame, anchors: DataFrame, keys: list[str], at: str, a_at: str, value: str, out: str = "interpolated", rows: int = spans.ROWS) -> DataFrame:
+    """points with the value on the line between the anchors before and after; outside of the anchors the nearest one's value. Spans as in as_of()."""
+    both = _beside(points, anchors, keys, at, a_at, [value], rows)
+    t0, v0, t1, v1 = F.col("_back")[a_at], F.col("_back")[value], F.col("_next")[a_at], F.col("_next")[value]
+    line = v0 + (v1 - v0) * (F.col(at) - t0) / (t1 - t0)
+    inside = t0.isNotNull() & t1.isNotNull() & (t1 > t0)
+    return both.withColumn(out, F.when(inside, line).otherwise(F.coalesce(v0, v1))).drop("_back", "_next")
 
 
 def accepted(anchors: DataFrame, keys: list[str], start: str, tie: str, end: str) -> DataFrame:

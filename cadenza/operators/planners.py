@@ -12,6 +12,7 @@ from bisect import bisect_left
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scoring import cut_confidence
 from .folds import folded, pieces, stretches_of
 from .sequence import _types
 
@@ -198,9 +199,10 @@ def hybrid_cuts(beats: list[float], downbeats: set[float], energy: list[float],
 
 
 def hybrid_plan(timelines: DataFrame, keys: list[str], beats: str, downbeats: str, energy: str, total: str, low: float, high: float, pacing: float, precision: float, react: float) -> DataFrame:
-    """hybrid_cuts() of each row: keys, start, length, energy, aligned, strength.
+    """hybrid_cuts() of each row: keys, start, length, energy, aligned, strength, transition, confidence.
 
-    A row is one timeline with its sorted beats, its downbeats and its energy curve as arrays, which a
+    Quiet cuts fade, middling ones cross-fade, loud ones are hard; confidence is greater for cuts on a beat
+    and for lengths near the middle of low and high. A row is one timeline with its sorted beats, its downbeats and its energy curve as arrays, which a
     recording's length bounds. Each cut starts where the last one ended, so a timeline is one small task.
     """
     made = ", ".join(["start double", "length double", "energy double", "aligned boolean", "strength double"])
@@ -220,7 +222,9 @@ def hybrid_plan(timelines: DataFrame, keys: list[str], beats: str, downbeats: st
 
     kinds = dict(timelines.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), made])
-    return timelines.select(*keys, beats, downbeats, energy, total).mapInArrow(run, schema)
+    cuts = timelines.select(*keys, beats, downbeats, energy, total).mapInArrow(run, schema)
+    kind = F.when(F.col("energy") < 0.3, "fade").when(F.col("energy") <= 0.7, "crossfade").otherwise("hard_cut")
+    return cuts.select("*", kind.alias("transition"), cut_confidence(F.col("aligned"), F.col("length"), (low + high) / 2).alias("confidence"))
 
 
 def replacements(targets: DataFrame, readable: DataFrame, keys: list[str], n: str, at: str, frame: str, reach: int) -> DataFrame:

@@ -85,12 +85,13 @@ def resolved_phase(energy: DataFrame, grids: DataFrame, keys: list[str], idx: st
 
     Where the mean energy half a beat later exceeds that on the beat by the factor `margin`, the grid
     moves by half a beat; then it moves one hop ahead, since an onset shows a frame late. energy has
-    one row per frame, `hop` seconds apart from idx 0; between frames it is interpolated.
+    one row per frame, `hop` seconds apart from idx 0; between frames it is interpolated. A grid over two
+    beats or less, without energy, or without a tempo over 0 stays as it is.
     """
     step = 60.0 / F.col("bpm")
     last = energy.groupBy(*keys).agg(F.max(idx).alias("_last"))
     starts = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.pmod(F.col("anchor"), step).alias("a")), F.struct(F.lit(1).alias("half"), F.pmod(F.col("anchor") + step / 2, step).alias("a"))))
-    g = grids.join(last, keys).select(*keys, "bpm", "anchor", "_last", starts.alias("_s"))
+    g = grids.where(F.col("bpm") > 0).join(last, keys).select(*keys, "bpm", "anchor", "_last", starts.alias("_s"))
     n = F.floor((F.col("_last") * hop - F.col("_s.a")) / step).cast("int")
     at = F.explode(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.col("_s.a") + i * step))
     points = g.select(*keys, F.col("_s.half").alias("half"), "_last", at.alias("_at"))
@@ -101,5 +102,7 @@ def resolved_phase(energy: DataFrame, grids: DataFrame, keys: list[str], idx: st
     sums = sides.select(*keys, "half", F.col("_e.i").alias("_i"), F.col("_e.w").alias("_w")).join(frames, [*keys, "_i"]).groupBy(*keys, "half").agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("m"))
     both = sums.groupBy(*keys).agg(F.max(F.when(F.col("half") == 0, F.col("m"))).alias("_on"), F.max(F.when(F.col("half") == 1, F.col("m"))).alias("_off"))
     moved: Column = F.coalesce((F.col("_on") > 0) & (F.col("_off") > F.col("_on") * margin), F.lit(False))
-    out = grids.join(both, keys, "left").withColumn("shifted", moved)
-    return out.withColumn("anchor", F.pmod(F.col("anchor") + F.when(F.col("shifted"), step / 2).otherwise(0.0) - hop, step)).drop("_on", "_off")
+    long = F.coalesce((F.col("bpm") > 0) & (F.col("_last") * hop > 2 * step), F.lit(False))
+    out = grids.join(both, keys, "left").join(last, keys, "left").withColumn("shifted", moved & long)
+    found = F.pmod(F.col("anchor") + F.when(F.col("shifted"), step / 2).otherwise(0.0) - hop, step)
+    return out.withColumn("anchor", F.when(long, found).otherwise(F.col("anchor"))).drop("_on", "_off", "_last")

@@ -116,26 +116,30 @@ def band_passed(df: DataFrame, samples: str, rate: str, low: float, high: float,
 
 
 def partition_cuts(unit: np.ndarray, low: int, high: int, penalty: float, scale: float = 1.0) -> list[int]:
-    """Cuts of the best split into pieces of low..high rows: a piece is worth its summed similarities over its length, a cut costs the penalty."""
+    """Cuts of the best split into pieces of low..high rows: a piece is worth its summed similarities over its length, a cut costs the penalty.
+
+    Each start whose best value is known offers a piece to all ends it can reach, at once.
+    """
     n = len(unit)
-    if n < 2 * low:
-        return []
-    prefix = np.vstack([np.zeros(unit.shape[1]), np.cumsum(unit, axis=0)])
-    best, back = np.full(n + 1, -np.inf), np.zeros(n + 1, "int64")
-    best[0] = 0.0
-    for j in range(low, n + 1):
-        i = np.arange(max(0, j - high), j - low + 1)
-        s = prefix[j] - prefix[i]  # summed similarities of a piece: the squared length of its summed vector
-        value = best[i] + scale * (s * s).sum(1) / (j - i) - penalty
-        k = int(value.argmax())
-        best[j], back[j] = value[k], i[k]
-    if not np.isfinite(best[n]):
-        return []
-    cuts, j = [], int(back[n])
-    while j > 0:
-        cuts.append(j)
-        j = int(back[j])
-    return cuts[::-1]
+    sums = np.concatenate([np.zeros((1, unit.shape[1])), unit.cumsum(0)]) if n else np.zeros((1, 1))
+    worth = np.full(n + 1, -np.inf)
+    worth[0] = 0.0
+    starts: dict[int, int] = {}
+    for i in range(n - low + 1 if n >= 2 * low else 0):
+        reach = slice(i + low, min(i + high, n) + 1)
+        if worth[i] == -np.inf:
+            continue
+        lengths = np.arange(low, low + len(worth[reach]))
+        # summed similarities of a piece are the squared length of its summed vector
+        offered = worth[i] + scale * np.square(sums[reach] - sums[i]).sum(1) / lengths - penalty
+        taken = np.flatnonzero(offered > worth[reach])
+        worth[reach][taken] = offered[taken]
+        starts.update(dict.fromkeys((taken + i + low).tolist(), i))
+    cuts = []
+    while n in starts and starts[n]:
+        n = starts[n]
+        cuts.append(n)
+    return sorted(cuts)
 
 
 def segmented(df: DataFrame, keys: list[str], idx: str, vec: str, low: int, high: int, penalty: float) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import learning, signals, stores
 from ..operators.vectors import query_vector, scored
 from ..sources import files
 from ..sources.tables import EVENTS_SQL, events, read
+from ..streaming.windows import shared_folder
 from .library import CREDIT_SQL, FEEDBACK_SQL, WEIGHTS_SQL, feedback, weight_table
 
 QUERIES: dict = {}
@@ -84,9 +85,24 @@ def snk29(spark: SparkSession, d: str) -> DataFrame:
     return learning.weights(both, "axis").select("axis", "level", "key", F.round("positive", 4).alias("positive"))
 
 
-@query("snk30_reset", "SELECT count(*) AS n FROM (SELECT 1 FROM part WHERE false)")
+@query(
+    "snk30_reset",
+    f"""WITH w AS (SELECT count(*) AS n, sum(positive) AS p FROM {WEIGHTS_SQL}), c AS (SELECT count(*) AS n FROM {FEEDBACK_SQL})
+SELECT 'before' AS seen, w.n AS weights, round(p, 4) AS positive, c.n AS counter FROM w, c UNION ALL SELECT 'during', w.n, round(p, 4), c.n FROM w, c UNION ALL SELECT 'after', 0, 0, 0""",
+)
 def snk30(spark: SparkSession, d: str) -> DataFrame:
-    return weight_table(spark, d).where("false").agg(F.count("*").alias("n"))
+    """Weights and their counter, published together and emptied together; a reader that began before the reset keeps both old tables."""
+    path = f"{shared_folder(spark)}/weights"
+    counter = feedback(spark, d).agg(F.count("*").alias("n"))
+    files.publish_tables({"weights": weight_table(spark, d), "counter": counter}, path)
+    before, during = files.published(spark, path), files.published(spark, path)
+    files.publish_tables({"weights": before["weights"].where("false"), "counter": before["counter"].select(F.lit(0).cast("long").alias("n"))}, path)
+    out = None
+    for seen, tables in (("before", before), ("during", during), ("after", files.published(spark, path))):
+        w = tables["weights"].agg(F.count("*").alias("weights"), F.round(F.coalesce(F.sum("positive"), F.lit(0.0)), 4).alias("positive"))
+        row = w.join(tables["counter"].select(F.col("n").alias("counter")), F.lit(True)).select(F.lit(seen).alias("seen"), "weights", "positive", "counter")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query(
@@ -168,13 +184,6 @@ def str15(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "part").select("p_partkey", h.alias("h"))
 
 
-@query("dat05_rates", "SELECT * FROM (VALUES ('23.976', 24000, 1001), ('29.97', 30000, 1001), ('59.94', 60000, 1001)) t(fps, num, den)")
-def dat05(spark: SparkSession, d: str) -> DataFrame:
-    from .stores import RATES
-
-    return spark.createDataFrame([(k, *v) for k, v in RATES.items()], "fps string, num int, den int")
-
-
 @query("snk07_all_or_nothing", "SELECT count(*) AS n FROM (SELECT vec_id FROM embeddings UNION ALL SELECT vec_id FROM embeddings WHERE label = 2)")
 def snk07(spark: SparkSession, d: str) -> DataFrame:
     v = read(spark, d, "embeddings").select("vec_id", "embedding", "label")

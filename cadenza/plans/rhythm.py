@@ -55,8 +55,8 @@ g AS (SELECT user_id, last, half, half * 2.0E0 + 1.0E0 AS a FROM l, (SELECT unne
 p AS (SELECT user_id, last, half, a + n * 4.0E0 AS t FROM (SELECT *, unnest(range(0, greatest(CAST(floor((last * 0.5E0 - a) / 4.0E0) AS BIGINT), 0) + 1)) AS n FROM g)),
 s AS (SELECT user_id, last, half, least(floor(t / 0.5E0), last) AS l, t / 0.5E0 - least(floor(t / 0.5E0), last) AS w FROM p),
 m AS (SELECT s.user_id, half, sum((1 - w) * a.v + w * b.v) / count(*) AS m FROM s JOIN f a ON a.user_id = s.user_id AND a.i = s.l JOIN f b ON b.user_id = s.user_id AND b.i = least(s.l + 1, s.last) GROUP BY 1, 2),
-o AS (SELECT user_id, max(CASE WHEN half = 0 THEN m END) AS a, max(CASE WHEN half = 1 THEN m END) AS b FROM m GROUP BY user_id)
-SELECT user_id, a > 0 AND b > a * 1.2 AS shifted, CASE WHEN a > 0 AND b > a * 1.2 THEN 2.5E0 ELSE 0.5E0 END AS anchor FROM o""",
+o AS (SELECT user_id, last, max(CASE WHEN half = 0 THEN m END) AS a, max(CASE WHEN half = 1 THEN m END) AS b FROM m JOIN l USING (user_id) GROUP BY ALL)
+SELECT user_id, last > 16 AND a > 0 AND b > a * 1.2 AS shifted, CASE WHEN last <= 16 THEN 1.0E0 WHEN a > 0 AND b > a * 1.2 THEN 2.5E0 ELSE 0.5E0 END AS anchor FROM o""",
 )
 def mth10(spark: SparkSession, d: str) -> DataFrame:
     """Frames half a second apart, a beat every four seconds from second one on."""

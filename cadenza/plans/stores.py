@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import selection, sequence, stores
+from ..operators import selection, sequence, spans, stores
 from ..sources.tables import EVENTS_SQL, events, read
 
 QUERIES: dict = {}
@@ -35,10 +35,12 @@ _STORE = "(SELECT vec_id, label, label = 9 OR vec_id % 5 = 0 AS tombstoned FROM
 # --- stores ---
 
 
-@query("src04_newest_first", "SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM (SELECT * FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 100)")
+@query("src04_newest_first", "SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS pos FROM orders")
 def src04(spark: SparkSession, d: str) -> DataFrame:
-    top = read(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(100)
-    return top.select("o_orderkey", "o_orderdate", F.row_number().over(Window.orderBy(F.desc("o_orderdate"), "o_orderkey")).cast("long").alias("pos"))
+    """All orders with their place, the newest first."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderdate", (-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("late"))
+    n = spans.numbered(o, [], ["late", "o_orderkey"], "pos")
+    return n.select("o_orderkey", "o_orderdate", (F.col("pos") + 1).alias("pos"))
 
 
 @query("src08_live_vectors", f"SELECT vec_id, label FROM {_STORE} WHERE NOT tombstoned")
@@ -156,13 +158,13 @@ def dat02(spark: SparkSession, d: str) -> DataFrame:
     return stores.unique_times(e, ["user_id"], "us", "event_id", "at").select("event_id", "at")
 
 
-#: Frame rates as exact fractions. Fixed values.
-RATES = {"23.976": (24000, 1001), "29.97": (30000, 1001), "59.94": (60000, 1001)}
+#: A frame rate as an exact fraction. Fixed value.
+NTSC = (30000, 1001)
 
 
 @query("dat04_frame_count", "SELECT event_id, CAST(round(CAST(value AS DECIMAL(12, 2)) * 30000 / 1001, 0) AS BIGINT) AS frames, 30000 AS num, 1001 AS den FROM {ev}")
 def dat04(spark: SparkSession, d: str) -> DataFrame:
-    num, den = RATES["29.97"]
+    num, den = NTSC
     frames = F.round(F.col("value").cast("decimal(12,2)") * num / F.lit(den).cast("decimal(6,0)"), 0).cast("long")
     return events(spark, d).select("event_id", frames.alias("frames"), F.lit(num).alias("num"), F.lit(den).alias("den"))
 

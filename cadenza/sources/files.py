@@ -1,16 +1,13 @@
-"""File sources and sinks: arrays, content hashes, canvases, expiring settings, snapshots, edit lists."""
+"""File sources and sinks: content hashes, expiring settings, snapshots, edit lists."""
 
 from __future__ import annotations
 
 import gzip
-import io
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANVAS_SCHEMA = "nodes array<struct<id:string,type:string,text:string,file:string,x:double,y:double>>"
-
 
 def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     """path, size and sha256 of every file below a folder."""
@@ -18,46 +15,6 @@ def content_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def npy_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """path, shape and values (flat, in row order) of every .npy file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npy").load(path).select("path", "content")
-
-    def load(batches):
-        import numpy as np
-        import pandas as pd
-
-        for pdf in batches:
-            arrays = [np.load(io.BytesIO(c), allow_pickle=False) for c in pdf["content"]]
-            yield pd.DataFrame({"path": pdf["path"], "shape": [list(a.shape) for a in arrays], "values": [a.astype("float64").ravel() for a in arrays]})
-
-    return files.mapInPandas(load, "path string, shape array<long>, values array<double>")
-
-
-def canvas_anchors(spark: SparkSession, path: str, clips: DataFrame, length: float = 10.0, floor: float = 520.0) -> DataFrame:
-    """canvas, clip, start and end of the files on a canvas that name a known clip.
-
-    Texts like @1:30 are time anchors; a file's x lies on the line between the anchors left and right
-    of it, beyond them at the nearest. Only files above `floor` count. An anchor that would overlap the
-    one before starts where that one ends.
-    """
-    from pyspark.sql import Window
-
-    from ..operators.intervals import interpolated
-
-    nodes = spark.read.schema(CANVAS_SCHEMA).option("multiLine", "true").json(path).select(F.input_file_name().alias("canvas"), F.explode("nodes").alias("n")).select("canvas", "n.*")
-    at = F.regexp_extract(F.coalesce("text", F.lit("")), r"@(\d+):(\d{2})", 1).try_cast("int") * 60 + F.regexp_extract(F.coalesce("text", F.lit("")), r"@(\d+):(\d{2})", 2).try_cast("int")
-    times = nodes.select("canvas", F.col("x").alias("ax"), at.cast("double").alias("s")).where("s is not null").groupBy("canvas", "ax").agg(F.min("s").alias("s"))
-    files = nodes.where((F.col("type") == "file") & (F.col("y") < floor)).select("canvas", "id", "x", F.lower(F.regexp_extract("file", r"([^/\\]+)$", 1)).alias("name"))
-    known = clips.select(F.lower("name").alias("name"), "clip")
-    placed = interpolated(files.join(known, "name"), times, ["canvas"], "x", "ax", "s", "at").where("at is not null")
-    w = Window.partitionBy("canvas").orderBy("at", "id")
-    # pushed starts: the running maximum of at - i * length, moved back by i * length
-    n = F.row_number().over(w) - 1
-    slack = placed.withColumn("_n", n).withColumn("_m", F.col("at") - F.col("_n") * length)
-    start = F.max("_m").over(w.rowsBetween(Window.unboundedPreceding, 0)) + F.col("_n") * length
-    return slack.withColumn("start", start).select("canvas", "clip", "start", (F.col("start") + length).alias("end"))
-
-
 def unexpired(settings: DataFrame, saved: str, now: Column, ttl_s: float) -> DataFrame:
     """Rows saved less than ttl_s seconds before now; a row without a time has expired."""
     return settings.where((now - F.col(saved) >= 0) & (now - F.col(saved) < ttl_s))
@@ -160,3 +117,71 @@ def concat_script(cuts: DataFrame, n: str, file: str, length: str, path: str) ->
     name = F.replace(F.col(file), F.lit("'"), F.lit("'\\''"))
     lines = F.format_string("file '%s'\nduration %.3f", name, F.col(length).cast("double"))
     cuts.select(n, lines.alias("value")).orderBy(n).coalesce(1).select("value").write.mode("overwrite").text(path)
+
+
+def publish_tables(tables: dict[str, DataFrame], path: str, keep: int = 2) -> int:
+    """Write several tables and point to all of them with one manifest; a reader sees the tables of one version. Returns its number.
+
+    The tables are written first, to folders that nothing reads yet. A claim that only one writer can
+    create gives the number; then one rename shows the manifest. Versions beyond the newest `keep` go,
+    manifest first.
+    """
+    import json
+
+    spark = next(iter(tables.values())).sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    P = jvm.org.apache.hadoop.fs.Path
+    fs = P(path).getFileSystem(conf)
+    own = uuid.uuid4().hex
+    folders = {name: f"{path}/data-{own}/{name}" for name in tables}
+    for name, df in tables.items():
+        df.write.parquet(folders[name])
+    before = _manifests(spark, path)
+    number = before[-1][0] + 1 if before else 1
+    staged = P(f"{path}/.staged-{own}")
+    out = fs.create(staged, False)
+    out.write(bytearray(json.dumps(folders).encode()))
+    out.close()
+    try:
+        fs.create(P(f"{path}/.claim-{number:012d}"), False).close()
+    except Exception as e:
+        fs.delete(staged, False)
+        fs.delete(P(f"{path}/data-{own}"), True)
+        raise RuntimeError(f"version {number} of {path} exists: another writer was first") from e
+    if not fs.rename(staged, P(f"{path}/manifest-{number:012d}")):
+        raise RuntimeError(f"version {number} of {path} could not be shown")
+    for _, old in before[: max(0, len(before) + 1 - keep)]:
+        folder = next(iter(_read_manifest(spark, old).values())).rsplit("/", 1)[0]
+        fs.delete(P(old), False)
+        fs.delete(P(folder), True)
+    return number
+
+
+def _manifests(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    P = jvm.org.apache.hadoop.fs.Path
+    fs = P(path).getFileSystem(conf)
+    if not fs.exists(P(path)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(P(path))]
+    return sorted((int(n.split("-")[1]), f"{path}/{n}") for n in names if n.startswith("manifest-"))
+
+
+def _read_manifest(spark: SparkSession, file: str) -> dict[str, str]:
+    import json
+
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    P = jvm.org.apache.hadoop.fs.Path
+    stream = P(file).getFileSystem(conf).open(P(file))
+    try:
+        return json.loads(bytes(stream.readAllBytes()))
+    finally:
+        stream.close()
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of the newest version, all of one publish_tables()."""
+    found = _manifests(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no tables in {path}")
+    return {name: spark.read.parquet(folder) for name, folder in _read_manifest(spark, found[-1][1]).items()}

@@ -195,7 +195,10 @@ def test_hybrid_plan_snaps_and_moves_on(spark):
     assert all(c[1] >= 0.5 for c in planners.hybrid_cuts([0.05], set(), [], 3.0, 0.1, 0.2, 5, 1.0, 1.0))
     df = spark.createDataFrame([("a", beats, [8.0], [0.0], 20.0), ("b", None, None, None, 0.0), ("c", [], [], [], 5.0)], "k string, b array<double>, d array<double>, e array<double>, total double")
     got = rows(planners.hybrid_plan(df, ["k"], "b", "d", "e", "total", 2.0, 6.0, 3, 0.4, 1.0))
-    assert [g[1:] for g in got if g[0] == "a"] == quiet and not [g for g in got if g[0] == "b"] and [g for g in got if g[0] == "c"]
+    assert [g[1:6] for g in got if g[0] == "a"] == quiet and not [g for g in got if g[0] == "b"] and [g for g in got if g[0] == "c"]
+    for _, _, length, level, aligned, _, transition, confidence in got:
+        assert transition == ("fade" if level < 0.3 else "crossfade" if level <= 0.7 else "hard_cut")
+        assert abs(confidence - min(1, max(0, 0.5 + 0.3 * aligned + 0.2 * (1 - abs(length - 4.0) / 4.0)))) < 1e-12
 
 
 def test_replacement_frames(spark):
@@ -228,10 +231,12 @@ def test_tempo_of_a_pulse_and_its_octave(spark):
 
 def test_half_beat_and_hop(spark):
     frames = [("a", i, 9.0 if i % 10 == 5 else 1.0) for i in range(200)] + [("b", i, 9.0 if i % 10 == 0 else 1.0) for i in range(200)]
+    frames += [("short", i, 9.0 if i % 10 == 5 else 1.0) for i in range(21)] + [("enough", i, 9.0 if i % 10 == 5 else 1.0) for i in range(22)]
     energy = spark.createDataFrame(frames, "k string, i long, v double")
-    grids = spark.createDataFrame([("a", 60.0, 0.0), ("b", 60.0, 0.0), ("c", 60.0, 0.4)], "k string, bpm double, anchor double")
+    grids = spark.createDataFrame([("a", 60.0, 0.0), ("b", 60.0, 0.0), ("c", 60.0, 0.4), ("short", 60.0, 0.0), ("enough", 60.0, 0.0), ("a2", 0.0, 0.7)], "k string, bpm double, anchor double")
     got = {r.k: (r.shifted, round(r.anchor, 6)) for r in rhythm.resolved_phase(energy, grids, ["k"], "i", "v", 0.1, 1.2).collect()}
-    assert got == {"a": (True, 0.4), "b": (False, 0.9), "c": (False, 0.3)}
+    # no energy, two beats and no tempo leave the anchor where it is
+    assert got == {"a": (True, 0.4), "b": (False, 0.9), "c": (False, 0.4), "short": (False, 0.0), "enough": (True, 0.4), "a2": (False, 0.7)}
 
 
 def test_progress_blocks(spark):
