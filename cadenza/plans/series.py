@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import boundaries, learning, spans
+from ..operators import boundaries, composer, learning, spans
 from ..sources import audio
 from ..sources.tables import EVENTS_SQL, events, read
 from ..streaming.windows import shared_folder
@@ -160,3 +160,29 @@ y AS MATERIALIZED (SELECT h.name, h.m AS n, CAST(CAST(sum(h * coalesce(x, 0)) /
 def src10(spark: SparkSession, d: str) -> DataFrame:
     """Windows of the same files at another rate."""
     return _windows(spark, sounds(spark, d), RATE)
+
+
+def timeline_inputs(spark: SparkSession, d: str) -> dict:
+    """Each user's events as a song in hours, with moods by type of event, and the parts of one size as its clips."""
+    hour = 3_600_000_000.0
+    e = events(spark, d).withColumn("at", F.round((F.col("us") - 1_704_067_200_000_000) / hour, 6))
+    total = e.groupBy("user_id").agg((F.max("at") + 5).alias("total"), F.count("*").alias("n"))
+    timelines = total.select("user_id", "total", F.when(F.col("n") / F.col("total") > 0.1, 4).otherwise(2).alias("every"), (F.col("user_id") % 50 + 1).alias("size"))
+    clips = read(spark, d, "part").select(F.col("p_partkey").alias("clip"), F.col("p_size").cast("long").alias("size"), (F.col("p_partkey") % 40 + 0.5).alias("length"), (F.col("p_partkey") % 11 / 10).alias("motion"))
+    moods = e.groupBy("user_id", "event_type").agg(F.sum("strength").alias("weight")).join(timelines.select("user_id", "size"), "user_id")
+    # what each of the five moods wants of a clip
+    wants = F.when(F.col("event_type") == "click", F.col("motion") * 0.3).when(F.col("event_type") == "view", (1 - F.col("motion")) * 0.3).otherwise(0.1)
+    match = clips.crossJoin(F.broadcast(e.select("event_type").distinct())).select("size", "event_type", "clip", (0.5 + wants).alias("score"))
+    scores = composer.mood_scores(moods, match, ["user_id"], ["size", "event_type"], "weight", "clip", "score")
+    points = lambda kind: e.where(kind).select("user_id", "at").distinct()
+    curve = e.groupBy("user_id", "at").agg(F.max("strength").alias("value"))
+    return {"beats": points(F.lit(True)), "downbeats": points(F.col("event_type") == "purchase"), "energy": curve, "timelines": timelines, "scores": scores, "clips": clips}
+
+
+@query("udf17_composed_timelines", None)
+def udf17(spark: SparkSession, d: str) -> DataFrame:
+    """Timelines of all users without gaps: cuts at every second or fourth event, clips by mood in turn, fillers before the first cut and behind the last."""
+    i = timeline_inputs(spark, d)
+    t = composer.composed(i["beats"], i["downbeats"], i["energy"], i["timelines"], i["scores"], i["clips"], ["user_id"], "clip", ends=False)
+    rounded = [F.round(c, 6).alias(c) for c in ("start", "end", "source_start", "source_end", "score", "energy_match", "match")]
+    return t.select("user_id", "clip", "transition_in", "transition_out", "filler", *rounded)
