@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spans import framed
+
 
 def _order(keys: list[str], by: list[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(*by)
@@ -12,13 +14,13 @@ def _order(keys: list[str], by: list[str]) -> Window:
 
 def sliding_peaks(df: DataFrame, keys: list[str], by: list[str], value: str, reach: int, above: float = 0.0) -> DataFrame:
     """Rows whose value is over `above` and the highest of `reach` rows to either side; equal ones all stay."""
-    top = F.max(value).over(_order(keys, by).rowsBetween(-reach, reach))
-    return df.withColumn("_top", top).where((F.col(value) == F.col("_top")) & (F.col(value) > above)).drop("_top")
+    tops = framed(df, keys, by, reach, lambda w: {"_top": F.max(value).over(w.rowsBetween(-reach, reach))})
+    return tops.where((F.col(value) == F.col("_top")) & (F.col(value) > above)).drop("_top")
 
 
 def segments(df: DataFrame, keys: list[str], by: list[str], at: str, start: str, end: str, origin: Column) -> DataFrame:
     """Each boundary as the end of the segment that began at the boundary before, the first at the origin."""
-    return df.withColumn(start, F.coalesce(F.lag(at).over(_order(keys, by)), origin)).withColumn(end, F.col(at))
+    return framed(df, keys, by, 1, lambda w: {start: F.coalesce(F.lag(at).over(w), origin), end: F.col(at)})
 
 
 def beyond_retention(df: DataFrame, keys: list[str], by: list[str], at: str, oldest: Column, newest: int) -> DataFrame:
@@ -30,13 +32,12 @@ def beyond_retention(df: DataFrame, keys: list[str], by: list[str], at: str, old
 
 def side_contrast(df: DataFrame, keys: list[str], by: list[str], value: str, reach: int, out: str) -> DataFrame:
     """Mean of the `reach` rows from here on less the mean of the `reach` rows before; null for the first row."""
-    w = _order(keys, by)
-    return df.withColumn(out, F.avg(value).over(w.rowsBetween(0, reach - 1)) - F.avg(value).over(w.rowsBetween(-reach, -1)))
+    return framed(df, keys, by, reach, lambda w: {out: F.avg(value).over(w.rowsBetween(0, reach - 1)) - F.avg(value).over(w.rowsBetween(-reach, -1))})
 
 
 def change(df: DataFrame, keys: list[str], by: list[str], value: str, out: str) -> DataFrame:
     """Distance to the value before; null for the first row of a series."""
-    return df.withColumn(out, F.abs(F.col(value) - F.lag(value).over(_order(keys, by))))
+    return framed(df, keys, by, 1, lambda w: {out: F.abs(F.col(value) - F.lag(value).over(w))})
 
 
 def summed_change(df: DataFrame, keys: list[str], part: str, by: list[str], value: str, out: str) -> DataFrame:
@@ -53,8 +54,7 @@ def fused(df: DataFrame, keys: list[str], weights: dict[str, float], out: str) -
 
 def against_past(df: DataFrame, keys: list[str], by: list[str], value: str, reach: int, rise: float, fall: float, out: str) -> DataFrame:
     """'drop' where a value exceeds `rise` times the mean of the `reach` rows before, 'break' under `fall` times it, else 'none'."""
-    past = F.avg(value).over(_order(keys, by).rowsBetween(-reach, -1))
-    rows = df.withColumn("_past", past)
+    rows = framed(df, keys, by, reach, lambda w: {"_past": F.avg(value).over(w.rowsBetween(-reach, -1))})
     return rows.withColumn(out, F.when(F.col(value) > rise * F.col("_past"), "drop").when(F.col(value) < fall * F.col("_past"), "break").otherwise("none")).drop("_past")
 
 

@@ -41,11 +41,11 @@ def _merged(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: s
     return lt.unionByName(rt.where(F.col(r_at).isNotNull()))
 
 
-def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, values: list[str], direction: str = "backward", rows: int = spans.ROWS) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, values: list[str], direction: str = "backward", rows: int | None = None) -> DataFrame:
     """left with r_at and values of the last right row at or before `at` (forward: the first at or after).
 
     Equal right times should be made unique by the caller. Rows without a match get nulls, as do left
-    rows without an instant; right rows without one go. Beyond `rows` rows the series are dealt to spans,
+    rows without an instant; right rows without one go. Beyond `rows` (spans.ROWS) rows the series are dealt to spans,
     so a key may hold all of them.
     """
     merged = _merged(left, right, keys, at, r_at, values)
@@ -54,7 +54,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str
     return out.where(F.col("_l").isNotNull()).select("_l.*", match[r_at].alias(r_at), *[match[v].alias(v) for v in values])
 
 
-def _beside(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, values: list[str], rows: int) -> DataFrame:
+def _beside(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, values: list[str], rows: int | None) -> DataFrame:
     """left with _back and _next, the structs of the right rows on both sides; one at the same instant is both."""
     merged = _merged(left, right, keys, at, r_at, values)
     out = spans.carried(merged, keys, "_t", "_side", "_r", spans.edges(merged, "_t", rows), "_back", "_next")
@@ -62,7 +62,7 @@ def _beside(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: s
     return out.where(F.col("_l").isNotNull()).select("_l.*", known("_back"), known("_next"))
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, later_wins: bool = False, rows: int = spans.ROWS) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str, later_wins: bool = False, rows: int | None = None) -> DataFrame:
     """left with r_at of the nearest right row and its distance; of two equally near ones the earlier (or later) wins. Spans as in as_of()."""
     both = _beside(left, right, keys, at, r_at, [], rows)
     back, after = F.col("_back")[r_at], F.col("_next")[r_at]
@@ -80,7 +80,7 @@ def band(left: DataFrame, right: DataFrame, keys: list[str], at: str, r_at: str,
     return pairs.groupBy(*left.columns).agg(agg)
 
 
-def interpolated(points: DataFrame, anchors: DataFrame, keys: list[str], at: str, a_at: str, value: str, out: str = "interpolated", rows: int = spans.ROWS) -> DataFrame:
+def interpolated(points: DataFrame, anchors: DataFrame, keys: list[str], at: str, a_at: str, value: str, out: str = "interpolated", rows: int | None = None) -> DataFrame:
     """points with the value on the line between the anchors before and after; outside of the anchors the nearest one's value. Spans as in as_of()."""
     both = _beside(points, anchors, keys, at, a_at, [value], rows)
     t0, v0, t1, v1 = F.col("_back")[a_at], F.col("_back")[value], F.col("_next")[a_at], F.col("_next")[value]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .folds import folded, pieces, stretches_of
+from .spans import framed, running_sum
 
 
 def _order(keys: list[str], *by) -> Window:
@@ -19,9 +20,11 @@ def _order(keys: list[str], *by) -> Window:
 
 def stretches(df: DataFrame, keys: list[str], at: str, tie: str, pause, inclusive: bool, out: str = "_stretch") -> DataFrame:
     """Number the stretches of each series; a gap of more than pause (inclusive: or equal) opens one."""
-    gap = F.col(at) - F.lag(at).over(_order(keys, at, tie))
-    new = (gap >= pause) if inclusive else (gap > pause)
-    return df.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn(out, F.sum("_new").over(_order(keys, at, tie))).drop("_new")
+    def opens(w):
+        gap = F.col(at) - F.lag(at).over(w)
+        return {"_new": F.coalesce(((gap >= pause) if inclusive else (gap > pause)).cast("int"), F.lit(0))}
+
+    return running_sum(framed(df, keys, [at, tie], 1, opens), keys, [at, tie], "_new", out).drop("_new")
 
 
 def _types(df: DataFrame, columns: list[str]) -> str:
@@ -113,7 +116,7 @@ def indexed(df: DataFrame, keys: list[str], *by: str) -> DataFrame:
 def moving_average(df: DataFrame, keys: list[str], order: str, value: str, width: int, out: str) -> DataFrame:
     """Centred mean of an odd width whose edges are padded with zeros: the divisor stays the width."""
     half = width // 2
-    return df.withColumn(out, F.sum(value).over(_order(keys, order).rowsBetween(-half, half)) / width)
+    return framed(df, keys, [order], half, lambda w: {out: F.sum(value).over(w.rowsBetween(-half, half)) / width})
 
 
 def min_max(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
@@ -125,16 +128,14 @@ def min_max(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
 
 def local_maxima(df: DataFrame, keys: list[str], order: str, value: str, least: float) -> DataFrame:
     """Rows above both neighbours and at `least`; ends are never maxima."""
-    w = _order(keys, order)
-    marked = df.withColumn("_a", F.lag(value).over(w)).withColumn("_b", F.lead(value).over(w))
+    marked = framed(df, keys, [order], 1, lambda w: {"_a": F.lag(value).over(w), "_b": F.lead(value).over(w)})
     return marked.where((F.col(value) > F.col("_a")) & (F.col(value) > F.col("_b")) & (F.col(value) >= least)).drop("_a", "_b")
 
 
 def runs(df: DataFrame, keys: list[str], order: str, label: str) -> DataFrame:
     """Merge neighbours of one label: keys, label, first, last, n."""
-    w = _order(keys, order)
-    change = F.coalesce((F.col(label) != F.lag(label).over(w)).cast("int"), F.lit(0))
-    out = df.withColumn("_c", change).withColumn("_run", F.sum("_c").over(w))
+    changes = framed(df, keys, [order], 1, lambda w: {"_c": F.coalesce((F.col(label) != F.lag(label).over(w)).cast("int"), F.lit(0))})
+    out = running_sum(changes, keys, [order], "_c", "_run")
     return out.groupBy(*keys, "_run", label).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).drop("_run")
 
 

@@ -17,10 +17,13 @@ from pyspark.sql import functions as F
 #: Rows of a span, and spans at most: the summaries of a key are put in order by one task.
 ROWS = 1_000_000
 SPANS = 4096
+#: Rows of a block.
+BLOCK = 65_536
 
 
-def edges(df: DataFrame, at: str, rows: int = ROWS) -> list[float]:
-    """Instants that part df into spans of about `rows` rows; none if it holds no more. No key has more rows in a span than all keys together, so a hot key is shared out as well."""
+def edges(df: DataFrame, at: str, rows: int | None = None) -> list[float]:
+    """Instants that part df into spans of about `rows` (ROWS) rows; none if it holds no more. No key has more rows in a span than all keys together, so a hot key is shared out as well."""
+    rows = rows or ROWS
     n = df.count()
     if n <= rows:
         return []
@@ -29,11 +32,11 @@ def edges(df: DataFrame, at: str, rows: int = ROWS) -> list[float]:
 
 
 def spanned(df: DataFrame, at: str, parts: list[float], out: str = "_span") -> DataFrame:
-    """Add the number of each row's span; it never falls as `at` rises."""
+    """Add the number of each row's span; it never falls as `at` rises. Rows without an instant come first, in a span of their own."""
     if not parts:
         return df.withColumn(out, F.lit(0))
     cut = Bucketizer(splits=[-float("inf"), *parts, float("inf")], inputCol="_cut", outputCol="_found", handleInvalid="keep")
-    return cut.transform(df.withColumn("_cut", F.col(at).cast("double"))).withColumn(out, F.col("_found").cast("int")).drop("_cut", "_found")
+    return cut.transform(df.withColumn("_cut", F.col(at).cast("double"))).withColumn(out, F.when(F.col("_cut").isNull(), -1).otherwise(F.col("_found").cast("int"))).drop("_cut", "_found")
 
 
 def carried(rows: DataFrame, keys: list[str], at: str, first: str, value: str, parts: list[float], backward: str | None = None, forward: str | None = None) -> DataFrame:
@@ -63,9 +66,9 @@ def carried(rows: DataFrame, keys: list[str], at: str, first: str, value: str, p
     return placed.where("_rank = 0").drop("_rank", "_span")
 
 
-def numbered(df: DataFrame, keys: list[str], by: list[str], out: str = "idx", rows: int = ROWS) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], by: list[str], out: str = "idx", rows: int | None = None, parts: list[float] | None = None) -> DataFrame:
     """Add the position of each row in its series from 0, in the order of `by`, whose first column is an instant: numbers within spans, on from the rows of earlier spans."""
-    placed = spanned(df, by[0], edges(df, by[0], rows))
+    placed = spanned(df, by[0], edges(df, by[0], rows) if parts is None else parts)
     n = placed.groupBy(*keys, "_span").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
     n = n.select(*[F.col(c).alias(f"_r{c}") for c in (*keys, "_span")], F.coalesce(before, F.lit(0)).alias("_before"))
@@ -74,9 +77,37 @@ def numbered(df: DataFrame, keys: list[str], by: list[str], out: str = "idx", ro
     return placed.withColumn("_here", here).join(n, same).select(*df.columns, (F.col("_here") + F.col("_before")).cast("long").alias(out))
 
 
-def prefix_sums(df: DataFrame, keys: list[str], idx: str, value: str, out: str, size: int = 65_536) -> DataFrame:
-    """Add the sum of the values up to and with each row: sums within blocks of `size` positions, on from the sums of the blocks before."""
-    rows = df.withColumn("_block", F.floor(F.col(idx) / size))
+def running_sum(df: DataFrame, keys: list[str], by: list[str], value: str, out: str, rows: int | None = None) -> DataFrame:
+    """Add the sum of the values up to and with each row in the order of `by`, whose first column is an instant and whose last makes it unique: sums within spans, on from those of earlier spans."""
+    parts = edges(df, by[0], rows)
+    upto = lambda *k: Window.partitionBy(*k).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0)
+    if not parts:
+        return df.withColumn(out, F.sum(value).over(upto(*keys)))
+    placed = spanned(df, by[0], parts)
+    sums = placed.groupBy(*keys, "_span").agg(F.sum(value).alias("_all"))
+    before = F.sum("_all").over(Window.partitionBy(*keys).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(*[F.col(c).alias(f"_r{c}") for c in (*keys, "_span")], F.coalesce(before, F.lit(0)).alias("_before"))
+    same = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in (*keys, "_span")]
+    return placed.withColumn("_here", F.sum(value).over(upto(*keys, "_span"))).join(sums, same).select(*df.columns, (F.col("_here") + F.col("_before")).alias(out))
+
+
+def framed(df: DataFrame, keys: list[str], by: list[str], reach: int, make: Callable, rows: int | None = None) -> DataFrame:
+    """Add what make(window) gives, a column for each name, where each row sees the `reach` rows to each side of it in the order of `by`.
+
+    Up to ROWS rows the window is one over the key; beyond, rows are numbered and copied to the blocks
+    whose rows they lie beside, so a window sorts a block of BLOCK rows and its halo.
+    """
+    parts = edges(df, by[0], rows)
+    if not parts:
+        return df.withColumns(make(Window.partitionBy(*keys).orderBy(*by)))
+    placed = haloed(numbered(df, keys, by, "_idx", parts=parts), "_idx", BLOCK, reach)
+    made = make(Window.partitionBy(*keys, "_block").orderBy("_idx"))
+    return placed.withColumns(made).where("_own").drop("_idx", "_block", "_own")
+
+
+def prefix_sums(df: DataFrame, keys: list[str], idx: str, value: str, out: str, size: int | None = None) -> DataFrame:
+    """Add the sum of the values up to and with each row: sums within blocks of `size` (BLOCK) positions, on from the sums of the blocks before."""
+    rows = df.withColumn("_block", F.floor(F.col(idx) / (size or BLOCK)))
     sums = rows.groupBy(*keys, "_block").agg(F.sum(value).alias("_all"))
     before = F.sum("_all").over(Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     sums = sums.select(*[F.col(c).alias(f"_r{c}") for c in (*keys, "_block")], F.coalesce(before, F.lit(0)).alias("_before"))

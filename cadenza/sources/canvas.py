@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.intervals import _beside
-from ..operators.spans import ROWS
 
 SCHEMA = "canvas string, nodes array<struct<id:string,type:string,text:string,file:string,x:double,y:double>>"
 #: A time anchor in a text, files at this height or lower wait in the lobby, length of a clip that has none. Fixed values.
@@ -44,7 +43,7 @@ def _found(names: DataFrame, clips: DataFrame) -> DataFrame:
     return hits.groupBy("name").agg(F.min_by("clip", "_order").alias("clip"))
 
 
-def placed_clips(nodes: DataFrame, clips: DataFrame, order: str, rows: int = ROWS) -> DataFrame:
+def placed_clips(nodes: DataFrame, clips: DataFrame, order: str, rows: int | None = None) -> DataFrame:
     """canvas, pos, clip, start and end of the files that nodes place. clips have clip, path and duration, and an order.
 
     Texts like @1:30 are time anchors; a canvas needs two. A file's time lies on the line between the

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cadenza.operators import intervals, spans
+from cadenza.operators import curves, intervals, sequence, spans
 
 
 def tables(spark, n=600, seed=1):
@@ -94,3 +94,34 @@ def test_halos_hold_all_neighbours(spark):
         if r._own:
             assert {i for i in range(r.idx - 3, r.idx + 4) if 0 <= i < 100} <= held[r._block]
     assert sum(r._own for r in rows) == 100
+
+
+def test_series_operators_over_many_blocks(spark, monkeypatch):
+    """What a window over the key gives for short series is what blocks give for long ones."""
+    rng = random.Random(5)
+    times = rng.sample(range(4000), 500)
+    rows = [("a" if i % 5 else rng.choice(["b", None]), t, i, rng.randrange(8) / 2) for i, t in enumerate(times)] + [("a", None, 900, 1.0), ("b", None, 901, 2.0)]
+    df = spark.createDataFrame(rows, "k string, t long, i int, v double")
+    label = df.withColumn("l", F.floor("v"))
+    work = {
+        "stretches": lambda: sequence.stretches(df, ["k"], "t", "i", 9, True),
+        "mean": lambda: sequence.moving_average(df.where("t is not null"), ["k"], "t", "v", 5, "m"),
+        "maxima": lambda: sequence.local_maxima(df.where("t is not null"), ["k"], "t", "v", 1.0),
+        "runs": lambda: sequence.runs(label.where("t is not null"), ["k"], "t", "l"),
+        "islands": lambda: sequence.islands(df.where("t is not null"), ["k"], "t", "v", 1.0, 6),
+        "peaks": lambda: curves.sliding_peaks(df, ["k"], ["t", "i"], "v", 4, 0.5),
+        "segments": lambda: curves.segments(df, ["k"], ["t", "i"], "v", "from", "to", F.lit(-1.0)),
+        "contrast": lambda: curves.side_contrast(df, ["k"], ["t", "i"], "v", 3, "c"),
+        "change": lambda: curves.change(df, ["k"], ["t", "i"], "v", "c"),
+        "past": lambda: curves.against_past(df, ["k"], ["t", "i"], "v", 4, 1.5, 0.4, "kind"),
+    }
+    plain = {name: f() for name, f in work.items()}
+    want = {name: sorted(map(repr, out.collect())) for name, out in plain.items()}
+    monkeypatch.setattr(spans, "ROWS", 40)
+    monkeypatch.setattr(spans, "BLOCK", 16)
+    for name, f in work.items():
+        out = f()
+        assert out.columns == plain[name].columns, name
+        assert sorted(map(repr, out.collect())) == want[name], name
+        assert work[name]().where("false").count() == 0
+    assert curves.change(df.where("false"), ["k"], ["t", "i"], "v", "c").count() == 0
