@@ -1,6 +1,7 @@
 """Text quality by an interpolated modified Kneser-Ney n-gram model over characters.
 
-The model is counted on trusted texts. Documents are packed into compressed blocks; each block asks
+The model is counted on trusted texts: on one half of them for the other half of the documents, so that
+no text helps to count itself. Documents are packed into compressed blocks; each block asks
 for the probabilities of its distinct 4-grams only. Those requests meet the counts of all orders in
 joins sharded by n-gram, and the answers go back by block, where whole texts are scored. So neither
 the model nor a table of n-grams per document ever has to be in one place, and a frequent n-gram is
@@ -26,7 +27,7 @@ SLICE = 1 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD = 1 << 20
 #: Quantiles of a language's perplexities between which documents are kept.
-LOW, HIGH = 0.01, 0.95
+LOW, HIGH = 0.01, 0.90
 #: Trusted ids up to which they are broadcast (8 MB); beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -163,18 +164,30 @@ class KneserNey:
         return df.select("k", F.log("p").alias("logp"))
 
 
+def half(text):
+    """The half of the corpus that a text belongs to, by its hash; equal texts are in one half."""
+    return F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(2)).cast("int")
+
+
 def perplexities(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, lang, n_codes and perplexity per character of every row; null where a text is blank.
 
-    trusted_ids has one column, the ids whose texts the model is trained on. Without any, all
-    characters are equally likely. Repeated rows are scored each; a null id is never trusted.
+    trusted_ids has one column, the ids whose texts are trusted. The corpus has two halves, and a text is
+    scored by the model of the other half's trusted texts, so that none helps to count itself. Without any
+    trusted text there, all characters are equally likely. Repeated rows are scored each; a null id is
+    never trusted.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).withColumn("half", half(F.col("text")))
     ids = trusted_ids.select(F.col(trusted_ids.columns[0]).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    n_ids = ids.count()
-    model = KneserNey(count_grams(rows.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, "doc_id", "left_semi").select("text")))
+    trusted = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    scored = [_scored(rows.where(F.col("half") == h).drop("half"), KneserNey(count_grams(trusted.where(F.col("half") != h).select("text")))) for h in (0, 1)]
+    return scored[0].unionByName(scored[1])
+
+
+def _scored(rows: DataFrame, model: KneserNey) -> DataFrame:
+    """doc_id, lang, n_codes and perplexity of doc_id, lang and text by a model."""
 
     def block(batches):
         task, made, held, size = TaskContext.get().partitionId(), 0, [], 0
