@@ -136,12 +136,12 @@ class KneserNey:
 
     @staticmethod
     def _discount(n: list[int]) -> tuple[float, float, float]:
-        """The three discounts from how many n-grams stand once to four times."""
+        """The three discounts from how many n-grams stand once to four times; none is so small that what wasn't counted would have no share."""
         if not n[0] or not n[1]:
             return 0.5, 0.5, 0.5
         y = n[0] / (n[0] + 2 * n[1])
         d = [i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else 0.5 for i in (1, 2, 3)]
-        return tuple(min(max(x, 0.0), float(i)) for i, x in enumerate(d, 1))
+        return tuple(min(max(x, 0.05), float(i)) for i, x in enumerate(d, 1))
 
     def log_probabilities(self, keys: DataFrame) -> DataFrame:
         """(k, logp) of each distinct 4-gram key, by joins over the n-grams of every order."""
