@@ -47,11 +47,28 @@ def win08_contrasts(spark: SparkSession, d: str) -> DataFrame:
     return c.select("user_id", "idx", F.round("smoothed", 6).alias("smoothed"), F.round("left", 6).alias("before"), F.round("right", 6).alias("after"))
 
 
-@query("win08_sections", None)
+_SECTIONS = f"""WITH RECURSIVE c AS (SELECT * FROM {CURVE_SQL}), n AS (SELECT user_id, count(*) AS n, min_by(value, idx) AS first FROM c GROUP BY user_id),
+s AS MATERIALIZED (SELECT user_id, idx, n, (value + coalesce(lag(value) OVER (PARTITION BY user_id ORDER BY idx), first)) / 2 AS s FROM c JOIN n USING (user_id)),
+t AS (SELECT user_id, any_value(n) AS n, greatest(max(s) - min(s), 1e-8) AS scale, greatest((max(s) - min(s)) * 0.15, stddev_pop(s) * 0.35, 1e-8) AS least, greatest(0.08 * greatest(max(s), 1e-8), avg(s) * 0.25) AS quiet FROM s GROUP BY user_id),
+m AS (SELECT user_id, idx, n, avg(s) OVER (w ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS l, avg(s) OVER (w ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS r FROM s WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+d AS (SELECT user_id, idx, l, r, abs(r - l) AS m FROM m WHERE idx >= 8 AND idx < n - 8),
+p AS (SELECT *, lag(m) OVER w AS before, lead(m) OVER w AS after FROM d WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+o AS MATERIALIZED (SELECT p.user_id, idx, l, r, m / scale AS strength, row_number() OVER (PARTITION BY p.user_id ORDER BY m / scale DESC, idx DESC) AS rn FROM p JOIN t USING (user_id) WHERE m >= least AND m >= coalesce(before, 0) AND m >= coalesce(after, 0)),
+k AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept FROM t
+  UNION ALL SELECT o.user_id, o.rn, CASE WHEN len(list_filter(kept, lambda x: abs(x - o.idx) < 15)) = 0 THEN list_append(kept, o.idx) ELSE kept END FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1),
+b AS (SELECT user_id, unnest(list_prepend(0, max_by(kept, rn))) AS a FROM k GROUP BY user_id),
+g AS (SELECT b.user_id, a, coalesce(lead(a) OVER (PARTITION BY b.user_id ORDER BY a), n) AS z, row_number() OVER (PARTITION BY b.user_id ORDER BY a) - 1 AS section FROM b JOIN t USING (user_id)),
+e AS (SELECT g.user_id, section, a, z, avg(s.s) AS energy FROM g JOIN s ON s.user_id = g.user_id AND s.idx >= a AND s.idx < z GROUP BY ALL),
+f AS (SELECT e.*, t.n, least, quiet, x.strength AS own, y.strength AS next, y.l, y.r, lag(energy) OVER (PARTITION BY e.user_id ORDER BY section) AS prior FROM e JOIN t USING (user_id) LEFT JOIN o x ON x.user_id = e.user_id AND x.idx = e.a AND a > 0 LEFT JOIN o y ON y.user_id = e.user_id AND y.idx = e.z)
+SELECT user_id, CAST(section AS INTEGER) AS section, a AS "first", z AS "last", CASE WHEN z = n AND energy <= quiet AND prior >= energy + least THEN 'outro' WHEN a = 0 AND l <= quiet AND r >= l + least THEN 'intro' ELSE 'section' END AS label,
+  round(energy, 9) AS energy, round(greatest(CASE WHEN own IS NULL THEN 0 ELSE least(own, 1) END, CASE WHEN next IS NULL THEN 0 ELSE least(next, 1) END), 9) AS confidence FROM f"""
+
+
+@query("win08_sections", _SECTIONS)
 def win08_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of each user's values, with their labels."""
     s = boundaries.sections(curve(spark, d), ["user_id"], "idx", "value", STEP)
-    return s.select("user_id", "section", "first", "last", "label", F.round("energy", 6).alias("energy"), F.round("confidence", 6).alias("confidence"))
+    return s.select("user_id", "section", "first", "last", "label", F.round("energy", 9).alias("energy"), F.round("confidence", 9).alias("confidence"))
 
 
 KERNEL = 16
