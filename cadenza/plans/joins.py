@@ -161,7 +161,13 @@ def jon33(spark: SparkSession, d: str) -> DataFrame:
     return near.where(F.col("distance") < 2 * HOUR).select("event_id")
 
 
-@query("jon20_accepted_anchors", None)
+@query(
+    "jon20_accepted_anchors",
+    f"""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, us, event_id, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) AS rn FROM {{ev}}),
+k AS (SELECT user_id, rn, event_id, us + {10 * HOUR} AS stop, true AS taken FROM o WHERE rn = 1
+  UNION ALL SELECT o.user_id, o.rn, o.event_id, CASE WHEN o.us >= stop THEN o.us + {10 * HOUR} ELSE stop END, o.us >= stop FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1)
+SELECT event_id FROM k WHERE taken""",
+)
 def jon20(spark: SparkSession, d: str) -> DataFrame:
     """Anchors of ten hours each, taken in order of time unless they overlap one that was taken."""
     e = events(spark, d).select("user_id", "us", "event_id", (F.col("us") + 10 * HOUR).alias("end_us"))
@@ -219,7 +225,16 @@ def win10(spark: SparkSession, d: str) -> DataFrame:
     return signals.picked_peaks(n.withColumn("novelty", F.round("novelty", 9)), ["label"], "idx", "novelty", 8).select("label", "idx")
 
 
-@query("win30_picked_peaks", None)
+@query(
+    "win30_picked_peaks",
+    """WITH RECURSIVE c AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS idx FROM {ev}),
+l AS (SELECT user_id, median(value) + stddev_pop(value) AS level FROM c GROUP BY user_id),
+m AS (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM c WINDOW w AS (PARTITION BY user_id ORDER BY idx)),
+o AS MATERIALIZED (SELECT m.user_id, idx, row_number() OVER (PARTITION BY m.user_id ORDER BY value DESC, idx) AS rn FROM m JOIN l USING (user_id) WHERE value > a AND value > b AND value >= level),
+k AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT o.user_id, o.rn, CASE WHEN len(list_filter(kept, lambda x: abs(x - o.idx) < 4)) = 0 THEN list_append(kept, o.idx) ELSE kept END FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1)
+SELECT user_id, unnest(max_by(kept, rn)) AS idx FROM k GROUP BY user_id""",
+)
 def win30(spark: SparkSession, d: str) -> DataFrame:
     return signals.picked_peaks(curve(spark, d), ["user_id"], "idx", "value", 4).select("user_id", "idx")
 

@@ -218,7 +218,13 @@ def win14(spark: SparkSession, d: str) -> DataFrame:
     return sequence.islands(c, ["user_id"], "idx", "v", 0.7, 5).select("user_id", "idx", F.round("peak", 9).alias("peak"), "n")
 
 
-@query("win08_suppression", None)
+@query(
+    "win08_suppression",
+    f"""WITH RECURSIVE o AS MATERIALIZED (SELECT user_id, us, event_id, strength, row_number() OVER (PARTITION BY user_id ORDER BY strength DESC, us, event_id) AS rn FROM {{ev}}),
+k AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT o.user_id, o.rn, CASE WHEN len(list_filter(kept, lambda x: abs(x - o.us) < {DAY})) = 0 THEN list_append(kept, o.us) ELSE kept END FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1)
+SELECT o.user_id, us, event_id, strength FROM o JOIN k ON k.user_id = o.user_id AND k.rn = o.rn JOIN k b ON b.user_id = o.user_id AND b.rn = o.rn - 1 WHERE len(k.kept) > len(b.kept)""",
+)
 def win08(spark: SparkSession, d: str) -> DataFrame:
     """Strongest events of each user that are a day apart, by greedy suppression."""
     return sequence.suppress(events(spark, d), ["user_id"], "us", "event_id", "strength", DAY)
