@@ -246,7 +246,15 @@ def top09(spark: SparkSession, d: str) -> DataFrame:
     return selection.best_or(c.where("slot = 1"), r, ["user_id"], "event_id", "score", "event_id", F.lit(-1).cast("long"), 0.999)
 
 
-@query("top10_without_recent", None)
+@query(
+    "top10_without_recent",
+    """WITH RECURSIVE s AS (SELECT user_id, us, clip, max(1 - abs(clip / 10.0E0 - strength)) AS score FROM {ev}, range(10) r(clip) WHERE event_type = 'click' GROUP BY ALL),
+o AS MATERIALIZED (SELECT user_id, us, list(clip ORDER BY score DESC, clip) AS c, row_number() OVER (PARTITION BY user_id ORDER BY us) AS rn FROM s GROUP BY user_id, us),
+k AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS us, CAST(NULL AS BIGINT) AS clip, false AS fresh, CAST([] AS BIGINT[]) AS recent FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT user_id, rn, us, coalesce(pick, c[1]), pick IS NOT NULL, list_append(list_filter(recent, lambda x: x <> coalesce(pick, c[1])), coalesce(pick, c[1]))[-3:] FROM (
+    SELECT o.user_id, o.rn, o.us, c, recent, list_filter(c, lambda x: NOT list_contains(recent, x))[1] AS pick FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1))
+SELECT user_id, us, clip, fresh FROM k WHERE rn > 0""",
+)
 def top10(spark: SparkSession, d: str) -> DataFrame:
     """For each instant of a user one of ten clips, none of the last three."""
     c = events(spark, d).where("event_type = 'click'").select("user_id", "us", "strength", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("clip"))
@@ -254,7 +262,15 @@ def top10(spark: SparkSession, d: str) -> DataFrame:
     return selection.without_recent(c, ["user_id"], "us", "clip", "score", 3)
 
 
-@query("top14_usage_penalty", None)
+@query(
+    "top14_usage_penalty",
+    """WITH RECURSIVE s AS (SELECT user_id, us, clip, max(1 - abs(clip / 10.0E0 - strength)) AS score FROM {ev}, range(10) r(clip) WHERE event_type = 'view' GROUP BY ALL),
+o AS MATERIALIZED (SELECT user_id, us, list({'clip': clip, 'score': score} ORDER BY clip) AS c, row_number() OVER (PARTITION BY user_id ORDER BY us) AS rn FROM s GROUP BY user_id, us),
+k AS (SELECT user_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS us, CAST(NULL AS BIGINT) AS clip, list_transform(range(10), lambda x: CAST(0 AS INTEGER)) AS used FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT user_id, rn, us, pick, list_transform(range(10), lambda x: CAST(used[x + 1] + CASE WHEN x = pick THEN 1 ELSE 0 END AS INTEGER)) FROM (
+    SELECT o.user_id, o.rn, o.us, used, list_sort(list_transform(c, lambda y: {'v': -y.score / (1 + 0.5::DOUBLE * used[y.clip + 1]), 'clip': y.clip}))[1].clip AS pick FROM k JOIN o ON o.user_id = k.user_id AND o.rn = k.rn + 1))
+SELECT user_id, us, clip FROM k WHERE rn > 0""",
+)
 def top14(spark: SparkSession, d: str) -> DataFrame:
     c = events(spark, d).where("event_type = 'view'").select("user_id", "us", "strength", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("clip"))
     c = c.withColumn("score", 1 - F.abs(F.col("clip") / 10 - F.col("strength"))).groupBy("user_id", "us", "clip").agg(F.max("score").alias("score"))
