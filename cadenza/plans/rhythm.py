@@ -122,7 +122,21 @@ def win31(spark: SparkSession, d: str) -> DataFrame:
     return signals.prominence_peaks(e, ["user_id"], "idx", "value", 4, 50.0)
 
 
-@query("win40_hybrid_plan", None)
+@query(
+    "win40_hybrid_plan",
+    f"""WITH RECURSIVE e AS (SELECT user_id, us, event_id, event_type, strength, round((us - {T0}) / 3600000000.0E0, 6) AS t FROM {{ev}}),
+o AS MATERIALIZED (SELECT user_id, list(t ORDER BY t) AS beats, coalesce(list(t) FILTER (event_type = 'click'), []) AS downs, list(strength ORDER BY us, event_id) AS curve, max(t) AS total FROM e GROUP BY user_id),
+k AS (SELECT user_id, CAST(NULL AS DOUBLE) AS start, CAST(0 AS DOUBLE) AS stop, CAST(0 AS DOUBLE) AS energy, CAST(0 AS DOUBLE) AS strength FROM o
+  UNION ALL SELECT user_id, now, greatest(CASE WHEN x <= now + 0.1::DOUBLE THEN now + 2 ELSE x END, now + 0.5::DOUBLE), level, snap FROM (
+    SELECT *, CASE WHEN snap > 0 THEN near ELSE wanted END AS x FROM (
+      SELECT *, CASE WHEN abs(near - wanted) < 1.6::DOUBLE AND near > now + 0.1::DOUBLE THEN CASE WHEN list_contains(downs, near) THEN 1.0::DOUBLE ELSE 0.7::DOUBLE END ELSE 0 END AS snap FROM (
+        SELECT *, list_sort(list_transform(beats, lambda b: {{'d': abs(b - wanted), 'b': b}}))[1].b AS near FROM (
+          SELECT *, now + greatest(2, least(16, 2 + 14 * greatest(0, least(1, 0.5::DOUBLE - level * 0.7::DOUBLE * 0.4::DOUBLE)))) AS wanted FROM (
+            SELECT o.*, k.stop AS now, curve[least(CAST(floor(k.stop / total * len(curve)) AS BIGINT), len(curve) - 1) + 1] AS level FROM k JOIN o ON o.user_id = k.user_id WHERE k.stop < o.total))))))
+SELECT user_id, round(start, 6) AS start, round(stop - start, 6) AS length, round(energy, 6) AS energy, strength > 0 AS aligned, strength,
+  CASE WHEN energy < 0.3 THEN 'fade' WHEN energy <= 0.7 THEN 'crossfade' ELSE 'hard_cut' END AS transition,
+  round(greatest(0, least(1, 0.5::DOUBLE + CASE WHEN strength > 0 THEN 0.3::DOUBLE ELSE 0 END + 0.2::DOUBLE * (1 - abs(stop - start - 9) / 9))), 6) AS confidence FROM k WHERE start IS NOT NULL""",
+)
 def win40(spark: SparkSession, d: str) -> DataFrame:
     """Each user's events as a timeline in hours: beats at events, downbeats at clicks, the strengths as energy."""
     o = events(spark, d).withColumn("t", F.round((F.col("us") - T0) / HOUR, 6))
@@ -130,7 +144,8 @@ def win40(spark: SparkSession, d: str) -> DataFrame:
         F.sort_array(F.collect_list("t")).alias("beats"), F.array_sort(F.collect_set(F.when(F.col("event_type") == "click", F.col("t")))).alias("downbeats"),
         F.transform(F.sort_array(F.collect_list(F.struct("us", "event_id", "strength"))), lambda x: x["strength"]).alias("energy"), F.max("t").alias("total"),
     )
-    return planners.hybrid_plan(rows, ["user_id"], "beats", "downbeats", "energy", "total", 2.0, 16.0, 3, 0.8, 0.7)
+    cuts = planners.hybrid_plan(rows, ["user_id"], "beats", "downbeats", "energy", "total", 2.0, 16.0, 3, 0.8, 0.7)
+    return cuts.withColumns({c: F.round(c, 6) for c in ("start", "length", "energy", "confidence")})
 
 
 @query(
