@@ -160,7 +160,16 @@ def jon34(spark: SparkSession, d: str) -> DataFrame:
     return near.join(valid, ["user_id", "centre"], "left").select("event_id", "tempo")
 
 
-@query("src26_replacement_frames", None)
+@query(
+    "src26_replacement_frames",
+    """WITH RECURSIVE e AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY us, event_id) - 1 AS idx FROM {ev}),
+o AS MATERIALIZED (SELECT t.user_id, t.idx // 5 AS n, coalesce(list(r.idx ORDER BY abs(r.idx - t.idx), r.idx) FILTER (r.idx IS NOT NULL), []) AS c
+  FROM e t LEFT JOIN e r ON r.user_id = t.user_id AND r.value >= 50 AND abs(r.idx - t.idx) <= 6 WHERE t.idx % 5 = 0 GROUP BY ALL),
+k AS (SELECT user_id, CAST(-1 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS frame, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT user_id FROM o)
+  UNION ALL SELECT user_id, n, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END FROM (
+    SELECT o.user_id, o.n, used, list_filter(c, lambda x: NOT list_contains(used, x))[1] AS pick FROM k JOIN o ON o.user_id = k.user_id AND o.n = k.n + 1))
+SELECT user_id, n, frame FROM k WHERE frame IS NOT NULL""",
+)
 def src26(spark: SparkSession, d: str) -> DataFrame:
     """Every fifth event as a frame that is wanted; events of 50 and more can be read."""
     w = Window.partitionBy("user_id").orderBy("us", "event_id")
