@@ -187,8 +187,8 @@ def folded(value: Column, wanted: Column, factors: tuple[float, ...] = (0.5, 1.0
 
 
 def chance_rate(tolerance: float, interval: Column) -> Column:
-    """Share of hits that chance alone gives within a tolerance on both sides."""
-    return F.least(F.lit(1.0), 2 * tolerance / interval)
+    """Share of hits that chance alone gives within a tolerance on both sides; 1 where hits have no distance."""
+    return F.when(interval == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tolerance / interval))
 
 
 def confidence_of(state: Column, values: dict[str, float], otherwise: float = 0.0) -> Column:

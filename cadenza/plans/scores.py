@@ -300,7 +300,9 @@ def win21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg47_chance_rates", "SELECT event_id, round(least(1.0, 2 * 0.05 / (60 / value)), 6) AS rate FROM {ev}")
 def agg47(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select("event_id", r6(scoring.chance_rate(0.05, 60 / F.col("value"))).alias("rate"))
+    # no beat in a minute: the next one is infinitely far
+    interval = F.when(F.col("value") == 0, float("inf")).otherwise(60 / F.col("value"))
+    return events(spark, d).select("event_id", r6(scoring.chance_rate(0.05, interval)).alias("rate"))
 
 
 @query("mth15_transform_size", "SELECT event_id, CAST(pow(2, ceil(log2(value * 10 + 1))) AS BIGINT) AS n FROM {ev}")
