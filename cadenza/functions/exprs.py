@@ -11,6 +11,11 @@ def clip01(x: Column) -> Column:
     return F.when(F.isnan(x), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), x)))
 
 
+def held(x: Column, use) -> Column:
+    """use(x) with x worked out once a row, however often use names it. A column that stands in a function of an array's members would be worked out for each of them."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def dot(a, b) -> Column:
     pairs = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
     return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
@@ -35,8 +40,7 @@ def cosine01(a, b) -> Column:
 
 def l2_normalised(a, least: float = 1e-8) -> Column:
     """The unit vector; one shorter than `least` stays as it is."""
-    n = norm(a)
-    return F.when(n > least, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double")))
+    return held(norm(a), lambda n: F.when(n > least, F.transform(a, lambda x: x.cast("double") / n)).otherwise(F.transform(a, lambda x: x.cast("double"))))
 
 
 def fitted(a, size: int) -> Column:
@@ -69,17 +73,16 @@ def jaccard(a, b) -> Column:
 def checked_unit(a, size: int, least: float = 1e-8) -> Column:
     """The unit vector with NaN taken as 0; null for another size or a length under `least`."""
     clean = F.transform(a, lambda x: F.when(F.isnan(x), 0.0).otherwise(x.cast("double")))
-    n = norm(clean)
-    return F.when((F.size(a) == size) & (n > least), F.transform(clean, lambda x: x / n))
+    unit = lambda c: held(norm(c), lambda n: F.when((F.size(a) == size) & (n > least), F.transform(c, lambda x: x / n)))
+    return held(clean, unit)
 
 
 def projected(a: Column, matrix: list[list[float]], least: float = 1e-6) -> Column:
     """The unit vector of a's unit vector times a matrix (one list per component of a); null for another size or no length."""
     u = checked_unit(a, len(matrix), least)
     columns = [F.array(*[F.lit(float(r[j])) for r in matrix]) for j in range(len(matrix[0]))]
-    out = F.array(*[dot(u, c) for c in columns])
-    n = norm(out)
-    return F.when(u.isNotNull() & (n > least), F.transform(out, lambda x: x / n))
+    unit = lambda o: held(norm(o), lambda n: F.when(n > least, F.transform(o, lambda x: x / n)))
+    return held(u, lambda v: F.when(v.isNotNull(), held(F.array(*[dot(v, c) for c in columns]), unit)))
 
 
 def peak_buckets(samples: Column, n: int) -> Column:

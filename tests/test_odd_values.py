@@ -25,3 +25,29 @@ def same(query, sql, spark, folder, con):
 def test_chance_rate_of_no_tempo(spark, tmp_path):
     folder, con = stored(spark, tmp_path, [0, 1, 120, 5000, None])
     same(scores.agg47, scores.ORACLES["agg47_chance_rates"], spark, folder, con)
+
+
+def test_no_step_of_nothing(spark, tmp_path):
+    folder, con = stored(spark, tmp_path, [0, -3, 1, 50, 50.5, None])
+    same(library.dat06, library.ORACLES["dat06_progression"], spark, folder, con)
+
+
+def test_projection_works_out_each_vector_once(spark):
+    """The matrix and the unit vector stand once in the expression, not once for each component that is divided by a length."""
+    import math
+    import time
+
+    from pyspark.sql import functions as F
+
+    from cadenza.functions import exprs
+
+    matrix = [[((i * 7 + j * 3) % 11 - 5) / 5.0 for j in range(8)] for i in range(64)]
+    df = spark.range(4000, numPartitions=4).withColumn("v", F.transform(F.sequence(F.lit(1), F.lit(64)), lambda i: F.sin(F.col("id") * 64 + i)))
+    start = time.time()
+    got = {r.id: r.p for r in df.select("id", exprs.projected(F.col("v"), matrix).alias("p")).collect()}
+    assert time.time() - start < 20
+    v = [math.sin(7 * 64 + i) for i in range(1, 65)]
+    o = [sum(x * r[j] for x, r in zip(v, matrix, strict=True)) for j in range(8)]
+    assert all(abs(a - b / math.hypot(*o)) < 1e-12 for a, b in zip(got[7], o, strict=True))
+    odd = spark.createDataFrame([([0.0] * 64,), ([1.0] * 63,), (None,), ([float("nan")] * 64,)], "v array<double>")
+    assert [r.p for r in odd.select(exprs.projected(F.col("v"), matrix).alias("p")).collect()] == [None] * 4
