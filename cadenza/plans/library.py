@@ -283,7 +283,9 @@ def dat03(spark: SparkSession, d: str) -> DataFrame:
 
 @query("dat06_progression", "SELECT event_id, unnest(range(0, CAST(ceil(value / 50) AS BIGINT))) AS step FROM events")
 def dat06(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).select("event_id", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("value") / 50) - 1)).alias("step"))
+    n = F.ceil(F.col("value") / 50)
+    # a sequence down to -1 would hold two steps
+    return events(spark, d).where(n > 0).select("event_id", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("step"))
 
 
 @query("src14_time_points", "SELECT event_id, CAST(i AS INTEGER) AS i, round(value * (i + 0.5) / 4, 6) AS at FROM (SELECT event_id, value, unnest(range(0, 4)) AS i FROM events)")
