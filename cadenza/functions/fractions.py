@@ -1,15 +1,52 @@
-"""Exact rates: the nearest fraction with a bounded denominator, by continued fractions in column functions."""
+"""Exact rates: the nearest fraction with a bounded denominator, by continued fractions over Arrow batches of whole numbers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Partial quotients that a number of up to 18 digits has at most (each two halve the rest), and the usual bound.
-STEPS = 90
+#: The usual bound.
 MOST = 1_000_000
 
 
+def _nearest(num, den, most):
+    """(num, den) of the fractions nearest to whole numbers of up to 18 digits, den over 0; all numbers that count stay below 2**63."""
+    import numpy as np
+
+    n, d = np.abs(num), den.copy()
+    p0, q0, p1, q1 = np.zeros_like(n), np.ones_like(n), np.ones_like(n), np.zeros_like(n)
+    at = np.arange(len(n))
+    while len(at):
+        at = at[d[at] > 0]
+        a = n[at] // d[at]
+        # the next denominator q0 + a * q1 may not fit the bound, nor a long number
+        fits = (q0[at] <= most[at]) & ((q1[at] == 0) | (a <= (most[at] - q0[at]) // np.maximum(q1[at], 1)))
+        at, a = at[fits], a[fits]
+        p0[at], q0[at], p1[at], q1[at] = p1[at], q1[at], p0[at] + a * p1[at], q0[at] + a * q1[at]
+        n[at], d[at] = d[at], n[at] - a * d[at]
+    k = np.where(q1 > 0, (most - q0) // np.maximum(q1, 1), 0)
+    # where a rest is left, both fit: the convergent lies d / (q1 den) away, the other one 1 / (q1 q) less that
+    with np.errstate(over="ignore"):
+        p, q = p0 + k * p1, q0 + k * q1
+    last = (d == 0) | (d <= den // np.maximum(2 * q, 1))
+    return np.where(num < 0, -1, 1) * np.where(last, p1, p), np.where(last, q1, q)
+
+
+@F.arrow_udf(T.StructType([T.StructField("num", T.LongType()), T.StructField("den", T.LongType())]))
+def _nearest_batch(num, den, most):
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    ok = pc.fill_null(pc.and_(pc.and_(pc.is_valid(num), pc.is_valid(most)), pc.greater(den, 0)), False).to_numpy(zero_copy_only=False)
+    full = lambda a: pc.fill_null(a, 1).to_numpy(zero_copy_only=False).astype("int64")[ok]
+    found = np.zeros((2, len(ok)), "int64")
+    if ok.any():
+        found[:, ok] = _nearest(full(num), full(den), full(most))
+    return pa.StructArray.from_arrays([pa.array(found[0]), pa.array(found[1])], names=["num", "den"], mask=pa.array(~ok))
+
+
 def nearest_fraction(num: Column, den: Column, most: Column | int = MOST) -> Column:
     """struct<num, den>: the fraction nearest to num/den whose denominator is `most` at most, reduced; of two equally near the one of the smaller denominator.
 
@@ -17,35 +54,8 @@ def nearest_fraction(num: Column, den: Column, most: Column | int = MOST) -> Col
     fraction are followed while their denominators fit; then either the last one or the last that lies
     between it and the next is nearest. Nulls, and den of 0 or less, give null.
     """
-    whole = lambda c: c.cast("decimal(38,0)")
     most = most if isinstance(most, Column) else F.lit(most)
-    zero, one = whole(F.lit(0)), whole(F.lit(1))
-    sign = F.when(num < 0, -one).otherwise(one)
-    start = F.struct(
-        zero.alias("p0"), one.alias("q0"), one.alias("p1"), zero.alias("q1"), whole(F.abs(num)).alias("n"), whole(den).alias("d"), F.lit(False).alias("full"),
-    )
-
-    def step(s: Column, _: Column) -> Column:
-        a = F.when(s.d > 0, whole(F.floor(s.n / s.d))).otherwise(zero)
-        # a quotient of two numbers of 18 digits may be off by one after rounding
-        a = F.when(a * s.d > s.n, a - 1).when((a + 1) * s.d <= s.n, a + 1).otherwise(a)
-        p, q = s.p0 + a * s.p1, s.q0 + a * s.q1
-        stop = s.full | (s.d == 0) | (q > most)
-        pick = lambda now, then: F.when(stop, now).otherwise(whole(then))
-        return F.struct(
-            pick(s.p0, s.p1).alias("p0"), pick(s.q0, s.q1).alias("q0"), pick(s.p1, p).alias("p1"), pick(s.q1, q).alias("q1"),
-            pick(s.n, s.d).alias("n"), pick(s.d, s.n - a * s.d).alias("d"), stop.alias("full"),
-        )
-
-    def finish(s: Column) -> Column:
-        k = F.when(s.q1 > 0, whole(F.floor((whole(most) - s.q0) / s.q1))).otherwise(zero)
-        p, q = s.p0 + k * s.p1, s.q0 + k * s.q1
-        # the convergent lies d / (q1 den) away, the other one 1 / (q1 q) less that
-        last = (s.d == 0) | (2 * s.d * q <= whole(den))
-        return F.struct((sign * F.when(last, s.p1).otherwise(p)).cast("long").alias("num"), F.when(last, s.q1).otherwise(q).cast("long").alias("den"))
-
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), start, step, finish)
-    return F.when(num.isNotNull() & (den > 0), found)
+    return _nearest_batch(num.cast("long"), den.cast("long"), most.cast("long"))
 
 
 def rate_fraction(text: Column, most: int = MOST) -> Column:

@@ -51,3 +51,23 @@ def test_projection_works_out_each_vector_once(spark):
     assert all(abs(a - b / math.hypot(*o)) < 1e-12 for a, b in zip(got[7], o, strict=True))
     odd = spark.createDataFrame([([0.0] * 64,), ([1.0] * 63,), (None,), ([float("nan")] * 64,)], "v array<double>")
     assert [r.p for r in odd.select(exprs.projected(F.col("v"), matrix).alias("p")).collect()] == [None] * 4
+
+
+def test_nearest_fraction_by_fractions(spark):
+    import random
+    from fractions import Fraction
+
+    from pyspark.sql import functions as F
+
+    from cadenza.functions.fractions import nearest_fraction
+
+    rng = random.Random(4)
+    rows = [(rng.choice([1, -1]) * rng.randrange(10 ** rng.randrange(1, 19)), rng.randrange(1, 10 ** rng.randrange(1, 19)), rng.choice([1, 2, 1000, 10**6, 10**18])) for _ in range(3000)]
+    rows += [(10**18 - 1, 1, 10**18), (1, 10**18 - 1, 10**18), (0, 5, 3), (5, 10, 1), (15, 10, 1), (-5, 10, 1)]
+    df = spark.createDataFrame([*rows, (None, 1, 5), (1, None, 5), (1, 0, 5), (1, -2, 5)], "n long, d long, most long")
+    got = [r.r for r in df.select(nearest_fraction(F.col("n"), F.col("d"), F.col("most")).alias("r")).collect()]
+    assert got[-4:] == [None] * 4
+    for (n, d, most), r in zip(rows, got, strict=False):
+        want = Fraction(abs(n), d).limit_denominator(most)
+        assert (r.num, r.den) == (want.numerator * (-1 if n < 0 else 1), want.denominator), (n, d, most)
+    assert "LambdaFunction" not in df.select(nearest_fraction(F.col("n"), F.col("d"), 1000))._jdf.queryExecution().analyzed().toString()
