@@ -1,9 +1,10 @@
-"""PCM sound files as a data source: one partition per window, read by range, mixed down to mono, at the rate asked for.
+"""PCM sound files as a data source: windows in packs of neighbours, read by range, mixed down to mono, at the rate asked for.
 
     register(spark)
     spark.read.format("pcm").option("window", 90).option("overlap", 10).option("rate", 22050).load("/music/a.wav,hdfs://host/music/b.wav")
 
-Options offset and duration (seconds) read one range of each file instead of windows. Paths without a
+Options offset and duration (seconds) read one range of each file instead of windows; there are `tasks` (64) tasks
+at least, if there are as many windows. Paths without a
 scheme are local; others go through Arrow's file systems, on the driver for the header and on executors
 for the windows. Integer samples of 8, 16, 24 and 32 bits are read, scaled to -1..1.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import wave
 from functools import lru_cache
+from itertools import groupby
 from math import gcd
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,9 @@ CROSSINGS = 16
 ROLL_OFF = 0.95
 #: Resampled samples at a time, so that memory doesn't grow with the window.
 CHUNK = 1 << 15
+#: Resampled samples of the windows of one task, and windows at most: a task costs more than a short window's work.
+PACK = 1 << 21
+PACKED = 1024
 
 
 def opened(path: str) -> wave.Wave_read:
@@ -37,9 +42,26 @@ def opened(path: str) -> wave.Wave_read:
     return wave.open(where.open_input_file(name))
 
 
-class Window(InputPartition):
-    def __init__(self, path: str, number: int, start: int, count: int):
-        self.path, self.number, self.start, self.count = path, number, start, count
+class Windows(InputPartition):
+    """(path, number, first sample, samples) of windows, those of one file side by side."""
+
+    def __init__(self, windows: list[tuple[str, int, int, int]]):
+        self.windows = windows
+
+
+def packed(windows: list[tuple[str, int, int, int]], least: int) -> list[Windows]:
+    """Windows in packs of PACK samples and PACKED windows at most, but in `least` packs where there are as many windows. A window is never parted."""
+    total = sum(w[3] for w in windows)
+    size, many = max(1, min(PACK, -(-total // least))), max(1, min(PACKED, -(-len(windows) // least)))
+    out: list[Windows] = []
+    room = 0
+    for w in windows:
+        if not out or room < w[3] or len(out[-1].windows) == many:
+            out.append(Windows([]))
+            room = size
+        out[-1].windows.append(w)
+        room -= w[3]
+    return out
 
 
 def windows(frames: int, rate: int, length: float, overlap: float) -> list[tuple[int, int]]:
@@ -114,6 +136,7 @@ class Reader(DataSourceReader):
         self.paths = [p.strip() for p in options.get("path", "").split(",") if p.strip()]
         self.length, self.overlap = float(options.get("window", 90)), float(options.get("overlap", 0))
         self.rate = int(options.get("rate", 0))
+        self.least = int(options.get("tasks", 64))
         self.range = (float(options.get("offset", 0)), float(options.get("duration", "inf"))) if "offset" in options or "duration" in options else None
 
     def partitions(self):
@@ -127,22 +150,22 @@ class Reader(DataSourceReader):
             if self.range and frames:
                 start = min(int(self.range[0] * rate), frames - 1)
                 found = [(start, int(min(self.range[1] * rate, frames - start)))]
-            out += [Window(path, i, a, n) for i, (a, n) in enumerate(found)]
-        return out or [Window("", 0, 0, 0)]
-
-    def read(self, part: Window):
-        if not part.path:
-            return
-        with opened(part.path) as f:
-            native, frames = f.getframerate(), f.getnframes()
-            rate = self.rate or native
-            low, high = (part.start, part.start + part.count) if rate == native else needed(native, rate, part.start, part.count)
-            low, high = max(low, 0), min(high, frames)
-            f.setpos(min(low, frames))
-            x = mono(f.readframes(max(high - low, 0)), f.getsampwidth(), f.getnchannels())
-        if rate != native:
-            x = resampled(x, low, native, rate, part.start, part.count)
-        yield part.path, part.number, part.start / rate, rate, x.astype("float32").tolist()
+            out += [(path, i, a, n) for i, (a, n) in enumerate(found)]
+        return packed(out, self.least) or [Windows([])]
+
+    def read(self, part: Windows):
+        for path, own in groupby(part.windows, key=lambda w: w[0]):
+            with opened(path) as f:
+                native, frames = f.getframerate(), f.getnframes()
+                rate = self.rate or native
+                for _, number, start, count in own:
+                    low, high = (start, start + count) if rate == native else needed(native, rate, start, count)
+                    low, high = max(low, 0), min(high, frames)
+                    f.setpos(min(low, frames))
+                    x = mono(f.readframes(max(high - low, 0)), f.getsampwidth(), f.getnchannels())
+                    if rate != native:
+                        x = resampled(x, low, native, rate, start, count)
+                    yield path, number, start / rate, rate, x.astype("float32").tolist()
 
 
 class PcmSource(DataSource):

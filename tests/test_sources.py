@@ -305,3 +305,13 @@ def test_expiry_and_missing_columns(spark):
     s = spark.createDataFrame([("a", 95.0), ("b", 10.0), ("c", None)], "k string, at double")
     assert [r.k for r in files.unexpired(s, "at", F.lit(100.0), 30).collect()] == ["a"]
     assert files.existing_columns(s, {"k": "string", "missing": "int"}).columns == ["k", "missing"]
+
+
+def test_short_windows_share_tasks():
+    from cadenza.sources import audio
+
+    many = [(f"/{i // 5}", i % 5, i % 5 * 500, 700) for i in range(45_000)]
+    packs = audio.packed(many, 64)
+    assert [w for p in packs for w in p.windows] == many and 64 <= len(packs) <= 100
+    long = [("/a", i, i * audio.PACK, audio.PACK + 5) for i in range(3)]
+    assert [len(p.windows) for p in audio.packed(long, 1)] == [1, 1, 1] and len(audio.packed(many[:7], 64)) == 7 and audio.packed([], 4) == []
