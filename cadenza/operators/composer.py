@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..streaming.windows import shared_folder
 from . import spans
 from .folds import folded
 from .intervals import as_of, nearest
@@ -39,17 +40,43 @@ def mood_scores(moods: DataFrame, match: DataFrame, keys: list[str], on: list[st
     return shares.join(match, on).groupBy(*keys, clip).agg(F.sum(F.col("_share") * F.col(score)).alias("score"))
 
 
-def assigned(parts: DataFrame, scores: DataFrame, keys: list[str], clip: str, weight: float = 0.5) -> DataFrame:
+def alike(match: DataFrame, on: list[str], clip: str, score: str) -> DataFrame:
+    """clip and kind, the smallest of the clips that match everything as it does: they have one score for every key."""
+    each = match.groupBy(clip).agg(F.sort_array(F.collect_list(F.struct(*on, score))).alias("_profile"))  # a row for a mood
+    return each.join(each.groupBy("_profile").agg(F.min(clip).alias("kind")), "_profile").select(clip, "kind")
+
+
+def _best_of(scores: DataFrame, kinds: DataFrame, n: DataFrame, keys: list[str], clip: str) -> DataFrame:
+    """keys, clip, _score and _n: of scores whose clip is a kind, the clips that may be among a key's _n best ones.
+
+    A kind counts if better kinds have fewer than _n clips, with its _n smallest clips: a key makes rows for its
+    parts and its kinds, not for all clips.
+    """
+    w = Window.partitionBy("kind")
+    placed = kinds.withColumn("_place", F.row_number().over(w.orderBy(clip)) - 1)
+    sizes = kinds.groupBy("kind").agg(F.count("*").alias("_size"))
+    rows = scores.withColumnRenamed(clip, "kind").join(n, keys).join(sizes, "kind")
+    level = Window.partitionBy(*keys)
+    better = F.sum("_size").over(level.orderBy(F.desc("_score"))) - F.sum("_size").over(Window.partitionBy(*keys, "_score"))
+    rows = rows.withColumn("_better", better).where(F.col("_better") < F.col("_n"))
+    wanted = rows.select(*keys, "kind", "_score", "_n", F.explode(F.sequence(F.lit(0), F.least("_size", "_n").cast("int") - 1)).alias("_place"))
+    return wanted.join(placed, ["kind", "_place"]).select(*keys, clip, "_score", "_n")
+
+
+def assigned(parts: DataFrame, scores: DataFrame, keys: list[str], clip: str, weight: float = 0.5, kinds: DataFrame | None = None) -> DataFrame:
     """parts with the clip of each, and its score: in turn the one whose score / (1 + weight * uses so far) is highest, ties to the smaller clip.
 
     A clip's value only falls with its own uses, so what is taken in turn is all clips' values in falling
     order, and the n-th part has the n-th of them: no part waits for the one before. The r-th best clip
     is never used more often than a better one, so of n parts it has n / r at most, and n log n values
-    are put in order. A key without clips keeps no part. Scores under 0 count as 0.
+    are put in order. A key without clips keeps no part. Scores under 0 count as 0. With kinds, as alike()
+    gives them, scores are those of kinds and stand for all their clips.
     """
     n = parts.groupBy(*keys).agg(F.count("*").alias("_n"))
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_score"), clip))
-    best = scores.select(*keys, clip, F.greatest(F.col("score").cast("double"), F.lit(0.0)).alias("_score")).join(n, keys).withColumn("_rank", rank).where(F.col("_rank") <= F.col("_n"))
+    scores = scores.select(*keys, clip, F.greatest(F.col("score").cast("double"), F.lit(0.0)).alias("_score"))
+    found = scores.join(n, keys) if kinds is None else _best_of(scores, kinds, n, keys, clip)
+    best = found.withColumn("_rank", rank).where(F.col("_rank") <= F.col("_n"))
     uses = best.withColumn("_use", F.explode(F.sequence(F.lit(0), F.floor(F.col("_n") / F.col("_rank")).cast("int") - 1)))
     values = uses.withColumn("_fall", -F.col("_score") * (1 / (1 + F.col("_use") * weight)))
     turns = spans.numbered(values, keys, ["_fall", clip, "_use"], "n").where(F.col("n") < F.col("_n"))
@@ -112,16 +139,23 @@ def filled(timeline: DataFrame, timelines: DataFrame, keys: list[str], start: st
     return folded(both, keys, ["_kind", "_a", "_b"], step, f"{start} double, {end} double, {clip} {kind}, {source_start} double, {source_end} double")
 
 
-def composed(beats: DataFrame, downbeats: DataFrame, energy: DataFrame, timelines: DataFrame, scores: DataFrame, clips: DataFrame, keys: list[str], clip: str, ends: bool = True, seed: int = 0) -> DataFrame:
+def composed(beats: DataFrame, downbeats: DataFrame, energy: DataFrame, timelines: DataFrame, scores: DataFrame, clips: DataFrame, keys: list[str], clip: str, ends: bool = True, seed: int = 0, kinds: DataFrame | None = None) -> DataFrame:
     """A timeline for each row of timelines: keys, start, end, clip, source_start, source_end, score, energy_match, match, transition_in, transition_out and filler.
 
     beats and downbeats have an instant `at`, energy `at` and `value`, timelines `total` and `every` (beats
-    a cut), scores (key, clip, score), clips (clip, length, motion). A clip longer than its part begins
+    a cut), scores (key, clip, score; with kinds of alike() those of kinds), clips (clip, length, motion). A clip longer than its part begins
     somewhere in it by the hash of key and number, so the same input gives the same timeline. Timelines
     without a clip have no rows.
     """
-    parts = segments(beats, timelines, keys, "at", "total", "every", ends)
-    chosen = assigned(parts, scores, keys, clip).join(clips.select(clip, F.col("length").cast("double").alias("_length"), F.col("motion").cast("double").alias("_motion")), clip)
+    spark = beats.sparkSession
+    folder = f"{shared_folder(spark)}/composed"
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")  # read several times below
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    parts = stored(segments(beats, timelines, keys, "at", "total", "every", ends), "parts")
+    chosen = stored(assigned(parts, scores, keys, clip, kinds=kinds), "assigned").join(clips.select(clip, F.col("length").cast("double").alias("_length"), F.col("motion").cast("double").alias("_motion")), clip)
     chosen = energy_at(chosen, energy, keys, "start", "at", "value", "energy")
     long = F.col("end") - F.col("start")
     spot = F.pmod(F.xxhash64(*keys, "n", F.lit(seed)), F.lit(1 << 20)) / (1 << 20)
@@ -130,7 +164,7 @@ def composed(beats: DataFrame, downbeats: DataFrame, energy: DataFrame, timeline
     chosen = chosen.withColumn("energy_match", 1 - F.abs(F.col("_motion") - F.col("energy"))).withColumn("match", (F.col("score") + F.col("energy_match")) / 2)
     chosen = with_transitions(chosen, downbeats, keys, "start", "at", "energy").withColumn("filler", F.lit(False))
     columns = [*keys, "start", "end", clip, "source_start", "source_end", "score", "energy_match", "match", "transition_in", "transition_out", "filler"]
-    chosen = chosen.select(*columns)
+    chosen = stored(chosen.select(*columns), "chosen")
     more = filled(chosen, timelines, keys, "start", "end", clip, "source_start", "source_end", "total")
     more = more.withColumns({"transition_in": F.lit("cut"), "transition_out": F.lit("cut"), "filler": F.lit(True)})
     return chosen.unionByName(more, allowMissingColumns=True)

@@ -190,16 +190,18 @@ def timeline_inputs(spark: SparkSession, d: str) -> dict:
     # what each of the five moods wants of a clip
     wants = F.when(F.col("event_type") == "click", F.col("motion") * 0.3).when(F.col("event_type") == "view", (1 - F.col("motion")) * 0.3).otherwise(0.1)
     match = clips.crossJoin(F.broadcast(e.select("event_type").distinct())).select("size", "event_type", "clip", (0.5 + wants).alias("score"))
-    scores = composer.mood_scores(moods, match, ["user_id"], ["size", "event_type"], "weight", "clip", "score")
+    kinds = composer.alike(match, ["size", "event_type"], "clip", "score")
+    of_kinds = match.join(kinds.select(F.col("kind").alias("clip")).distinct(), "clip")
+    scores = composer.mood_scores(moods, of_kinds, ["user_id"], ["size", "event_type"], "weight", "clip", "score")
     points = lambda kind: e.where(kind).select("user_id", "at").distinct()
     curve = e.groupBy("user_id", "at").agg(F.max("strength").alias("value"))
-    return {"beats": points(F.lit(True)), "downbeats": points(F.col("event_type") == "purchase"), "energy": curve, "timelines": timelines, "scores": scores, "clips": clips}
+    return {"beats": points(F.lit(True)), "downbeats": points(F.col("event_type") == "purchase"), "energy": curve, "timelines": timelines, "scores": scores, "clips": clips, "kinds": kinds}
 
 
 @query("udf17_composed_timelines", None)
 def udf17(spark: SparkSession, d: str) -> DataFrame:
     """Timelines of all users without gaps: cuts at every second or fourth event, clips by mood in turn, fillers before the first cut and behind the last."""
     i = timeline_inputs(spark, d)
-    t = composer.composed(i["beats"], i["downbeats"], i["energy"], i["timelines"], i["scores"], i["clips"], ["user_id"], "clip", ends=False)
+    t = composer.composed(i["beats"], i["downbeats"], i["energy"], i["timelines"], i["scores"], i["clips"], ["user_id"], "clip", ends=False, kinds=i["kinds"])
     rounded = [F.round(c, 6).alias(c) for c in ("start", "end", "source_start", "source_end", "score", "energy_match", "match")]
     return t.select("user_id", "clip", "transition_in", "transition_out", "filler", *rounded)

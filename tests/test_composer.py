@@ -111,3 +111,20 @@ def test_composed_timelines(spark, ends):
             edges = np.array([[r.start, r.end] for r in own])
             assert edges[0, 0] <= composer.LEAST_GAP and s["total"] - edges[-1, 1] <= composer.LEAST_GAP + 1e-9
             assert np.abs(edges[1:, 0] - edges[:-1, 1]).max(initial=0) <= composer.LEAST_GAP + 1e-9
+
+
+def test_clips_that_match_alike_are_scored_once(spark):
+    """Clips of one kind, ties across kinds and scores under 0 fall to the parts as if every clip had its own score."""
+    import random
+
+    rng = random.Random(8)
+    match = spark.createDataFrame([(c, m, [0.5, 0.25, -1.0, 0.5, -2.0][c % 5] * (1 + m)) for c in range(60) for m in (0, 1)], "clip long, mood long, score double")
+    moods = spark.createDataFrame([(u, m, rng.choice([1.0, 2.0])) for u in range(6) for m in (0, 1)], "u long, mood long, weight double")
+    parts = spark.createDataFrame([(u, n, float(n), n + 1.0) for u, many in enumerate((1, 7, 13, 40, 59, 90)) for n in range(many)], "u long, n long, start double, end double")
+    kinds = composer.alike(match, ["mood"], "clip", "score")
+    assert kinds.select("kind").distinct().count() == 4
+    few = match.join(kinds.selectExpr("kind as clip").distinct(), "clip")
+    scored = lambda m: composer.mood_scores(moods, m, ["u"], ["mood"], "weight", "clip", "score")
+    rows = lambda df: sorted(map(tuple, df.select("u", "n", "clip").collect()))
+    got = composer.assigned(parts, scored(few), ["u"], "clip", kinds=kinds)
+    assert rows(got) == rows(composer.assigned(parts, scored(match), ["u"], "clip")) and got.count() == 210
