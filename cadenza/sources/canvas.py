@@ -12,6 +12,8 @@ SCHEMA = "canvas string, nodes array<struct<id:string,type:string,text:string,fi
 ANCHOR = r"@(\d{1,3}):(\d{2})(?!\d)"
 LOBBY = 520.0
 LENGTH = 5.0
+#: Names up to which they are broadcast (some megabytes).
+FEW = 50_000
 
 
 def nodes(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -29,7 +31,8 @@ def _found(names: DataFrame, clips: DataFrame) -> DataFrame:
     """name and clip for names that no clip bears: the first clip whose path holds the name.
 
     A path that holds a name holds every gram of it, so the two meet on the name's rarest one and pairs
-    are tested only there.
+    are tested only there. Spark takes a list of grams to be as small as its paths, so it would broadcast all of
+    them: names go to the paths where a count says that they are few, otherwise both are sorted.
     """
     grams = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
     paths = clips.select("_order", "clip", F.lower("path").alias("_path"))
@@ -37,9 +40,12 @@ def _found(names: DataFrame, clips: DataFrame) -> DataFrame:
     counts = shown.groupBy("_gram").count()
     size = F.least(F.length("name"), F.lit(3))
     own = F.transform(F.sequence(F.lit(1), F.length("name") - size + 1), lambda i: F.substring(F.col("name"), i, size))
+    counts = counts.hint("merge")
     mine = names.where("name <> ''").select("name", F.explode(F.array_distinct(own)).alias("_gram"))
     rare = mine.join(counts, "_gram").groupBy("name").agg(F.min_by("_gram", F.struct("count", "_gram")).alias("_gram"))
-    hits = rare.join(shown, "_gram").where(F.contains("_path", "name"))
+    few = names.count() <= FEW
+    hits = shown.join(F.broadcast(rare), "_gram") if few else shown.hint("merge").join(rare, "_gram")
+    hits = hits.where(F.contains("_path", "name"))
     return hits.groupBy("name").agg(F.min_by("clip", "_order").alias("clip"))
 
 

@@ -315,3 +315,17 @@ def test_short_windows_share_tasks():
     assert [w for p in packs for w in p.windows] == many and 64 <= len(packs) <= 100
     long = [("/a", i, i * audio.PACK, audio.PACK + 5) for i in range(3)]
     assert [len(p.windows) for p in audio.packed(long, 1)] == [1, 1, 1] and len(audio.packed(many[:7], 64)) == 7 and audio.packed([], 4) == []
+
+
+def test_grams_are_not_broadcast(spark, monkeypatch):
+    """Grams of all paths never go through the driver, and names do where they are few; both ways find the same."""
+    from cadenza.sources import canvas
+
+    clips = spark.range(500).selectExpr("id as _order", "id as clip", "concat('/m/take_', id, '.mp4') as path")
+    names = spark.createDataFrame([("ke_7",), ("zz",), ("7",), ("take_499.mp",)], "name string")
+    few = canvas._found(names, clips)
+    want = [("7", 7), ("ke_7", 7), ("take_499.mp", 499)]
+    assert sorted(map(tuple, few.collect())) == want
+    monkeypatch.setattr(canvas, "FEW", 0)
+    many = canvas._found(names, clips)
+    assert sorted(map(tuple, many.collect())) == want and "BroadcastHashJoin" not in many._jdf.queryExecution().sparkPlan().toString()
