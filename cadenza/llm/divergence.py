@@ -1,6 +1,6 @@
 """Source divergence audit: how far the term shares of a language's sources lie from each other and from the language.
 
-Plain relational work: terms are exploded and counted per (lang, source, term) with partial sums, the
+Terms are counted per (lang, source, term) inside the tasks that read the texts and their sums added, the
 groups of a language are crossed with its kept vocabulary so that zeros count, a self-join on language
 and term gives each pair of sources once, and windows rank what is summed. Joins that a language alone
 would key carry a salt of the term, so a language may hold any share of the terms; no side is broadcast
@@ -9,13 +9,17 @@ but by its written size.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower, cut, table
+from .common import cut, small_batches, table
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of terms with A-Z lower-cased, and blanks for all others; terms that a task holds.
+SPLIT = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(256))
+HELD = 200_000
 #: Documents of a language that hold a kept term, pseudo-count, scale of shares, and ranks of terms.
 LEAST_DOCS = 30
 PSEUDO = 5
@@ -26,13 +30,44 @@ SALTS = 64
 
 
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (rows that hold it)."""
+    """lang, source, term, n (occurrences) and docs (rows that hold it).
+
+    Terms are runs of bytes, since all bytes of a character beyond ASCII belong to it. A task adds up
+    HELD terms before it hands its sums on.
+    """
     row = _row(docs, text_col, lang_col, source_col)
-    terms = F.sort_array(F.regexp_extract_all(ascii_lower(F.col("text")), F.lit(TERM), F.lit(0)))
-    row = row.select("lang", "source", terms.alias("terms"))
-    marked = F.transform("terms", lambda t, i: F.struct(t.alias("term"), (~t.eqNullSafe(F.get("terms", i - 1))).cast("long").alias("first")))
-    each = row.select("lang", "source", F.inline(marked))
-    return each.groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("first").alias("docs"))
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        size = 0
+
+        def sums():
+            for (lang, source), (n, d) in held.items():
+                if n:
+                    terms = pa.array(n.keys(), pa.binary()).cast(pa.string())
+                    same = lambda x, many=len(n): pa.array([x], pa.string()).take(pa.array([0] * many))
+                    yield pa.RecordBatch.from_arrays([same(lang), same(source), terms, pa.array(n.values(), pa.int64()), pa.array((d[t] for t in n), pa.int64())], names=["lang", "source", "term", "n", "docs"])
+            held.clear()
+
+        for b in batches:
+            texts = b.column("text").cast(pa.binary()).to_pylist()
+            for text, lang, source in zip(texts, b.column("lang").to_pylist(), b.column("source").to_pylist(), strict=True):
+                n, d = held.setdefault((lang, source), (Counter(), Counter()))
+                terms = text.translate(SPLIT).split()
+                size -= len(n)
+                n.update(terms)
+                d.update(set(terms))
+                size += len(n)
+                if size > HELD:
+                    yield from sums()
+                    size = 0
+        yield from sums()
+
+    each = row.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _row(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> DataFrame:
