@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..streaming.windows import shared_folder
 from .sequence import suppress
-from .spans import blockwise, haloed, prefix_sums
+from .spans import blockwise, haloed
 
 BLOCK = 65_536
 
@@ -33,22 +33,19 @@ def contrasts(df: DataFrame, keys: list[str], idx: str, value: str, smooth: int,
     rows = haloed(df.select(*keys, idx, F.col(value).cast("double").alias("_v")), idx, block, smooth + context + 1)
     whole = Window.partitionBy(*keys, "_block")
     w = whole.orderBy(idx)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    lag = lambda c, n: F.lag(c, n).over(w) if n else F.col(c)
-    lead = lambda c, n: F.lead(c, n).over(w) if n else F.col(c)
+    total = lambda c, first, last: F.sum(c).over(w.rowsBetween(first, last))
 
-    p = rows.withColumn("_p", F.sum("_v").over(upto)).withColumn("_low", F.min(F.struct(idx, "_v")).over(whole)).withColumn("_high", F.max(F.struct(idx, "_v")).over(whole)).withColumn("_all", F.sum("_v").over(whole))
-    inner = F.coalesce(lead("_p", ahead), F.col("_all")) - F.coalesce(lag("_p", back + 1), F.lit(0.0))
+    # every frame is added up by itself: equal means then stay equal, which differences of running sums don't
+    p = rows.withColumn("_low", F.min(F.struct(idx, "_v")).over(whole)).withColumn("_high", F.max(F.struct(idx, "_v")).over(whole))
     before = F.greatest(F.col("_low")[idx] - (F.col(idx) - back), F.lit(0)) * F.col("_low")["_v"]
     after = F.greatest(F.col(idx) + ahead - F.col("_high")[idx], F.lit(0)) * F.col("_high")["_v"]
-    s = p.withColumn("smoothed", (inner + before + after) / smooth).withColumn("_q", F.sum("smoothed").over(upto))
-    here = F.coalesce(lag("_q", 1), F.lit(0.0))
-    inside = (F.col(idx) >= context) & lead(idx, context).isNotNull()
-    left = F.when(inside, (here - F.coalesce(lag("_q", context + 1), F.lit(0.0))) / context)
-    right = F.when(inside, (lead("_q", context - 1) - here) / context)
+    s = p.withColumn("smoothed", (total("_v", -back, ahead) + before + after) / smooth)
+    inside = (F.col(idx) >= context) & F.lead(idx, context).over(w).isNotNull()
+    left = F.when(inside, total("smoothed", -context, -1) / context)
+    right = F.when(inside, total("smoothed", 0, context - 1) / context)
     s = s.withColumn("left", left).withColumn("right", right).withColumn("contrast", F.abs(F.col("right") - F.col("left")))
     c = F.col("contrast")
-    peak = c.isNotNull() & F.coalesce(c >= lag("contrast", 1), F.lit(True)) & F.coalesce(c >= lead("contrast", 1), F.lit(True))
+    peak = c.isNotNull() & F.coalesce(c >= F.lag("contrast").over(w), F.lit(True)) & F.coalesce(c >= F.lead("contrast").over(w), F.lit(True))
     return s.withColumn("peak", peak).where("_own").select(*keys, idx, "smoothed", "left", "right", "contrast", "peak")
 
 
@@ -87,11 +84,16 @@ def sections(df: DataFrame, keys: list[str], idx: str, value: str, step: float,
     parts = parts.withColumn("_own", F.when(F.col("_strength").isNotNull(), F.least("_strength", F.lit(1.0))))  # least() passes over nulls
     for name, column in (("_next", "_own"), ("_left", "left"), ("_right", "right")):
         parts = parts.withColumn(name, F.lead(column).over(w))
-    # the sum of a section is what the sums up to its last sample have more than those up to the one before its first
-    sums = prefix_sums(c.select(*keys, idx, "smoothed"), keys, idx, "smoothed", "_sum", block).select(*keys, (F.col(idx) + 1).alias("last"), "_sum")
-    parts = parts.join(sums, [*keys, "last"])
-    energy = (F.col("_sum") - F.coalesce(F.lag("_sum").over(w), F.lit(0.0))) / (F.col("last") - F.col("first"))
-    parts = parts.withColumn("energy", energy).withColumn("_before", F.lag("energy").over(w)).withColumn("section", F.row_number().over(w) - 1)
+    parts = parts.withColumn("section", F.row_number().over(w) - 1)
+    # each section's samples are added up by themselves, block by block: a section is told from its block's earlier ones by the boundaries up to there
+    marks = kept.select(*keys, idx, F.lit(None).cast("double").alias("smoothed"), F.lit(1).alias("_mark"))
+    placed = c.select(*keys, idx, "smoothed", F.lit(0).alias("_mark")).unionByName(marks).withColumn("_block", F.floor(F.col(idx) / block))
+    upto = Window.partitionBy(*keys, "_block").orderBy(idx, F.desc("_mark")).rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.withColumn("_nth", F.sum("_mark").over(upto)).groupBy(*keys, "_block", "_nth").agg(F.sum("smoothed").alias("_sum"))
+    number = F.sum(F.when(F.col("_nth") > 0, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy("_block", "_nth").rowsBetween(Window.unboundedPreceding, 0))
+    sums = sums.withColumn("section", number.cast("int")).groupBy(*keys, "section").agg(F.sum("_sum").alias("_sum"))
+    parts = parts.join(sums, [*keys, "section"])
+    parts = parts.withColumn("energy", F.col("_sum") / (F.col("last") - F.col("first"))).withColumn("_before", F.lag("energy").over(w))
     intro = (F.col("first") == 0) & (F.col("_left") <= F.col("_quiet")) & (F.col("_right") >= F.col("_left") + F.col("_least"))
     outro = (F.col("last") == F.col("_n")) & (F.col("energy") <= F.col("_quiet")) & (F.col("_before") >= F.col("energy") + F.col("_least"))
     label = F.when(outro, "outro").when(intro, "intro").otherwise("section")

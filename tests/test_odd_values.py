@@ -71,3 +71,23 @@ def test_nearest_fraction_by_fractions(spark):
         want = Fraction(abs(n), d).limit_denominator(most)
         assert (r.num, r.den) == (want.numerator * (-1 if n < 0 else 1), want.denominator), (n, d, most)
     assert "LambdaFunction" not in df.select(nearest_fraction(F.col("n"), F.col("d"), 1000))._jdf.queryExecution().analyzed().toString()
+
+
+def test_equal_contrasts_of_sections(spark, tmp_path):
+    """Changes of the same size by different samples: the means have to be added up as the SQL's are, or another one is the strongest."""
+    from cadenza.plans import series
+
+    curves = {
+        0: [1637, 12051, 5147, 953, 787, 6142, 17097, 231, 6706, 7893, 670, 4775, 1411, 1310, 4305, 97, 17173, 754, 13035, 2064, 7967, 8105, 4370, 13380, 19310, 9948, 1477, 388, 10161,
+            6688, 323, 380, 1145, 6225, 848, 531, 1472, 138, 1409, 8323, 13126, 480, 2136, 6070, 5043, 9737, 8232, 14379, 7078, 3414, 235, 926, 1731],
+        1: [10368, 452, 2047, 6129, 4470, 2282, 1817, 13347, 7177, 13905, 185, 5366, 1668, 6838, 4834, 641, 790, 99, 1779, 1703, 1210, 17095, 2066, 2349, 5795, 1519, 1495, 752, 2101,
+            10256, 65, 2825, 12403, 13065, 179, 7810, 4719, 4651, 6034, 7254, 10032, 5803, 12519, 1466, 14168, 2738, 5765, 6739, 3756, 6320, 2085, 10481, 8068, 6931, 4627, 50, 2629, 5008,
+            1187, 11507, 16, 6205, 5762, 5653, 6563, 1735, 1126, 1304],
+    }
+    rows = [(1000 * k + i, k, v / 100) for k, x in curves.items() for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "event_id long, user_id long, value double")
+    df = df.selectExpr("event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, event_id) as ts", "user_id", "'click' as event_type", "value", "'{}' as props")
+    df.write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    same(series.win08_sections, series.ORACLES["win08_sections"], spark, str(tmp_path), con)
