@@ -136,3 +136,38 @@ def test_matches_brute_force(spark, monkeypatch, few):
     want = brute(pages)
     assert {r.page_id: r.text for r in extract(df).collect()} == want
     assert any(len(t.split("\n")) < len(blocks(pages[i][1])) for i, t in want.items())
+
+
+@pytest.mark.parametrize("size", [2, 7, 13])
+def test_several_arrays_of_a_host_match_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(html_extract, "BLOCK_PAGES", size)
+    test_matches_brute_force(spark, monkeypatch, 500_000)
+
+
+def test_suffixes_in_order():
+    rng = random.Random(1)
+    for n, letters in ((1, 1), (50, 1), (200, 2), (300, 40)):
+        ids = [rng.randrange(letters) for _ in range(n)]
+        assert html_extract.suffix_array(html_extract.np.array(ids)).tolist() == sorted(range(n), key=lambda i: ids[i:])
+
+
+@pytest.mark.parametrize("size", [256, 4])
+def test_arrays_judge_marked_pages_too(spark, monkeypatch, size):
+    """An article keeps what it shares with its host's other pages, and its row tells how much that is."""
+    monkeypatch.setattr(html_extract, "BLOCK_PAGES", size)
+    refrain, advert = "and so the old tale goes on and on", "buy this thing at our shop right now"
+    page = lambda i, inner: (i, f"http://h.example/{i}", f"<div class='ad'>{advert}</div><article><p>text number {i}</p><p>{inner}</p></article><footer>foot {i}</footer>")
+    rows = [page(i, refrain) for i in range(10)] + [page(10, advert), page(11, "a line that no other page of it shows"), (12, "http://h.example/12", None)]
+    rows += [(20 + i, "http://few.example/%d" % i, f"<article>{refrain}</article>") for i in range(2)]
+    got = {r.page_id: (r.text, r.n_repeated) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: (f"text number {i}\n{refrain}", len(refrain)) for i in range(10)}
+    want |= {10: (f"text number 10\n{advert}", len(advert)), 11: ("text number 11\na line that no other page of it shows", 0), 12: ("", 0)}
+    assert got == want | {20: (refrain, 0), 21: (refrain, 0)}
+
+
+def test_pages_without_text_count_for_their_host(spark):
+    rows = [(i, f"http://h.example/{i}", "<div>one and the same line of six words</div><p>own %d</p>" % i if i < 3 else "") for i in range(16)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract(df).collect()}
+    assert got[0] == "one and the same line of six words\nown 0" and got[15] == ""
+    assert {r.text for r in extract(df.where("page_id < 15")).collect()} == {"own 0", "own 1", "own 2", ""}
