@@ -85,12 +85,14 @@ def sections(df: DataFrame, keys: list[str], idx: str, value: str, step: float,
     for name, column in (("_next", "_own"), ("_left", "left"), ("_right", "right")):
         parts = parts.withColumn(name, F.lead(column).over(w))
     parts = parts.withColumn("section", F.row_number().over(w) - 1)
-    # each section's samples are added up by themselves, block by block: a section is told from its block's earlier ones by the boundaries up to there
+    # each section's samples are added up by themselves, from the last on, block by block: a section is told from its block's later ones by the boundaries down to there
     marks = kept.select(*keys, idx, F.lit(None).cast("double").alias("smoothed"), F.lit(1).alias("_mark"))
     placed = c.select(*keys, idx, "smoothed", F.lit(0).alias("_mark")).unionByName(marks).withColumn("_block", F.floor(F.col(idx) / block))
-    upto = Window.partitionBy(*keys, "_block").orderBy(idx, F.desc("_mark")).rowsBetween(Window.unboundedPreceding, 0)
-    sums = placed.withColumn("_nth", F.sum("_mark").over(upto)).groupBy(*keys, "_block", "_nth").agg(F.sum("smoothed").alias("_sum"))
-    number = F.sum(F.when(F.col("_nth") > 0, 1).otherwise(0)).over(Window.partitionBy(*keys).orderBy("_block", "_nth").rowsBetween(Window.unboundedPreceding, 0))
+    down = Window.partitionBy(*keys, "_block").orderBy(F.desc(idx), "_mark").rowsBetween(Window.unboundedPreceding, 0)
+    sums = placed.withColumn("_nth", F.sum("_mark").over(down)).groupBy(*keys, "_block", "_nth").agg(F.sum("smoothed").alias("_sum"))
+    order = Window.partitionBy(*keys).orderBy("_block", F.desc("_nth"))
+    sums = sums.withColumn("_new", F.when(F.lag("_block").over(order) == F.col("_block"), 1).otherwise(0))
+    number = F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))
     sums = sums.withColumn("section", number.cast("int")).groupBy(*keys, "section").agg(F.sum("_sum").alias("_sum"))
     parts = parts.join(sums, [*keys, "section"])
     parts = parts.withColumn("energy", F.col("_sum") / (F.col("last") - F.col("first"))).withColumn("_before", F.lag("energy").over(w))

@@ -64,11 +64,20 @@ SELECT user_id, CAST(section AS INTEGER) AS section, a AS "first", z AS "last",
   round(energy, 9) AS energy, round(greatest(CASE WHEN own IS NULL THEN 0 ELSE least(own, 1) END, CASE WHEN next IS NULL THEN 0 ELSE least(next, 1) END), 9) AS confidence FROM f"""
 
 
+def _rounded(name: str):
+    """Nine digits as DuckDB rounds them, by the product with 1e9: round() goes by the printed digits, where a mean that ends in a half may lie a last bit below it."""
+    c = F.col(name)
+    units = F.abs(c) * 1e9
+    whole = F.floor(units)
+    up = F.when(units - whole >= 0.5, 1).otherwise(0)
+    return F.when(F.abs(c) < 1e6, F.signum(c) * (whole + up) / 1e9).otherwise(F.round(c, 9))
+
+
 @query("win08_sections", _SECTIONS)
 def win08_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections of each user's values, with their labels."""
     s = boundaries.sections(curve(spark, d), ["user_id"], "idx", "value", STEP)
-    return s.select("user_id", "section", "first", "last", "label", F.round("energy", 9).alias("energy"), F.round("confidence", 9).alias("confidence"))
+    return s.select("user_id", "section", "first", "last", "label", _rounded("energy").alias("energy"), _rounded("confidence").alias("confidence"))
 
 
 KERNEL = 16

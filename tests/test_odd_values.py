@@ -91,3 +91,14 @@ def test_equal_contrasts_of_sections(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
     same(series.win08_sections, series.ORACLES["win08_sections"], spark, str(tmp_path), con)
+
+
+def test_halves_are_rounded_as_the_sql_does(spark):
+    import math
+
+    from cadenza.plans import series
+
+    halves = [k / 2e9 for k in (0, 1, -1, 426953125, 103034921875, -103034921875, 99753203125)]
+    xs = [x for h in halves for x in (h, math.nextafter(h, -1e9), math.nextafter(h, 1e9))] + [4.2e7, -3.1e12, 1e-8]
+    got = [r.x for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").select("i", series._rounded("x").alias("x")).orderBy("i").collect()]
+    assert got == [duckdb.execute("SELECT round(?::DOUBLE, 9)", [x]).fetchall()[0][0] for x in xs]
