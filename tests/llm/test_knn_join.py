@@ -61,3 +61,43 @@ def test_few_rows_and_empty(spark):
     none = v.where("false")
     assert knn_join.top_k_inner_product(none, none, 5).collect() == []
     assert knn_join.top_k_inner_product(v, none, 5).collect() == []
+
+
+def test_no_side_is_broadcast(spark, monkeypatch):
+    """Sizes guessed from files don't tell how often queries are sent: broadcast sides went through the driver whole."""
+    plans, cut = [], knn_join.cut
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(knn_join, "DATA_BLOCK", 16)
+    monkeypatch.setattr(knn_join, "cut", lambda df, name: (plans.append(plan(df)), cut(df, name))[1])
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    v = knn_join.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    out = knn_join.top_k_inner_product(v, v.where("vec_id % 5 = 0"), 5)
+    plans.append(plan(out))
+    assert {tuple(r) for r in out.collect()} == brute(rows, 5, 5)
+    assert plans and not [p for p in plans if "Broadcast" in p]
+
+
+def test_queries_are_sent_once_a_group(spark, monkeypatch):
+    """Far fewer groups than cells and data blocks, some cells of several groups; near centres have close scores."""
+    monkeypatch.setattr(knn_join, "DATA_BLOCK", 8)
+    monkeypatch.setattr(knn_join, "GROUPS", 5)
+    monkeypatch.setattr(knn_join, "QUERY_BLOCK", 7)
+    rng = random.Random(5)
+    centres = [[rng.gauss(0, 9) for _ in range(5)] for _ in range(6)]
+    rows = [(i, [x + rng.gauss(0, 0.1 if i % 3 else 0) for x in centres[i % 6 if i % 4 else 0]]) for i in range(600)]
+    v = knn_join.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    assert {tuple(r) for r in knn_join.top_k_inner_product(v, v.where("vec_id % 3 = 0"), 5).collect()} == brute(rows, 5, 3)
+
+
+def test_groups_hold_all_cells():
+    assert knn_join.groups_of([3, 4, 0, 25, 2, 9, 10], 10) == ([0, 0, 0, 1, 0, 4, 5], [1, 1, 1, 3, 1, 1, 1], 6)
+    assert knn_join.groups_of([0], 10) == ([0], [1], 1)
+
+
+def test_scores_beyond_floats(spark):
+    """Components of two bytes whose scores differ in the last of 25 bits."""
+    rng = random.Random(6)
+    rows = [(i, [(4100 + rng.randrange(2)) / 256, (900 + rng.randrange(3)) / 256, (900 + rng.randrange(3)) / 256]) for i in range(200)]
+    v = knn_join.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    assert {tuple(r) for r in knn_join.top_k_inner_product(v, v.where("vec_id % 9 = 0"), 5).collect()} == brute(rows, 5, 9)
