@@ -199,7 +199,7 @@ def top_k_inner_product(vectors: DataFrame, queries: DataFrame, k: int = 5) -> D
                         break
                     scores = qn[own] @ m[lo : min(lo + DATA_BLOCK, spans[c][1])].T
                     # every vector that ties with the keep-th best so far is looked at
-                    i, j = np.nonzero(scores >= least[own].astype(number)[:, None])
+                    i, j = np.divmod(np.flatnonzero(scores >= least[own].astype(number)[:, None]), scores.shape[1])
                     if not len(i):
                         continue
                     row = lo + j
